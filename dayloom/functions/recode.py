@@ -262,7 +262,9 @@ def hours_label(hours: str | Column) -> Column:
 def odds_label(odds: str | Column) -> Column:
     """'> 100', '< 0.01', or the odds with two significant digits."""
     o = col(odds)
-    return F.when(o > 100, "> 100").when(o < 0.01, "< 0.01").otherwise(signif(o, 2).cast("string"))
+    return F.when(o > 100, "> 100").when(o < 0.01, "< 0.01").otherwise(
+        F.regexp_replace(signif(o, 2).cast("string"), r"\.0$", "")
+    )
 
 
 def level_position(c: str | Column, levels: Sequence[str]) -> Column:

@@ -310,28 +310,26 @@ def weighted_ecdf(
     """
     group = _names(group)
     lo, hi = points
-    cells = df.groupBy(*group, x).agg(sum_or_zero(w).alias("__w"))
-    totals = cells.groupBy(*group).agg(F.sum("__w").alias("__total"))
-    # x < t includes the weight at t - 1 and before: shift each value to the first t that sees it.
-    # 'above' counts what is left, so values at t are already gone at t.
+    # x < t includes the weight at t - 1 and before: each value acts from the first t that sees
+    # it. 'above' counts what is left, so a value at t is already gone at t. Values before the
+    # range act from its first point, those after it beyond its last.
     first_t = F.floor(F.col(x)) + 1 if side == "below" else F.ceil(F.col(x))
-    # Values before the range act on its first point; those after it never act.
-    clipped = F.greatest(first_t, F.lit(lo)).cast("int")
-    steps = (
-        cells.filter(F.col(x).isNotNull())
-        .select(*group, clipped.alias(point), "__w")
-        .groupBy(*group, point)
-        .agg(F.sum("__w").alias("__w"))
+    step = F.least(F.greatest(first_t, F.lit(lo)), F.lit(hi + 1)).cast("int")
+    step = F.when(F.col(x).isNotNull(), step)
+    steps = df.groupBy(*group, step.alias(point)).agg(sum_or_zero(w).alias("__w"))
+    present = F.col(point).isNotNull()
+    # A group has at most one step per grid point here.
+    per_group = steps.groupBy(*group).agg(
+        F.sum("__w").alias("__total"),
+        sum_or_zero(F.when(present, F.col("__w"))).alias("__known"),
+        F.map_from_entries(F.collect_list(F.when(present, F.struct(point, "__w")))).alias("__steps"),
     )
-    known = cells.groupBy(*group).agg(sum_or_zero(F.when(F.col(x).isNotNull(), F.col("__w"))).alias("__known"))
-    grid = explode_grid(totals, point, lo, hi)
-    grid = join_null_safe(grid, known, group, "left") if group else grid.withColumn("__known", known.scalar())
-    filled = join_null_safe(grid, steps, [*group, point], "left")
-    running = F.sum(F.coalesce(F.col("__w"), F.lit(0.0))).over(
+    grid = explode_grid(per_group, point, lo, hi)
+    running = F.sum(F.coalesce(F.try_element_at("__steps", F.col(point)), F.lit(0.0))).over(
         Window.partitionBy(*group).orderBy(point).rowsBetween(Window.unboundedPreceding, 0)
     )
     part = running if side == "below" else F.col("__known") - running
-    return filled.select(*group, point, share(part, F.col("__total")).alias(name))
+    return grid.select(*group, point, share(part, F.col("__total")).alias(name))
 
 
 def weighted_histogram(
@@ -387,7 +385,7 @@ def weighted_density(
     )
     scale = bandwidth * (2 * 3.141592653589793) ** 0.5
     return sums.select(
-        *group, "point", at.alias("at"), share(F.col("__k"), F.col("__total") * F.lit(scale)).alias(name)
+        *group, "point", at.alias("x_at"), share(F.col("__k"), F.col("__total") * F.lit(scale)).alias(name)
     )
 
 
@@ -506,7 +504,11 @@ def exact_quantiles(
             "__v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)
         )
     ).scalar()
-    bucketed = counts.withColumn("__b", F.size(F.filter(cuts, lambda c: c < F.col("__v"))))
+    bucketed = (
+        counts.withColumn("__cuts", cuts)
+        .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
+        .drop("__cuts")
+    )
     cells = bucketed.groupBy(*group, "__b").agg(F.sum("__c").alias("__n"))
     # At most `buckets` cells of a group meet in this window.
     upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -81,16 +81,19 @@ def replicate_draws(
     w: str | None = "weight",
     unit: str = "mainid",
     resp: str = "resp",
-    positive_base: Column | None = None,
+    spread: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Reweighted replicates of each group's weighted mean, as deviation from the overall mean.
 
     Each unit (a person, whose diaries move together) gets an exponential weight per draw. With
-    several outcomes {name: column} the result has a column naming the outcome. Replicates are
-    rows made map-side and summed there: what is shuffled is groups x draws sums.
+    several outcomes {name: column} the result has a column naming the outcome; outcomes in
+    `spread` are compared by their weighted standard deviation instead of their mean. Replicates
+    are rows made map-side and summed there: what is shuffled is groups x draws sums.
     """
-    many = isinstance(y, Mapping)
-    outcomes = dict(y) if many else {"value": F.col(y)}
+    many = isinstance(y, Mapping) or spread is not None
+    outcomes = dict(y) if isinstance(y, Mapping) else {"mu" if many else "value": F.col(y)}
+    spread = dict(spread or {})
+    outcomes.update(spread)
     weight = F.col(w) if w else F.lit(1.0)
     base = df.select(*groups, unit, weight.alias("__w"), *[c.cast("double").alias(f"__y_{n}") for n, c in outcomes.items()])
     base = base.filter(F.col("__w").isNotNull())
@@ -102,11 +105,18 @@ def replicate_draws(
         present = F.col(f"__y_{n}").isNotNull()
         sums.append(F.sum(F.col("__e") * F.col(f"__y_{n}")).alias(f"__s_{n}"))
         sums.append(F.sum(F.when(present, F.col("__e"))).alias(f"__t_{n}"))
+        if n in spread:
+            sums.append(F.sum(F.col("__e") * F.col(f"__y_{n}") * F.col(f"__y_{n}")).alias(f"__q_{n}"))
     cells = drawn.groupBy("draw", *groups).agg(*sums)
-    overall = cells.groupBy("draw").agg(
-        *[share(F.sum(f"__s_{n}"), F.sum(f"__t_{n}")).alias(f"__m_{n}") for n in outcomes]
-    )
-    values = {n: share(F.col(f"__s_{n}"), F.col(f"__t_{n}")) - F.col(f"__m_{n}") for n in outcomes}
+
+    def estimate(n, at):
+        mean = share(at(f"__s_{n}"), at(f"__t_{n}"))
+        if n not in spread:
+            return mean
+        return F.sqrt(F.greatest(share(at(f"__q_{n}"), at(f"__t_{n}")) - mean * mean, F.lit(0.0)))
+
+    overall = cells.groupBy("draw").agg(*[estimate(n, F.sum).alias(f"__m_{n}") for n in outcomes])
+    values = {n: estimate(n, F.col) - F.col(f"__m_{n}") for n in outcomes}
     joined = cells.join(overall, "draw")
     if not many:
         return joined.select("draw", *groups, values["value"].alias("value"))
@@ -116,6 +126,46 @@ def replicate_draws(
     )
 
 
+def replicate_slopes(
+    df: DataFrame,
+    groups: Sequence[str],
+    outcomes: Mapping[str, tuple[Column, Column]],
+    n_draws: int = 200,
+    w: str | None = "weight",
+    unit: str = "mainid",
+    resp: str = "resp",
+) -> DataFrame:
+    """Reweighted replicates of weighted regression slopes: {name: (x, y)} -> (draw, groups, resp, value)."""
+    weight = F.col(w) if w else F.lit(1.0)
+    pairs = []
+    for n, (x, y) in outcomes.items():
+        both = x.isNotNull() & y.isNotNull()
+        pairs += [F.when(both, x).cast("double").alias(f"__x_{n}"), F.when(both, y).cast("double").alias(f"__y_{n}")]
+    base = df.select(*groups, unit, weight.alias("__w"), *pairs).filter(F.col("__w").isNotNull())
+    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn(
+        "__e", F.col("__w") * -F.ln(uniform(unit, "draw"))
+    )
+    sums = []
+    for n in outcomes:
+        e, x, y = F.col("__e"), F.col(f"__x_{n}"), F.col(f"__y_{n}")
+        sums += [
+            F.sum(F.when(x.isNotNull(), e)).alias(f"__0_{n}"),
+            F.sum(e * x).alias(f"__1_{n}"),
+            F.sum(e * y).alias(f"__2_{n}"),
+            F.sum(e * x * x).alias(f"__3_{n}"),
+            F.sum(e * x * y).alias(f"__4_{n}"),
+        ]
+    cells = drawn.groupBy("draw", *groups).agg(*sums)
+    rows = []
+    for n in outcomes:
+        t, sx, sy, sxx, sxy = (F.col(f"__{i}_{n}") for i in range(5))
+        slope = share(t * sxy - sx * sy, t * sxx - sx * sx)
+        rows.append(F.struct(F.lit(n).alias(resp), slope.alias("value")))
+    return cells.select("draw", *groups, F.explode(F.array(*rows)).alias("__r")).select(
+        "draw", *groups, f"__r.{resp}", "__r.value"
+    )
+
+
 def shrunken_effects(
     df: DataFrame, groups: Sequence[str], y: str, w: str = "weight"
 ) -> DataFrame:

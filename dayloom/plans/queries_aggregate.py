@@ -210,7 +210,7 @@ def by_each(s):
     """
 select cl_desc, dagegrp, n from (
   select cl_desc, dagegrp, coalesce(sum(weight), 0) as n, rank() over (partition by cl_desc order by round_even(coalesce(sum(weight), 0), 9) desc) as rk
-  from respondents group by all) x where rk = 1""",
+  from respondents group by cl_desc, dagegrp) x where rk = 1""",
     "n",
 )
 def weighted_mode(s):
@@ -297,13 +297,13 @@ def weighted_histogram(s):
 def density_sql(table: str, group: str, x: str, lo: float, hi: float, bw: float, points: int) -> str:
     step = (hi - lo) / (points - 1)
     return f"""
-select {group}, p as point, {lo} + p * {step!r}::double as at,
-       sum(weight * exp(-(({lo} + p * {step!r}::double - {x}) / {bw}::double) ** 2 / 2)) / (sum(weight) * {bw * (2 * 3.141592653589793) ** 0.5!r}::double) as density
+select {group}, p as point, {lo} + p * {step!r}::double as x_at,
+       sum(weight * exp(-0.5 * pow(({lo} + p * {step!r}::double - {x}) / {bw}::double, 2))) / (sum(weight) * {bw * (2 * 3.141592653589793) ** 0.5!r}::double) as density
 from ({table}) d cross join (select cast(unnest(range(0, {points})) as int) as p) g
 where {x} is not null and weight is not null group by all"""
 
 
-@query("weighted_density", density_sql(T.SPELLS_DATA, "survey", "n_spells", 0.0, 144.0, 3.0, 128), "at density")
+@query("weighted_density", density_sql(T.SPELLS_DATA, "survey", "n_spells", 0.0, 144.0, 3.0, 128), "x_at density")
 def weighted_density(s):
     return A.weighted_density(P.spells_data(s), "survey", "n_spells", 0.0, 144.0, 3.0, 128)
 
@@ -489,7 +489,7 @@ with prof as (
 age as (
   select cl_desc, dagegrp from (
     select cl_desc, dagegrp, rank() over (partition by cl_desc order by round_even(coalesce(sum(weight), 0), 9) desc) as rk
-    from respondents group by all) x where rk = 1),
+    from respondents group by cl_desc, dagegrp) x where rk = 1),
 ent as ({T.entropy('diaries', 'cl_desc')})
 select p.cl_desc, p.cluster, {', '.join(f"round_even({c}, 3) * 100 as {c}" for c in ('female', 'with_children', 'not_working', 'degree', 'higher_professional', 'intermediate', 'routine'))},
        a.dagegrp as modal_age_group, round_even(e.prop_max_h, 3) * 100 as prop_max_h
@@ -623,7 +623,7 @@ def entropy_and_multitasking(s):
 select d.*, z.n_obs from ({density_sql(T.MULTI_HEALTH, 'proportion_multitasking', 'mh', 0.0, 4.0, 0.25, 128)}) d
 left join (select proportion_multitasking, coalesce(sum(weight), 0) as n_obs from ({T.MULTI_HEALTH}) m group by all) z
   on z.proportion_multitasking = d.proportion_multitasking""",
-    "at density n_obs",
+    "x_at density n_obs",
 )
 def health_by_multitasking(s):
     return P.health_density(P.multi_health_data(s), "proportion_multitasking", 128)
@@ -635,7 +635,7 @@ def health_by_multitasking(s):
 select d.*, z.n_obs from ({density_sql(T.MEDIA_HEALTH, 'prop_leisure_media', 'mh', 0.0, 4.0, 0.25, 128)}) d
 left join (select prop_leisure_media, coalesce(sum(weight), 0) as n_obs from ({T.MEDIA_HEALTH}) m group by all) z
   on z.prop_leisure_media = d.prop_leisure_media""",
-    "at density n_obs",
+    "x_at density n_obs",
 )
 def health_by_media(s):
     return P.health_density(P.media_health_data(s), "prop_leisure_media", 128)

@@ -438,7 +438,7 @@ def lookup_join(s):
 with age as (
   select cl_desc, dagegrp from (
     select cl_desc, dagegrp, rank() over (partition by cl_desc order by round_even(sum(weight), 9) desc) as rk
-    from respondents group by all) x where rk = 1),
+    from respondents group by cl_desc, dagegrp) x where rk = 1),
 entropy as ({T.entropy('diaries', 'cl_desc')})
 select coalesce(a.cl_desc, e.cl_desc) as cl_desc, a.dagegrp, e.mean_h
 from age a full join entropy e on e.cl_desc is not distinct from a.cl_desc""",
