@@ -106,59 +106,80 @@ def code5(group: str | Column) -> Column:
     )
 
 
+def lookup(c: str | Column, mapping: Mapping[str, str]) -> Column:
+    """Value of a constant map, NULL for anything else.
+
+    The input is mentioned once, so recodes of recodes stay small when Catalyst inlines them
+    into filters, which chains of CASE branches do not.
+    """
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair]), col(c))
+
+
+def either_of(cond: Column, yes: str, no: str) -> Column:
+    """`yes` or `no`, NULL if the condition is unknown."""
+    return F.element_at(F.array(F.lit(no), F.lit(yes)), cond.cast("int") + 1)
+
+
+def _word(text: str | Column, pattern: str) -> Column:
+    """First match, '' if there is none; for use with `lookup`."""
+    return F.regexp_extract(col(text), pattern, 0)
+
+
 def econ_status(text: str | Column, casual_as_unemployed: bool = False) -> Column:
     """Economic status in three levels. Casual work has no level unless asked for."""
-    word = first_match(text, ECON_PATTERN)
-    unemployed = ["Unemployed", "Casual"] if casual_as_unemployed else ["Unemployed"]
-    return (
-        F.when(word.isin("owner", "Self-employed", "Employed"), "In Employment")
-        .when(word.isin(unemployed), "Unemployed")
-        .when(word.isin("Student", "Homemaker", "Retired"), "Inactive")
-    )
+    levels = {
+        "Self-employed": "In Employment",
+        "Employed": "In Employment",
+        "owner": "In Employment",
+        "Student": "Inactive",
+        "Homemaker": "Inactive",
+        "Retired": "Inactive",
+        "Unemployed": "Unemployed",
+    }
+    if casual_as_unemployed:
+        levels["Casual"] = "Unemployed"
+    return lookup(_word(text, ECON_PATTERN), levels)
 
 
 def work_before(text: str | Column) -> Column:
     """Work status before lockdown."""
-    word = first_match(text, BEFORE_PATTERN)
-    return F.when(word == "wasn't working", "not working").otherwise(word)
+    names = {"full time": "full time", "part time": "part time", "wasn't working": "not working"}
+    return lookup(_word(text, BEFORE_PATTERN), names)
 
 
 def work_now(text: str | Column) -> Column:
     """Work status at the time of the survey."""
-    return first_match(text, NOW_PATTERN)
+    return lookup(_word(text, NOW_PATTERN), {v: v for v in NOW_PATTERN.split("|")})
 
 
 def employment_change(before: str | Column, now: str | Column) -> Column:
     """Change of work status over lockdown, from the raw answers."""
     b, n = work_before(before), work_now(now)
-    was_working = b.isin("full time", "part time")
-    return (
-        F.when((b == "full time") & (n == "part time"), "full to part time")
-        .when((b == "part time") & (n == "full time"), "part to full time")
-        .when(was_working, n)
-        .when(b == "not working", "not in work before lockdown")
-        .when(b.isNotNull() & n.isNotNull(), "Other")
+    moves = {"full time > part time": "full to part time", "part time > full time": "part to full time"}
+    return F.coalesce(
+        lookup(F.concat(b, F.lit(" > "), n), moves),
+        F.when(b == "not working", "not in work before lockdown").when(b.isNotNull(), n),
     )
 
 
 def recode(c: str | Column, mapping: Mapping[str, str]) -> Column:
     """Rename some levels and keep the others."""
-    c = col(c)
-    out = None
-    for old, new in mapping.items():
-        out = F.when(c == old, new) if out is None else out.when(c == old, new)
-    return c if out is None else out.otherwise(c)
+    return F.coalesce(lookup(c, mapping), col(c)) if mapping else col(c)
 
 
 def qualification(text: str | Column, levels: int = 4) -> Column:
     """Highest qualification in four levels, or degree / no degree."""
-    word = first_match(text, QUALIFICATION_PATTERN)
-    low = ["Apprenticeship", "GCSE", "No qualifications"]
+    four = {
+        "Higher degree": "Higher degree",
+        "First degree": "First degree",
+        "f": "A Levels",
+        "GCSE": "Apprenticeship, GCSE or None",
+        "Apprenticeship": "Apprenticeship, GCSE or None",
+        "No qualifications": "Apprenticeship, GCSE or None",
+    }
     if levels == 2:
-        return F.when(word.isin("Higher degree", "First degree"), "Degree").when(word.isNotNull(), "No Degree")
-    return (
-        F.when(word == "f", "A Levels").when(word.isin(low), "Apprenticeship, GCSE or None").otherwise(word)
-    )
+        four = {k: "Degree" if v.endswith("degree") else "No Degree" for k, v in four.items()}
+    return lookup(_word(text, QUALIFICATION_PATTERN), four)
 
 
 def in_work(wave: str | Column, econ: str | Column, now: str | Column, strict: bool = False) -> Column:
@@ -170,11 +191,8 @@ def in_work(wave: str | Column, econ: str | Column, now: str | Column, strict: b
     working = now.isin("full time", "part time")
     if not strict:
         working = is_true(working)
-    return (
-        F.when((wave == "2016") & (econ == "In Employment"), "Working")
-        .when((wave == "2016") & (econ != "In Employment"), "Not Working")
-        .when((wave != "2016") & working, "Working")
-        .when((wave != "2016") & ~working, "Not Working")
+    return F.when(wave == "2016", either_of(econ == "In Employment", "Working", "Not Working")).when(
+        wave != "2016", either_of(working, "Working", "Not Working")
     )
 
 

@@ -15,6 +15,10 @@ from dayloom.functions.semantics import col, join_null_safe, share, strict as st
 from dayloom.operators.reshape import complete_grid, explode_grid
 
 
+# The built-in percentile holds a group's distinct values in one task: only below this bound.
+MAX_BUILTIN_ROWS = 100_000
+
+
 def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -410,7 +414,10 @@ def frequency(df: DataFrame, c: str, levels: Sequence[str] | None = None) -> Dat
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows without a missing value in `cols`."""
-    return df.dropna(subset=list(cols))
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull()
+    return df.filter(known)
 
 
 def filter_matches(df: DataFrame, c: str, pattern: str) -> DataFrame:
@@ -459,7 +466,7 @@ def interval(
     """
     group = _names(group)
     probs = sorted({round((1 - q) / 2, 10) for q in widths} | {round((1 + q) / 2, 10) for q in widths} | {0.5})
-    if rows_per_group is not None and rows_per_group <= 100_000:
+    if rows_per_group is not None and rows_per_group <= MAX_BUILTIN_ROWS:
         wide = df.groupBy(*group).agg(
             F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("__q"), F.avg(x).alias("__mean")
         )

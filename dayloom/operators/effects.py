@@ -6,12 +6,12 @@ the overall mean in that replicate.
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.recode import SURVEYS, odds_label
 from dayloom.functions.semantics import first_match, half_even, join_null_safe, ratio, share
-from dayloom.operators.aggregate import interval
+from dayloom.operators.aggregate import MAX_BUILTIN_ROWS, interval
 from dayloom.operators.reshape import drop_null_columns
 
 # Level differences reported for each dimension, as (left, right).
@@ -73,6 +73,15 @@ def uniform(unit: str | Column, draw: str | Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") + 0.5) / 4294967296.0
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt out evenly before each is multiplied by the number of draws.
+
+    Without it the work of all draws stays in the few partitions that small rows coalesce into,
+    or in those a hot key fills. The multiplied rows are never shuffled.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def replicate_draws(
     df: DataFrame,
     groups: Sequence[str],
@@ -96,7 +105,7 @@ def replicate_draws(
     outcomes.update(spread)
     weight = F.col(w) if w else F.lit(1.0)
     base = df.select(*groups, unit, weight.alias("__w"), *[c.cast("double").alias(f"__y_{n}") for n, c in outcomes.items()])
-    base = base.filter(F.col("__w").isNotNull())
+    base = spread_out(base.filter(F.col("__w").isNotNull()))
     drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn(
         "__e", F.col("__w") * -F.ln(uniform(unit, "draw"))
     )
@@ -115,13 +124,14 @@ def replicate_draws(
             return mean
         return F.sqrt(F.greatest(share(at(f"__q_{n}"), at(f"__t_{n}")) - mean * mean, F.lit(0.0)))
 
-    overall = cells.groupBy("draw").agg(*[estimate(n, F.sum).alias(f"__m_{n}") for n in outcomes])
-    values = {n: estimate(n, F.col) - F.col(f"__m_{n}") for n in outcomes}
-    joined = cells.join(overall, "draw")
+    # The groups of one draw meet here, already summed: a row per group, not per unit.
+    of_draw = Window.partitionBy("draw")
+    values = {n: estimate(n, F.col) - estimate(n, lambda c: F.sum(c).over(of_draw)) for n in outcomes}
     if not many:
-        return joined.select("draw", *groups, values["value"].alias("value"))
-    rows = F.array(*[F.struct(F.lit(n).alias(resp), v.alias("value")) for n, v in values.items()])
-    return joined.select("draw", *groups, F.explode(rows).alias("__r")).select(
+        return cells.select("draw", *groups, values["value"].alias("value"))
+    cells = cells.withColumns({f"__d_{n}": v for n, v in values.items()})
+    rows = F.array(*[F.struct(F.lit(n).alias(resp), F.col(f"__d_{n}").alias("value")) for n in outcomes])
+    return cells.select("draw", *groups, F.explode(rows).alias("__r")).select(
         "draw", *groups, f"__r.{resp}", "__r.value"
     )
 
@@ -141,7 +151,7 @@ def replicate_slopes(
     for n, (x, y) in outcomes.items():
         both = x.isNotNull() & y.isNotNull()
         pairs += [F.when(both, x).cast("double").alias(f"__x_{n}"), F.when(both, y).cast("double").alias(f"__y_{n}")]
-    base = df.select(*groups, unit, weight.alias("__w"), *pairs).filter(F.col("__w").isNotNull())
+    base = spread_out(df.select(*groups, unit, weight.alias("__w"), *pairs).filter(F.col("__w").isNotNull()))
     drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))).withColumn(
         "__e", F.col("__w") * -F.ln(uniform(unit, "draw"))
     )
@@ -284,10 +294,13 @@ def parse_draw_names(
     tidy = {n: F.regexp_replace(c, r"\.", " ") for n, c in levels.items()}
     tidy["dclasuk"] = F.when(tidy["dclasuk"] == "unemployed", "Not Working").otherwise(tidy["dclasuk"])
     key = drop_null_columns(names.withColumns(tidy), list(tidy))
-    long = wide.select(draw, *[F.col(f"`{c}`") for c in named]).unpivot([draw], [f"`{c}`" for c in named], "name", "value")
-    # The unpivoted name keeps the quotes of the column expression.
-    long = long.withColumn("name", F.regexp_replace("name", "`", ""))
-    return long.join(key, "name").drop("name")
+    return _columns_to_rows(wide, named, draw, "name").join(key, "name").drop("name")
+
+
+def _columns_to_rows(wide: DataFrame, cols: Sequence[str], draw: str, name: str) -> DataFrame:
+    """Unpivot columns whose names hold dots and brackets."""
+    cells = [F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias("value")) for c in cols]
+    return wide.select(draw, F.explode(F.array(*cells)).alias("__r")).select(draw, f"__r.{name}", "__r.value")
 
 
 def draw_columns(draws: DataFrame, levels: Mapping[str, Sequence[str]], term: str, draw: str = "draw") -> DataFrame:
@@ -310,7 +323,7 @@ def gather_terms(wide: DataFrame, pattern: str, draw: str = "draw", name: str =
     import re
 
     chosen = [c for c in wide.columns if c != draw and re.search(pattern, c)]
-    return wide.unpivot([draw], chosen, name, "value")
+    return _columns_to_rows(wide, chosen, draw, name)
 
 
 def effect_size(draws: DataFrame, *keys: str, value: str = "value") -> DataFrame:
@@ -331,9 +344,14 @@ def effects_table(
             continue
         label = F.concat_ws("_", *groups).alias("effect")
         labelled = draws.select(label, "value")
-        ends = interval(labelled, "effect", widths=[0.95], rows_per_group=rows_per_group)
-        moments = labelled.groupBy("effect").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-        table = ends.join(moments, "effect").select(
+        moments = [F.avg("value").alias("m"), F.stddev_samp("value").alias("s")]
+        if rows_per_group is not None and rows_per_group <= MAX_BUILTIN_ROWS:
+            ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
+            stats = labelled.groupBy("effect").agg(*moments, ends)
+            stats = stats.withColumns({"lower": F.col("q")[0], "upper": F.col("q")[1]})
+        else:
+            stats = interval(labelled, "effect", widths=[0.95]).join(labelled.groupBy("effect").agg(*moments), "effect")
+        table = stats.select(
             F.lit(model).alias("model"),
             "effect",
             half_even("m", digits).alias("estimate"),
@@ -415,10 +433,10 @@ def weighted_glm(
     if family == "categorical":
         from pyspark.ml.feature import StringIndexer
 
-        indexed = StringIndexer(inputCol=y, outputCol="__level", stringOrderType="alphabetAsc").fit(df.dropna(subset=[y]))
-        frame, names = _model_frame(indexed.transform(df.dropna(subset=[y])), "__level", terms, w)
+        indexed = StringIndexer(inputCol=y, outputCol="level_no", stringOrderType="alphabetAsc").fit(df.dropna(subset=[y]))
+        frame, names = _model_frame(indexed.transform(df.dropna(subset=[y])), "level_no", terms, w)
         model = LogisticRegression(
-            featuresCol="__x", labelCol="__level", family="multinomial", maxIter=max_iter, **({"weightCol": w} if w else {})
+            featuresCol="__x", labelCol="__y", family="multinomial", maxIter=max_iter, **({"weightCol": w} if w else {})
         ).fit(frame)
         coef, icpt = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
         rows = []
@@ -448,7 +466,7 @@ def two_part_fit(
     df: DataFrame, y: str, terms: Sequence[str], family: str = "gamma", w: str | None = "weight"
 ) -> DataFrame:
     """A zero part (is y zero: binomial) and a positive part: (part, resp, term, coefficient)."""
-    zero = weighted_glm(df.withColumn("__zero", (F.col(y) == 0).cast("int")), "__zero", terms, "binomial", w)
+    zero = weighted_glm(df.withColumn("zero_part", (F.col(y) == 0).cast("int")), "zero_part", terms, "binomial", w)
     positive = weighted_glm(df.filter(F.col(y) > 0), y, terms, family, w)
     return zero.withColumn("resp", F.lit(y)).select(F.lit("zero").alias("part"), "*").unionByName(
         positive.select(F.lit("positive").alias("part"), "*")

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.recode import STATES, slot_to_time
-from dayloom.functions.semantics import join_null_safe
+from dayloom.functions.semantics import share, sum_or_zero
 from dayloom.operators.aggregate import weighted_share
-from dayloom.operators.reshape import complete_grid
+from dayloom.operators.reshape import explode_grid
 from dayloom.runtime import cut_lineage
 
 # Reference sequences are sent to every task; this bounds them (4096 x 144 bytes is 0.6 MB).
@@ -69,17 +69,30 @@ def tempogram(
     Unknown states are not plotted but stay in the base of the shares.
     """
     keys = [group] if group else []
-    cells = weighted_share(slots, [*keys, slot], state, w, "percent", "n_weighted")
-    order = [*keys, slot, state]
-    levels = {state: list(states), slot: list(range(1, n_slots + 1))}
-    full = complete_grid(cells.filter(F.col(state).isNotNull()).select(*order, "percent"), order, {"percent": 0.0}, levels)
-    full = full.withColumn("slot_time", slot_to_time(slot))
-    if not group:
-        return full
-    facts = [F.count(F.lit(1)).alias("group_size")]
-    if label:
-        facts.append(F.max(label).alias(label))
-    return join_null_safe(full, slots.groupBy(group).agg(*facts), [group], "left")
+    code = F.when(F.col(state).isNotNull(), F.col(state))
+    sums = [sum_or_zero(F.when(code == v, F.col(w))).alias(f"__{i}") for i, v in enumerate(states)]
+    # One pass over the slots, reduced map-side to groups x slots rows. The label belongs to the
+    # group, so it is a key and not a string aggregate, which could not be hashed in place.
+    named = [*keys, label] if group and label else keys
+    cells = slots.groupBy(*named, slot).agg(
+        *sums, sum_or_zero(w).alias("__total"), F.count(F.lit(1)).alias("__n")
+    )
+    percent = F.struct(*[share(F.col(f"__{i}"), F.col("__total")).alias(f"p{i}") for i in range(len(states))])
+    kept = [F.sum("__n").alias("group_size")] if group else []
+    # A group has at most one cell per slot; absent slots are filled from the grid.
+    per_group = cells.groupBy(*named).agg(
+        F.map_from_entries(F.collect_list(F.struct(slot, percent))).alias("__cells"),
+        *kept,
+    )
+    grid = explode_grid(per_group, slot, 1, n_slots).withColumn("__c", F.try_element_at("__cells", F.col(slot)))
+    rows = [
+        F.struct(F.lit(v).alias(state), F.coalesce(F.col(f"__c.p{i}"), F.lit(0.0)).alias("percent"))
+        for i, v in enumerate(states)
+    ]
+    facts_out = ["group_size", *([label] if label else [])] if group else []
+    return grid.select(*keys, slot, F.explode(F.array(*rows)).alias("__r"), *facts_out).select(
+        *keys, slot, f"__r.{state}", "__r.percent", slot_to_time(slot).alias("slot_time"), *facts_out
+    )
 
 
 def transition_rates(

@@ -83,25 +83,19 @@ def slots_after(
     return df.join(marked, id).filter(F.col(slot).between(F.col(anchor), F.col(anchor) + n))
 
 
-def wake_and_sleep(
-    slots: DataFrame, status: str = "sleep_status", id: str = "diaryid", slot: str = "slot"
-) -> DataFrame:
-    """First and last slot not asleep, and half-asleep slots, for diaries whose status is always known.
+def wake_and_sleep_aggs(status: Column, slot: str = "slot") -> dict[str, Column]:
+    """First and last slot not asleep and half-asleep slots, as aggregates of a diary.
 
-    Filter and summary are one aggregate, so the diary is not scanned twice.
+    All three are missing if the status of one slot is unknown, so the diary need not be
+    filtered in a pass of its own.
     """
-    awake = F.when(F.col(status) != "Sleeping", F.col(slot))
-    return (
-        slots.groupBy(id)
-        .agg(
-            F.min(awake).alias("wakeup_time"),
-            F.max(awake).alias("sleeping_time"),
-            F.count_if(F.col(status) == "Half-Sleeping").alias("half_sleep_time"),
-            F.count_if(F.col(status).isNull()).alias("__unknown"),
-        )
-        .filter(F.col("__unknown") == 0)
-        .drop("__unknown")
-    )
+    known = F.count_if(status.isNull()) == 0
+    awake = F.when(status != "Sleeping", F.col(slot))
+    return {
+        "wakeup_time": F.when(known, F.min(awake)),
+        "sleeping_time": F.when(known, F.max(awake)),
+        "half_sleep_time": F.when(known, F.count_if(status == "Half-Sleeping")),
+    }
 
 
 def group_number(df: DataFrame, order_value: str, name: str = "group_no") -> DataFrame:

@@ -3,17 +3,29 @@
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayloom.functions import recode as R
-from dayloom.functions.semantics import share
+from dayloom.functions.semantics import share, sum_or_zero
 from dayloom.operators.sequences import recluster
+from dayloom.operators.spells import wake_and_sleep_aggs
 from dayloom.sources import keys, standin
 from dayloom.sources.tables import decode_labels
 
 HEALTH_ITEMS = ("nq1", "nq2", "nq3", "nq4")
 CHILD_COUNTS = ("nunder5", "n5to11", "n12to16")
+MEDIA = "Watching tv, video, dvd, music"
+
+# Leisure activities that take place outside the home.
+OUTSIDE_LEISURE = [
+    "Consuming services",
+    "Church, Temple, Synagogue, Prayer",
+    "Walking, Jogging",
+    "Playing sports, exercise",
+    "Going out to eat, drink",
+    "Walking, dog walking",
+]
 
 
 def activity_levels(codebook: DataFrame, key: DataFrame, variable: str) -> DataFrame:
@@ -46,19 +58,73 @@ def activity_long(slots: DataFrame, codebook: DataFrame, key: DataFrame, labels:
     return (
         decoded.join(pri, F.col("pri") == F.col("__p"), "left")
         .join(sec, F.col("sec") == F.col("__s"), "left")
+        .withColumn("pri_code", F.col("pri"))
         .withColumns({"pri": F.col("__pri"), "sec": F.col("__sec"), "coded5_activity": R.code5("activity_group")})
         .drop("__p", "__s", "__pri", "__sec")
     )
 
 
-def telework_indicator(activity: DataFrame) -> DataFrame:
-    """Home or outside workday per diary with work slots: more than half of them at home."""
-    at_home = share(F.count_if(F.col("loc") == "Home"), F.count(F.lit(1)))
-    return (
-        activity.filter(F.col("activity_group") == "work")
-        .groupBy("diaryid")
-        .agg(F.when(at_home > 0.5, "Home Workday").otherwise("Outside Workday").alias("telework"))
-    )
+def telework_agg() -> dict[str, Column]:
+    """Home or outside workday of a diary with work slots: more than half of them at home."""
+    work = F.col("activity_group") == "work"
+    at_home = share(F.count_if(work & (F.col("loc") == "Home")), F.count_if(work))
+    return {"telework": F.when(at_home > 0.5, "Home Workday").when(at_home.isNotNull(), "Outside Workday")}
+
+
+def multitasking_agg() -> dict[str, Column]:
+    """Slots with a secondary activity other than the primary one."""
+    return {"n_multi": F.count_if(F.col("sec_tidied").isNotNull() & (F.col("pri_tidied") != F.col("sec_tidied")))}
+
+
+def distinct_codes(test: Column, code: str = "pri_code") -> Column:
+    """Distinct activity codes among the slots that pass a test; NULL if none does."""
+    return F.bit_count(F.bit_or(F.when(test, F.expr(f"shiftleft(1L, {code})"))))
+
+
+def leisure_aggs() -> dict[str, Column]:
+    """Leisure slots, variety, out-of-home variety and media share of a diary.
+
+    Share and variety are missing for a diary without leisure; leisure time is missing if a slot
+    is unknown. Activity codes are below 63, so the set of those seen is the bits of one number.
+    """
+    is_leisure = F.col("activity_group").contains("leisure")
+    tidy = F.col("pri_tidied")
+    state = F.col("coded5_activity").startswith("leisure")
+    n_leisure = F.count_if(is_leisure)
+    return {
+        "leisure_time": F.when(F.count_if(state.isNull()) == 0, F.sum(state.cast("int"))),
+        "voracity": distinct_codes(is_leisure),
+        "outside_voracity": F.when(
+            n_leisure > 0, F.coalesce(distinct_codes(is_leisure & tidy.isin(OUTSIDE_LEISURE)), F.lit(0))
+        ),
+        "leisure_media": share(F.count_if(is_leisure & (tidy == MEDIA)), n_leisure),
+    }
+
+
+def sleep_aggs() -> dict[str, Column]:
+    """Waking, sleeping and half-asleep slots, and slots of sleep, rest, work and break.
+
+    The first three are missing if the sleep status of one slot is unknown.
+    """
+
+    def either(label):
+        test = R.any_true(F.col("pri_tidied") == label, F.col("sec_tidied") == label)
+        return sum_or_zero(test.cast("int"))
+
+    status = R.sleep_status("pri_tidied", "sec_tidied")
+    return {
+        "sleep_time": either("Sleeping"),
+        "rest_time": either("Resting"),
+        "work_time": either("Paid work including at home"),
+        "break_time": either("Work or study break"),
+        **wake_and_sleep_aggs(status),
+    }
+
+
+def diary_indicators(activity: DataFrame, aggs: dict[str, Column] | None = None) -> DataFrame:
+    """All per-diary indicators in one aggregate; a query that uses a few computes only those."""
+    aggs = aggs or {**telework_agg(), **multitasking_agg(), **leisure_aggs(), **sleep_aggs()}
+    return activity.groupBy("diaryid").agg(*[c.alias(n) for n, c in aggs.items()])
 
 
 def recoded_respondents(raw: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -87,17 +153,14 @@ def recoded_respondents(raw: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def respondent_data(recoded: DataFrame, telework: DataFrame) -> DataFrame:
-    """The analysed sample with telework status and day types."""
-    return (
-        recoded.filter(R.in_sample("dagegrp", "econstat"))
-        .join(telework, "diaryid", "left")
-        .withColumns(
-            {
-                "teleworkday": R.teleworkday("workday", "telework"),
-                "day_type": R.day_type("workday", "in_work", "telework"),
-            }
-        )
+def respondent_data(recoded: DataFrame, indicators: DataFrame) -> DataFrame:
+    """The analysed sample with its diary indicators, telework status and day types."""
+    joined = recoded.filter(R.in_sample("dagegrp", "econstat")).join(indicators, "diaryid", "left")
+    return joined.withColumns(
+        {
+            "teleworkday": R.teleworkday("workday", "telework"),
+            "day_type": R.day_type("workday", "in_work", "telework"),
+        }
     )
 
 
@@ -145,13 +208,17 @@ class Study:
     def recoded(self) -> DataFrame:
         return recoded_respondents(self.raw, self.clusters)
 
+    @cached_property
+    def indicators(self) -> DataFrame:
+        return diary_indicators(self.activity)
+
     @cached_property
     def respondents(self) -> DataFrame:
-        return respondent_data(self.recoded, telework_indicator(self.activity))
+        return respondent_data(self.recoded, self.indicators)
 
     @cached_property
     def sample(self) -> DataFrame:
-        """The sample without the telework status, for reports that do not use it."""
+        """The sample without diary indicators, for reports that do not use them."""
         return self.recoded.filter(R.in_sample("dagegrp", "econstat"))
 
     @cached_property

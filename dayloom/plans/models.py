@@ -19,6 +19,7 @@ from dayloom.plans import reports as P
 from dayloom.plans import sql_tables as T
 from dayloom.plans.base import Study
 from dayloom.plans.sql_base import text
+from dayloom.runtime import cut_lineage
 
 N_DRAWS = 100
 
@@ -149,6 +150,9 @@ def odds_of(s: Study, model: str, n_draws: int = N_DRAWS) -> DataFrame:
     m = MODELS[model]
     draws = draws_of(s, model, n_draws)
     dims = [g for g in m.groups if g in E.CONTRASTS] if not m.slopes else []
+    if len(dims) > 1:
+        # The draws are few rows made from all the data: keep them, and pass over the data once.
+        draws = cut_lineage(draws)
     parts = []
     for dim in dims:
         rest = [*[g for g in m.groups if g != dim], "resp"]

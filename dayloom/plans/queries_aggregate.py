@@ -350,7 +350,7 @@ def overall_rates(s):
     "any_multi",
 )
 def any_multitasking(s):
-    return A.overall_rates(P.multi_data(s, s.sample), {"any_multi": F.col("prop_multi") > 0})
+    return A.overall_rates(P.multi_data(s), {"any_multi": F.col("prop_multi") > 0})
 
 
 @query(

@@ -89,7 +89,7 @@ cross join (values {', '.join(f"('{s}')" for s in R.STATES)}) v(state)
 left join p on p.cluster is not distinct from f.cluster and p.slot = t.slot and p.coded5_activity = v.state"""
 
 
-@query("tempogram", TEMPOGRAM + "\nwhere exists (select 1 from p q where q.cluster is not distinct from f.cluster and q.coded5_activity is not null)", "percent")
+@query("tempogram", TEMPOGRAM, "percent")
 def tempogram(s):
     return Q.tempogram(s.diaries)
 

@@ -10,18 +10,8 @@ from dayloom.functions.semantics import half_even, is_true, join_null_safe, shar
 from dayloom.operators import aggregate as A
 from dayloom.operators import reshape as S
 from dayloom.operators import spells as W
-from dayloom.plans.base import Study
-
-# Leisure activities that take place outside the home.
-OUTSIDE_LEISURE = [
-    "Consuming services",
-    "Church, Temple, Synagogue, Prayer",
-    "Walking, Jogging",
-    "Playing sports, exercise",
-    "Going out to eat, drink",
-    "Walking, dog walking",
-]
-MEDIA = "Watching tv, video, dvd, music"
+from dayloom.plans.base import MEDIA, OUTSIDE_LEISURE, Study, diary_indicators, leisure_aggs, sleep_aggs  # noqa: F401
+
 SLOTS = 144
 SLOTS_PER_HOUR = 6
 
@@ -35,38 +25,16 @@ def spells_data(s: Study) -> DataFrame:
     return A.sample_join(s.respondents, [stats]).withColumn("telework", F.coalesce("telework", F.lit("Not Workday")))
 
 
-def multi_data(s: Study, sample: DataFrame | None = None) -> DataFrame:
+def multi_data(s: Study) -> DataFrame:
     """Sample with multitasking slots per diary; none counts as zero."""
-    counted = A.count_by(
-        s.activity.filter(F.col("sec_tidied").isNotNull() & (F.col("pri_tidied") != F.col("sec_tidied"))),
-        "diaryid",
-        "n_multi",
-    )
-    joined = A.sample_join(s.respondents if sample is None else sample, [counted])
-    return joined.withColumn("n_multi", F.coalesce("n_multi", F.lit(0))).withColumn(
+    return s.respondents.withColumn("n_multi", F.coalesce("n_multi", F.lit(0))).withColumn(
         "prop_multi", F.col("n_multi") / F.lit(float(SLOTS))
     )
 
 
 def leisure_indicators(activity: DataFrame) -> DataFrame:
-    """Leisure slots, variety, out-of-home variety and media share per diary, in one aggregate.
-
-    Share and variety are missing for a diary without leisure; leisure time is missing if a slot
-    is unknown.
-    """
-    group = F.col("activity_group")
-    is_leisure = group.contains("leisure")
-    tidy = F.col("pri_tidied")
-    n_leisure = F.count_if(is_leisure)
-    state = F.col("coded5_activity").startswith("leisure")
-    return activity.groupBy("diaryid").agg(
-        F.when(F.count_if(state.isNull()) == 0, F.sum(state.cast("int"))).alias("leisure_time"),
-        F.when(n_leisure > 0, F.count_distinct(F.when(is_leisure, tidy))).alias("voracity"),
-        F.when(n_leisure > 0, F.count_distinct(F.when(is_leisure & tidy.isin(OUTSIDE_LEISURE), tidy))).alias(
-            "outside_voracity"
-        ),
-        share(F.count_if(is_leisure & (tidy == MEDIA)), n_leisure).alias("leisure_media"),
-    )
+    """Leisure slots, variety and media share of every diary."""
+    return diary_indicators(activity, leisure_aggs())
 
 
 def leisure_shares(s: Study, levels: Sequence[str]) -> DataFrame:
@@ -78,31 +46,17 @@ def leisure_shares(s: Study, levels: Sequence[str]) -> DataFrame:
 
 def leisure_data(s: Study) -> DataFrame:
     """Sample with the leisure indicators."""
-    return A.sample_join(s.respondents, [leisure_indicators(s.activity)])
+    return s.respondents
 
 
 def sleep_indicators(activity: DataFrame) -> DataFrame:
-    """Waking and sleeping slots, half-asleep slots, and slots of sleep, rest, work and break."""
-    status = activity.withColumn("sleep_status", R.sleep_status("pri_tidied", "sec_tidied"))
-
-    def either(label):
-        return R.any_true(F.col("pri_tidied") == label, F.col("sec_tidied") == label)
-
-    totals = A.slot_totals(
-        activity,
-        {
-            "sleep_time": either("Sleeping"),
-            "rest_time": either("Resting"),
-            "work_time": either("Paid work including at home"),
-            "break_time": either("Work or study break"),
-        },
-    )
-    return totals.join(W.wake_and_sleep(status), "diaryid", "left")
+    """Waking, sleeping, rest, work and break slots of every diary."""
+    return diary_indicators(activity, sleep_aggs())
 
 
 def sleep_data(s: Study) -> DataFrame:
     """Sample with the sleep indicators."""
-    return A.sample_join(s.respondents, [sleep_indicators(s.activity)])
+    return s.respondents
 
 
 def company_data(s: Study) -> DataFrame:
@@ -334,7 +288,7 @@ def multitasking_by_day_type(s: Study) -> DataFrame:
 def entropy_and_multitasking(s: Study) -> DataFrame:
     """Figure 5.2.8: mean entropy and mean multitasking per routine."""
     entropy = A.mean_entropy(s.diaries, "cl_desc", "coded5_activity").select("cl_desc", "mean_h")
-    multi = A.weighted_mean(multi_data(s, s.sample), "cl_desc", {"mean_multi": F.col("n_multi") / F.lit(144.0)})
+    multi = A.weighted_mean(multi_data(s), "cl_desc", {"mean_multi": F.col("n_multi") / F.lit(144.0)})
     joined = join_null_safe(entropy, multi, ["cl_desc"], "full")
     kept = joined.filter(~F.col("cl_desc").rlike("37"))
     return kept.withColumn("number", F.regexp_substr("cl_desc", F.lit("[0-9]{1,2}"))).withColumn(

@@ -1,5 +1,8 @@
 """Lookup tables shipped with the library, and CSV readers for replacements."""
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # Activity label as recorded, tidy label, activity group.
@@ -112,14 +115,20 @@ ACTIVITY_KEY_SCHEMA = "original_level string, pri_tidied string, activity_group
 RECLUSTER_KEY_SCHEMA = "original_cluster int, description string"
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType) -> DataFrame:
+    """A constant table whose size Spark knows when it plans, so joins broadcast it from the start."""
+    schema = pa.schema(list(columns.items()))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(columns, r)) for r in rows], schema=schema))
+
+
 def activity_key(spark: SparkSession) -> DataFrame:
     """The shipped activity key."""
-    return spark.createDataFrame(ACTIVITY_KEY, ACTIVITY_KEY_SCHEMA)
+    return small_table(spark, ACTIVITY_KEY, original_level=pa.string(), pri_tidied=pa.string(), activity_group=pa.string())
 
 
 def recluster_key(spark: SparkSession) -> DataFrame:
     """The shipped routine naming key."""
-    return spark.createDataFrame(RECLUSTER_KEY, RECLUSTER_KEY_SCHEMA)
+    return small_table(spark, RECLUSTER_KEY, original_cluster=pa.int32(), description=pa.string())
 
 
 def load_key(spark: SparkSession, path: str, schema: str = ACTIVITY_KEY_SCHEMA) -> DataFrame:

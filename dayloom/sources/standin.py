@@ -6,10 +6,12 @@ activity in the same slot is the secondary one. The result has the shape of code
 integer codes per slot plus a codebook, and raw answers per respondent.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dayloom.sources.keys import ACTIVITY_KEY
+from dayloom.sources.keys import ACTIVITY_KEY, small_table
 
 SLOTS = 144
 SLOT_SECONDS = 18000
@@ -66,12 +68,29 @@ CLASSES = {
 }
 
 
-def _pick(index: Column, values: list) -> Column:
+def _quoted(v) -> str:
+    return "'" + v.replace("'", r"\'") + "'" if isinstance(v, str) else str(v)
+
+
+def _case(subject: str, branches: dict) -> Column:
+    """A CASE of constants as one parsed expression: far fewer calls to the JVM than chained when()."""
+    return F.expr(f"case {subject} " + " ".join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in branches.items()) + " end")
+
+
+def _pick(index: str, values: list) -> Column:
     """values[index], NULL outside the list."""
-    out = None
-    for i, v in enumerate(values):
-        out = F.when(index == i, F.lit(v)) if out is None else out.when(index == i, F.lit(v))
-    return out
+    return _case(index, dict(enumerate(values)))
+
+
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its footer is read once per folder for the schema."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def codebook(spark: SparkSession) -> DataFrame:
@@ -80,18 +99,16 @@ def codebook(spark: SparkSession) -> DataFrame:
     rows += [("loc", i, label) for i, label in enumerate(LOCATIONS, 1)]
     rows += [("dev", i, label) for i, label in enumerate(DEVICES, 1)]
     rows += [(f"who{p}", i, label) for p in "abcd" for i, label in enumerate(COMPANIONS, 1)]
-    return spark.createDataFrame(rows, "variable string, code int, label string")
+    return small_table(spark, rows, variable=pa.string(), code=pa.int32(), label=pa.string())
 
 
 def _activity_code() -> Column:
-    k3 = F.col("k") % 3
-    out = None
-    for event, labels in EVENT_ACTIVITIES.items():
-        for i, label in enumerate(labels):
-            cond = (F.col("event_type") == event) & (k3 == i)
-            code = F.lit(ACTIVITY_CODES[label])
-            out = F.when(cond, code) if out is None else out.when(cond, code)
-    return out
+    codes = {
+        f"{event}{i}": ACTIVITY_CODES[label]
+        for event, labels in EVENT_ACTIVITIES.items()
+        for i, label in enumerate(labels)
+    }
+    return _case("concat(event_type, k % 3)", codes)
 
 
 def slots_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +118,7 @@ def slots_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed-width values, so one user with a third of all events sends at most 144 rows per map
     task. After that a diary has 144 cells, which meet once, partitioned by diaryid.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    events = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("diaryid"), "event_id", "ts", "event_type", "value", "props"
     )
     seconds = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(START)), F.col("ts").cast("timestamp_ntz"))
@@ -159,47 +176,42 @@ def wide_diaries(spark: SparkSession, sf_dir: str, measures=("pri", "sec", "loc"
 def raw_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per diary with answers as recorded, before any recode."""
     users = (
-        spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("diaryid")).distinct()
+        read_table(spark, sf_dir, "events").select(F.col("user_id").alias("diaryid")).distinct()
     )
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
-    d, ck, nk = F.col("diaryid"), F.col("c_custkey"), F.col("c_nationkey")
-    raw_class = None
-    for segment, label in CLASSES.items():
-        cond = F.col("c_mktsegment") == segment
-        raw_class = F.when(cond, label) if raw_class is None else raw_class.when(cond, label)
-    health = {
-        f"nq{i}": F.when(ck % gap != 0, (1 + (ck * step + nk) % 5).cast("int"))
+    health = [
+        f"if(c_custkey % {gap} <> 0, cast(1 + (c_custkey * {step} + c_nationkey) % 5 as int), null) as nq{i}"
         for i, (step, gap) in enumerate([(3, 17), (7, 19), (11, 23), (13, 17)], 1)
-    }
-    return users.join(customer, d == ck).select(
-        "diaryid",
-        F.floor(d / 2).cast("bigint").alias("mainid"),
-        _pick(d % 3, WAVES).alias("survey"),
-        F.when(ck % 50 != 49, F.bround((F.abs("c_acctbal") + 100) / 5000.0, 4)).alias("weight"),
-        _pick(d % 7, WEEKDAYS).alias("dday"),
-        (1 + d % 28).cast("int").alias("ddomonth"),
-        F.when(d % 3 == 0, 2 + d % 2).when(d % 3 == 1, 6).otherwise(8).cast("int").alias("dmonth"),
-        F.when(d % 3 == 0, 2016).otherwise(2020).alias("dyear"),
-        F.when(nk % 2 == 0, "Female").otherwise("Male").alias("sex"),
-        F.when(nk % 6 == 5, "65+").when(nk % 6 < 3, "18-39").otherwise("40-64").alias("dagegrp"),
-        _pick(ck % 10, ECON).alias("econstat"),
-        raw_class.alias("dclasuk"),
-        _pick(ck % 7, HIED).alias("hied"),
-        _pick(ck % 5, NOW).alias("emplnow"),
-        _pick(nk % 4, BEFORE).alias("empbfore"),
-        F.when(ck % 13 != 0, nk % 3).cast("int").alias("nunder5"),
-        F.when(ck % 4 == 0, 1).otherwise(0).alias("n5to11"),
-        F.when(ck % 5 != 0, 0).alias("n12to16"),
-        *[c.alias(n) for n, c in health.items()],
-        F.lit(3).alias("nq5_1"),
+    ]
+    return users.join(customer, F.expr("diaryid = c_custkey")).select(
+        F.expr("diaryid"),
+        F.expr("cast(floor(diaryid / 2) as bigint) as mainid"),
+        _pick("diaryid % 3", WAVES).alias("survey"),
+        F.expr("if(c_custkey % 50 <> 49, bround((abs(c_acctbal) + 100) / 5000.0D, 4), null) as weight"),
+        _pick("diaryid % 7", WEEKDAYS).alias("dday"),
+        F.expr("cast(1 + diaryid % 28 as int) as ddomonth"),
+        F.expr("cast(case diaryid % 3 when 0 then 2 + diaryid % 2 when 1 then 6 else 8 end as int) as dmonth"),
+        F.expr("case when diaryid % 3 = 0 then 2016 else 2020 end as dyear"),
+        F.expr("if(c_nationkey % 2 = 0, 'Female', 'Male') as sex"),
+        F.expr("case when c_nationkey % 6 = 5 then '65+' when c_nationkey % 6 < 3 then '18-39' else '40-64' end as dagegrp"),
+        _pick("c_custkey % 10", ECON).alias("econstat"),
+        _case("c_mktsegment", CLASSES).alias("dclasuk"),
+        _pick("c_custkey % 7", HIED).alias("hied"),
+        _pick("c_custkey % 5", NOW).alias("emplnow"),
+        _pick("c_nationkey % 4", BEFORE).alias("empbfore"),
+        F.expr("if(c_custkey % 13 <> 0, cast(c_nationkey % 3 as int), null) as nunder5"),
+        F.expr("if(c_custkey % 4 = 0, 1, 0) as n5to11"),
+        F.expr("if(c_custkey % 5 <> 0, 0, null) as n12to16"),
+        *[F.expr(h) for h in health],
+        F.expr("3 as nq5_1"),
     )
 
 
 def raw_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for the typology: diary -> raw cluster 1..60, a few diaries without one."""
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("label")).distinct()
+    users = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("label")).distinct()
     return users.filter(F.col("label") % 29 != 0).withColumn(
         "cluster60", (1 + (F.col("label") * 7) % 60).cast("int")
     )
