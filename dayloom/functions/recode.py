@@ -117,7 +117,7 @@ def lookup(c: str | Column, mapping: Mapping[str, str]) -> Column:
 
 def either_of(cond: Column, yes: str, no: str) -> Column:
     """`yes` or `no`, NULL if the condition is unknown."""
-    return F.element_at(F.array(F.lit(no), F.lit(yes)), cond.cast("int") + 1)
+    return F.get(F.array(F.lit(no), F.lit(yes)), cond.cast("int"))
 
 
 def _word(text: str | Column, pattern: str) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from dayloom.functions.semantics import share, sum_or_zero
 from dayloom.operators.aggregate import weighted_share
 from dayloom.operators.reshape import explode_grid
 from dayloom.runtime import cut_lineage
+from dayloom.sources.keys import small_table
 
 # Reference sequences are sent to every task; this bounds them (4096 x 144 bytes is 0.6 MB).
 MAX_REFERENCES = 4096
@@ -238,103 +240,95 @@ def pairwise_distance(reps: DataFrame, costs: np.ndarray, id: str = "diaryid") -
     )
 
 
-def agglomerate(pairs: DataFrame, sizes: DataFrame, id: str = "diaryid", n: str = "n_copies") -> DataFrame:
-    """Average-linkage merges of a bounded set: (a, b, height, size, round), b joins a, a < b.
+def _merge_tree(d: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """Average-linkage merges (kept, absorbed, height, size) of a distance matrix.
 
-    In each round all pairs of clusters that are each other's nearest neighbour merge at once,
-    which gives the same tree as one merge at a time for this linkage. Distances between merged
-    clusters are size-weighted means. Rounds are cut by durable checkpoints.
+    Follows nearest neighbours until two clusters are each other's nearest and merges those,
+    which for this linkage gives the same tree as always merging the closest pair.
     """
-    size = sizes.select(F.col(id).alias("label"), F.col(n).cast("double").alias("size"))
-    # Both directions; distances carry the sizes of the two ends.
-    edges = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("dist").alias("d"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    edges = (
-        edges.join(size.select(F.col("label").alias("a"), F.col("size").alias("na")), "a")
-        .join(size.select(F.col("label").alias("b"), F.col("size").alias("nb")), "b")
-        .select("a", "b", "d", "na", "nb")
-    )
-    edges = cut_lineage(edges)
-    done = []
-    round_no = 0
-    while not edges.isEmpty():
-        round_no += 1
-        # A total order on pairs, the same from both ends, so that ties cannot form a cycle.
-        pair_key = F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
-        nearest = edges.groupBy("a").agg(F.min(F.struct(pair_key.alias("k"), F.col("na"), F.col("nb"), F.col("b"))).alias("m"))
-        nearest = nearest.select("a", F.col("m.b").alias("b"), F.col("m.k.d").alias("d"), (F.col("m.na") + F.col("m.nb")).alias("size"))
-        back = nearest.select(F.col("a").alias("b"), F.col("b").alias("a"))
-        merged = cut_lineage(
-            nearest.join(back, ["a", "b"], "left_semi")
-            .filter(F.col("a") < F.col("b"))
-            .select("a", "b", F.col("d").alias("height"), "size", F.lit(round_no).alias("round"))
-        )
-        done.append(merged)
-        moved = merged.select(F.col("b").alias("old"), F.col("a").alias("new"), "size").unionByName(
-            merged.select(F.col("a").alias("old"), F.col("a").alias("new"), "size")
-        )
-        for end, count in (("a", "na"), ("b", "nb")):
-            to = moved.select(
-                F.col("old").alias(end), F.col("new").alias(f"{end}2"), F.col("size").alias(f"{count}2")
-            )
-            edges = (
-                edges.join(to, end, "left")
-                .withColumn(f"{end}2", F.coalesce(f"{end}2", end))
-                .withColumn(f"{count}2", F.coalesce(f"{count}2", count))
-            )
-        edges = cut_lineage(
-            edges.filter(F.col("a2") != F.col("b2"))
-            .groupBy("a2", "b2")
-            .agg(
-                (F.sum(F.col("d") * F.col("na") * F.col("nb")) / F.sum(F.col("na") * F.col("nb"))).alias("d"),
-                F.max("na2").alias("na"),
-                F.max("nb2").alias("nb"),
-            )
-            .select(F.col("a2").alias("a"), F.col("b2").alias("b"), "d", "na", "nb")
-        )
-    if not done:
-        return sizes.sparkSession.createDataFrame([], "a bigint, b bigint, height double, size double, round int")
-    merges = done[0]
-    for m in done[1:]:
-        merges = merges.unionByName(m)
+    d, sizes = d.astype(float).copy(), sizes.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    active = np.ones(len(d), dtype=bool)
+    merges, chain = [], []
+    while len(merges) < len(d) - 1:
+        if not chain:
+            chain.append(int(np.argmax(active)))
+        here = chain[-1]
+        row = np.where(active, d[here], np.inf)
+        nearest = int(np.argmin(row))
+        if len(chain) > 1 and row[chain[-2]] <= row[nearest]:
+            nearest = chain[-2]
+        if len(chain) < 2 or nearest != chain[-2]:
+            chain.append(nearest)
+            continue
+        height = row[nearest]
+        kept, gone = min(here, nearest), max(here, nearest)
+        joined = (sizes[kept] * d[kept] + sizes[gone] * d[gone]) / (sizes[kept] + sizes[gone])
+        sizes[kept] += sizes[gone]
+        d[kept], d[:, kept] = joined, joined
+        d[kept, kept] = np.inf
+        active[gone] = False
+        merges.append((kept, gone, float(height), float(sizes[kept])))
+        del chain[-2:]
     return merges
 
 
+def agglomerate(pairs: DataFrame, sizes: DataFrame, id: str = "diaryid", n: str = "n_copies") -> DataFrame:
+    """Average-linkage merges of a bounded set: (a, b, height, size); b joins a, a < b.
+
+    The pairs are those of a reference set, whose size does not grow with the data (at most
+    MAX_REFERENCES, checked), so its tree is one small task. Copies of a day count in the means.
+    """
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels = np.unique(np.concatenate([pdf["id_a"], pdf["id_b"]]))
+        if len(labels) > MAX_REFERENCES:
+            raise ValueError(f"more than {MAX_REFERENCES} sequences in a merge tree")
+        i, j = np.searchsorted(labels, pdf["id_a"]), np.searchsorted(labels, pdf["id_b"])
+        d = np.zeros((len(labels), len(labels)))
+        # Rounded, so that the order of float additions cannot break ties.
+        d[i, j] = d[j, i] = pdf["dist"].round(9)
+        counts = np.ones(len(labels))
+        counts[i], counts[j] = pdf["na"], pdf["nb"]
+        merges = [(labels[a], labels[b], h, m) for a, b, h, m in _merge_tree(d, counts)]
+        return pd.DataFrame(merges, columns=["a", "b", "height", "size"])
+
+    size_a = sizes.select(F.col(id).alias("id_a"), F.col(n).cast("double").alias("na"))
+    size_b = sizes.select(F.col(id).alias("id_b"), F.col(n).cast("double").alias("nb"))
+    sized = pairs.join(size_a, "id_a").join(size_b, "id_b")
+    return sized.groupBy().applyInPandas(tree, "a bigint, b bigint, height double, size double")
+
+
 def cut_tree(merges: DataFrame, members: DataFrame, k: int, id: str = "diaryid") -> DataFrame:
     """Cut a merge tree into k groups, numbered in dendrogram order: (id, group).
 
-    The k - 1 highest merges are undone; the others link each label to the one it joined, and
-    labels follow their links to the end by repeated doubling.
+    The tree has at most MAX_REFERENCES - 1 rows. Its k - 1 highest merges are undone; the
+    others link each label to the one it joined.
     """
-    top = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(k - 1)
-    top = cut_lineage(top)
-    kept = merges.join(top.select("a", "b"), ["a", "b"], "left_anti").select(F.col("b").alias("node"), F.col("a").alias("up"))
-    links = cut_lineage(
-        members.select(F.col(id).alias("node")).join(kept, "node", "left").withColumn("up", F.coalesce("up", "node"))
-    )
-    while True:
-        ups = links.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        after = cut_lineage(links.join(ups, "up").select("node", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved")))
-        links = after.select("node", "up")
-        if after.filter("moved").isEmpty():
-            break
-    # The undone merges are at most k - 1 rows: order the k groups from the root down.
-    joins = [tuple(r) for r in top.select("b", "a", "height").collect()]
-    order = links.select(F.col("up").alias("root")).distinct().collect()
-    parent = {b: (a, h) for b, a, h in joins}
+    rows = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).collect()
+    undone, kept = rows[: k - 1], rows[k - 1 :]
+    up = {r["b"]: r["a"] for r in kept}
+    above = {r["b"]: (r["a"], r["height"]) for r in undone}
 
-    def path(label):
+    def root(label):
+        while label in up:
+            label = up[label]
+        return label
+
+    def place(label):
         steps = []
-        while label in parent:
-            label, h = parent[label]
-            steps.append(h)
-        return (label, steps[::-1])
-
-    ranked = sorted((path(r[0]), r[0]) for r in order)
-    numbers = merges.sparkSession.createDataFrame(
-        [(root, i) for i, (_, root) in enumerate(ranked, 1)], "up bigint, group int"
-    )
-    return links.join(numbers, "up").select(F.col("node").alias(id), "group")
+        while label in above:
+            label, height = above[label]
+            steps.append(height)
+            label = root(label)
+        return label, steps[::-1]
+
+    labels = {r["a"] for r in rows} | {r["b"] for r in rows} or {r[0] for r in members.select(id).limit(2).collect()}
+    roots = {label: root(label) for label in labels}
+    numbers = {r: i for i, (_, r) in enumerate(sorted((place(r), r) for r in set(roots.values())), 1)}
+    groups = [(int(label), numbers[r]) for label, r in roots.items()]
+    table = small_table(members.sparkSession, groups, **{id: pa.int64(), "group": pa.int32()})
+    return members.select(id).join(table, id)
 
 
 def recluster(clusters: DataFrame, key: DataFrame, raw: str = "cluster60") -> DataFrame:
