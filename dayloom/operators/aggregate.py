@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.semantics import col, join_null_safe, share, strict as strict_agg, sum_or_zero
-from dayloom.operators.reshape import complete_grid, explode_grid
+from dayloom.operators.reshape import explode_grid
+from dayloom.runtime import cut_lineage
 
 
 # The built-in percentile holds a group's distinct values in one task: only below this bound.
@@ -235,7 +236,9 @@ def weighted_mode(
     """The level with the largest summed weight per group, ties kept."""
     group = _names(group)
     cells = df.groupBy(*group, level).agg(sum_or_zero(w).alias(n))
-    return filter_max(cells, group, n)
+    # A row per level meets here, not the data.
+    best = F.max(n).over(Window.partitionBy(*group)) if group else cells.agg(F.max(n)).scalar()
+    return cells.withColumn("__best", best).filter(F.col(n) == F.col("__best")).drop("__best")
 
 
 def filter_max(df: DataFrame, group: str | Sequence[str], x: str) -> DataFrame:
@@ -287,9 +290,11 @@ def mean_entropy(
     The maximum is the log of the number of states seen anywhere, a missing state included.
     """
     group = _names(group)
-    cells = plain_share(df, [*group, slot], state, "p", "n")
+    # The counts are kept, so that the number of states does not cost a second pass over the data.
+    counts = cut_lineage(count_by(df, [*group, slot, state]))
+    cells = _share_of_group(counts, [*group, slot], "n", "p")
     per_slot = cells.groupBy(*group, slot).agg((-F.sum(F.col("p") * F.ln("p"))).alias("h"))
-    states = cells.agg(
+    states = counts.agg(
         (F.count_distinct(state) + F.max(F.col(state).isNull().cast("int"))).alias("k")
     ).scalar()
     return per_slot.groupBy(*group).agg(F.avg("h").alias("mean_h")).withColumn(
@@ -498,15 +503,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group: (group, prob, value), for groups of any size.
 
-    1. Equal values of a group are merged into counts. 2. One bounded sketch of the whole column
-    gives cut points, and each (group, bucket) cell its size: no cell is much larger than
-    rows / buckets. 3. The few hundred cell sizes of a group, summed in order, tell which cells
-    hold the wanted ranks. 4. Only those cells are ordered, each on its own.
+    1. Equal values of a group are merged into counts, the only pass over the data. 2. One
+    bounded sketch of the counted values gives cut points, and each (group, bucket) cell its
+    size: no cell holds many more values than their number / buckets. 3. The few hundred cell
+    sizes of a group, summed in order, tell which cells hold the wanted ranks. 4. Only those
+    cells are ordered, each on its own.
     """
     group = _names(group)
     values = df.filter(F.col(x).isNotNull()).select(*group, F.col(x).cast("double").alias("__v"))
-    counts = values.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    cuts = values.agg(
+    counts = cut_lineage(values.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    cuts = counts.agg(
         F.percentile_approx(
             "__v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)
         )

@@ -13,6 +13,7 @@ from dayloom.functions.recode import SURVEYS, odds_label
 from dayloom.functions.semantics import first_match, half_even, join_null_safe, ratio, share
 from dayloom.operators.aggregate import MAX_BUILTIN_ROWS, interval
 from dayloom.operators.reshape import drop_null_columns
+from dayloom.runtime import cut_lineage
 
 # Level differences reported for each dimension, as (left, right).
 CONTRASTS = {
@@ -65,6 +66,11 @@ DRAW_CLASS_NAMES = {
 }
 
 
+# Draws are rounded to this many digits, so that equal groups differ by zero and not by the
+# noise of float sums, whose sign would count in the odds.
+NOISE_DIGITS = 9
+
+
 def uniform(unit: str | Column, draw: str | Column) -> Column:
     """A reproducible number in (0, 1) per unit and draw."""
     unit = F.col(unit) if isinstance(unit, str) else unit
@@ -122,11 +128,15 @@ def replicate_draws(
         mean = share(at(f"__s_{n}"), at(f"__t_{n}"))
         if n not in spread:
             return mean
-        return F.sqrt(F.greatest(share(at(f"__q_{n}"), at(f"__t_{n}")) - mean * mean, F.lit(0.0)))
+        # Rounded before the root, which would blow the noise of a zero variance up.
+        variance = F.round(share(at(f"__q_{n}"), at(f"__t_{n}")) - mean * mean, NOISE_DIGITS)
+        return F.sqrt(F.greatest(variance, F.lit(0.0)))
 
     # The groups of one draw meet here, already summed: a row per group, not per unit.
     of_draw = Window.partitionBy("draw")
-    values = {n: estimate(n, F.col) - estimate(n, lambda c: F.sum(c).over(of_draw)) for n in outcomes}
+    values = {
+        n: F.round(estimate(n, F.col) - estimate(n, lambda c: F.sum(c).over(of_draw)), NOISE_DIGITS) for n in outcomes
+    }
     if not many:
         return cells.select("draw", *groups, values["value"].alias("value"))
     cells = cells.withColumns({f"__d_{n}": v for n, v in values.items()})
@@ -169,7 +179,8 @@ def replicate_slopes(
     rows = []
     for n in outcomes:
         t, sx, sy, sxx, sxy = (F.col(f"__{i}_{n}") for i in range(5))
-        slope = share(t * sxy - sx * sy, t * sxx - sx * sx)
+        spread_x = F.round(share(sxx, t) - share(sx, t) * share(sx, t), NOISE_DIGITS)
+        slope = F.round(share(share(sxy, t) - share(sx, t) * share(sy, t), spread_x), NOISE_DIGITS)
         rows.append(F.struct(F.lit(n).alias(resp), slope.alias("value")))
     return cells.select("draw", *groups, F.explode(F.array(*rows)).alias("__r")).select(
         "draw", *groups, f"__r.{resp}", "__r.value"
@@ -197,6 +208,8 @@ def shrunken_effects(
     cells = cells.withColumn("mean", F.col("__wy") / F.col("__w")).withColumn(
         "__s2", F.when(F.col("n") > 1, F.greatest(F.col("__wyy") / F.col("__w") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     )
+    # A row per group, kept: the overall values below must not pass over the data again.
+    cells = cut_lineage(cells)
     known = F.col("__s2").isNotNull()
     overall = cells.agg(
         (F.sum("__wy") / F.sum("__w")).alias("m"),

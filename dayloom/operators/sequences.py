@@ -113,6 +113,21 @@ def transition_rates(
     return weighted_share(pairs, [slot, "prev"], "cur", "__w", "rate", "n_weighted")
 
 
+def sequence_rates(seqs: DataFrame, states: Sequence[str] = STATES, w: str | None = "weight", slot: str = "slot") -> DataFrame:
+    """The same rates from code vectors: neighbours of a vector are compared in place, without a window."""
+    weight = F.col(w) if w else F.lit(1.0)
+    names = F.array(*[F.lit(v) for v in states])
+    steps = seqs.select(
+        weight.alias("__w"), "states", F.explode(F.sequence(F.lit(2), F.size("states"))).alias(slot)
+    ).select(
+        slot,
+        F.get(names, F.get("states", F.col(slot) - 2)).alias("prev"),
+        F.get(names, F.get("states", F.col(slot) - 1)).alias("cur"),
+        "__w",
+    )
+    return weighted_share(steps, [slot, "prev"], "cur", "__w", "rate", "n_weighted")
+
+
 def dynamic_costs(rates: DataFrame, states: Sequence[str] = STATES, n_slots: int = 144, slot: str = "slot") -> DataFrame:
     """Substitution cost per slot and pair of states: (slot, a, b, cost), 0 on the diagonal.
 

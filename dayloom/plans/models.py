@@ -214,11 +214,11 @@ def draws_sql(table: str, groups: Sequence[str], outcomes: dict[str, str], n: in
     def estimate(i, name, agg):
         s, t, q = (f"{agg}({x}_{i})" if agg else f"{x}_{i}" for x in "stq")
         mean = f"({s} / nullif({t}, 0))"
-        return f"sqrt(greatest({q} / nullif({t}, 0) - {mean} * {mean}, 0))" if name in spread else mean
+        return f"sqrt(greatest(round({q} / nullif({t}, 0) - {mean} * {mean}, 9), 0))" if name in spread else mean
 
     overall = ", ".join(f"{estimate(i, n_, 'sum')} as m_{i}" for i, n_ in enumerate(every))
     rows = " union all ".join(
-        f"select c.draw{keys}, {text(n_)} as resp, {estimate(i, n_, '')} - m_{i} as value from dcells c join doverall o on o.draw = c.draw"
+        f"select c.draw{keys}, {text(n_)} as resp, round({estimate(i, n_, '')} - m_{i}, 9) as value from dcells c join doverall o on o.draw = c.draw"
         for i, n_ in enumerate(every)
     )
     return f"""
@@ -237,7 +237,8 @@ def slopes_sql(table: str, groups: Sequence[str], slopes: dict[str, tuple[str, s
     for name, (x, y) in slopes.items():
         parts.append(
             f"""select draw{keys}, {text(name)} as resp,
-       (sum(e) * sum(e * x * y) - sum(e * x) * sum(e * y)) / nullif(sum(e) * sum(e * x * x) - sum(e * x) * sum(e * x), 0) as value
+       round((sum(e * x * y) / sum(e) - sum(e * x) / sum(e) * (sum(e * y) / sum(e)))
+         / nullif(round(sum(e * x * x) / sum(e) - sum(e * x) / sum(e) * (sum(e * x) / sum(e)), 9), 0), 9) as value
 from (select g.draw{keys}, {weight} * -ln({uniform_sql(unit, 'g.draw')}) as e, cast({x} as double) as x, cast({y} as double) as y
       from dbase cross join (select cast(unnest(range(1, {n + 1})) as int) as draw) g
       where {weight} is not null and ({x}) is not null and ({y}) is not null) r group by draw{keys}"""

@@ -69,12 +69,10 @@ def complete_slots(s):
     )
 
 
-def rates_table(s):
-    return Q.transition_rates(complete_slots(s))
-
-
-def costs_of(s):
-    return Q.cost_array(Q.dynamic_costs(rates_table(s)))
+def prepared(s):
+    """The sequences, kept for repeated use, and the substitution costs computed from them."""
+    seqs = Q.cut_lineage(sequence_table(s))
+    return seqs, Q.cost_array(Q.dynamic_costs(Q.sequence_rates(seqs)))
 
 
 TEMPOGRAM = f"""
@@ -119,12 +117,12 @@ def sequences(s):
 
 @query("transition_rates", SEQ_SQL + "select slot, prev, cur, n_weighted, rate from rates", "n_weighted rate")
 def transition_rates(s):
-    return rates_table(s)
+    return Q.transition_rates(complete_slots(s))
 
 
 @query("dynamic_costs", SEQ_SQL + "select slot, a, b, cost from costs", "cost")
 def dynamic_costs(s):
-    return Q.dynamic_costs(rates_table(s))
+    return Q.dynamic_costs(Q.sequence_rates(sequence_table(s)))
 
 
 @query("distinct_sequences", SEQ_SQL + "select day, diaryid, n_copies from days")
@@ -142,8 +140,8 @@ group by x.diaryid, y.diaryid"""
 
 @query("pairwise_distance", SEQ_SQL + _DIST, "dist")
 def pairwise_distance(s):
-    reps = Q.representatives(sequence_table(s), N_REFERENCES)
-    return Q.pairwise_distance(reps, costs_of(s))
+    seqs, costs = prepared(s)
+    return Q.pairwise_distance(Q.representatives(seqs, N_REFERENCES), costs)
 
 
 @query(
@@ -159,15 +157,15 @@ select diaryid, medoid, dist from (
     "dist",
 )
 def assign_medoids(s):
-    seqs = sequence_table(s)
+    seqs, costs = prepared(s)
     medoids = Q.representatives(seqs, N_MEDOIDS)
-    return Q.assign_to_medoids(seqs, medoids, costs_of(s)).select("diaryid", "medoid", "dist")
+    return Q.assign_to_medoids(seqs, medoids, costs).select("diaryid", "medoid", "dist")
 
 
 @query("k_medoids")
 def k_medoids(s):
-    seqs = sequence_table(s)
-    assigned, _ = Q.k_medoids(seqs, Q.representatives(seqs, N_MEDOIDS), costs_of(s), rounds=4)
+    seqs, costs = prepared(s)
+    assigned, _ = Q.k_medoids(seqs, Q.representatives(seqs, N_MEDOIDS), costs, rounds=4)
     return assigned.select("diaryid", "medoid", "dist")
 
 
@@ -185,15 +183,16 @@ select grp, diaryid, round_even(total, 6) as total from (
     "total",
 )
 def group_medoids(s):
-    grouped = sequence_table(s).join(
+    seqs, costs = prepared(s)
+    grouped = seqs.join(
         s.clusters.select(F.col("label").alias("diaryid"), (F.col("cluster") % 5).alias("grp")), "diaryid"
     )
-    return Q.group_medoids(grouped, "grp", costs_of(s)).select("grp", "diaryid", "total")
+    return Q.group_medoids(grouped, "grp", costs).select("grp", "diaryid", "total")
 
 
 def _merges(s):
-    costs = costs_of(s)
-    reps = Q.cut_lineage(Q.representatives(sequence_table(s), N_REFERENCES))
+    seqs, costs = prepared(s)
+    reps = Q.cut_lineage(Q.representatives(seqs, N_REFERENCES))
     return reps, Q.agglomerate(Q.pairwise_distance(reps, costs), reps)
 
 
@@ -220,5 +219,6 @@ def recluster(s):
 
 @query("routine_typology")
 def routine_typology(s):
-    raw = Q.routine_typology(sequence_table(s), costs_of(s), 60, N_REFERENCES)
+    seqs, costs = prepared(s)
+    raw = Q.routine_typology(seqs, costs, 60, N_REFERENCES)
     return Q.recluster(raw, keys.recluster_key(s.spark))
