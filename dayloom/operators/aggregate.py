@@ -44,7 +44,7 @@ def weighted_count(
     )
 
 
-def _share_of_group(cells: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
+def share_of_group(cells: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
     """value / sum of value over the group, on already aggregated cells."""
     if group:
         total = F.sum(value).over(Window.partitionBy(*group))
@@ -67,7 +67,7 @@ def weighted_share(
     total = F.sum(w)
     total = strict_agg(total, F.col(w)) if strict else sum_or_zero(w)
     cells = df.groupBy(*group, *level).agg(total.alias(n))
-    out = _share_of_group(cells, group, n, name)
+    out = share_of_group(cells, group, n, name)
     if strict and group:
         unknown = F.count_if(F.col(n).isNull()).over(Window.partitionBy(*group))
         out = out.withColumn(name, F.when(unknown == 0, F.col(name)))
@@ -79,7 +79,7 @@ def plain_share(
 ) -> DataFrame:
     """Rows per level over rows per group."""
     group, level = _names(group), _names(level)
-    return _share_of_group(count_by(df, [*group, *level], n), group, n, name)
+    return share_of_group(count_by(df, [*group, *level], n), group, n, name)
 
 
 def conditional_share(
@@ -292,7 +292,7 @@ def mean_entropy(
     group = _names(group)
     # The counts are kept, so that the number of states does not cost a second pass over the data.
     counts = cut_lineage(count_by(df, [*group, slot, state]))
-    cells = _share_of_group(counts, [*group, slot], "n", "p")
+    cells = share_of_group(counts, [*group, slot], "n", "p")
     per_slot = cells.groupBy(*group, slot).agg((-F.sum(F.col("p") * F.ln("p"))).alias("h"))
     states = counts.agg(
         (F.count_distinct(state) + F.max(F.col(state).isNull().cast("int"))).alias("k")

@@ -194,7 +194,7 @@ def work_change(s: Study) -> DataFrame:
     cells = A.by_each(
         base, ["survey"], ["sex", "dagegrp", "hied2", "dclasuk"], [F.sum("weight").alias("n")], extra=["wrk_change"]
     )
-    shares = A._share_of_group(cells, ["survey", "dimension", "category"], "n", "proportion")
+    shares = A.share_of_group(cells, ["survey", "dimension", "category"], "n", "proportion")
     kept = shares.filter(
         (F.col("survey") != "2016")
         & F.col("wrk_change").isin("full to part time", "part to full time", "furlough", "not working")

@@ -223,3 +223,22 @@ def test_parse_draw_names_levels(spark):
     wide = spark.createDataFrame([(1, 0.5, 0.7)], ["draw", "r_dclasuk:survey__zi[unemployed_June.2020,Intercept]", "r_dclasuk:survey__zi[Higher.managerial_2016,Intercept]"])
     got = rows(E.parse_draw_names(wide), "dclasuk", "survey", "coef", "value")
     assert got == [("Higher", "2016", "zi", 0.7), ("Not Working", "June 2020", "zi", 0.5)]
+
+
+def test_company_totals_from_both_forms(spark):
+    data = [(1, 1, "Partner", "Child"), (1, 2, "Alone", None), (1, 3, "Person not from household", "Partner"), (1, 4, None, None)]
+    wide = spark.createDataFrame(data, "diaryid bigint, slot int, whoa string, whob string")
+    got = A.company_slots(wide, ["whoa", "whob"]).first()
+    assert (got["with_household_Xat_least_one"], got["with_household_Xat_least_two"], got["with_household_Xperson_hours"]) == (2, 1, 3)
+    assert (got["with_not_household_Xat_least_one"], got["with_not_household_Xperson_hours"]) == (1, 1)
+    long = S.unpivot(wide, ["whoa", "whob"], "who_index", "who_value")
+    assert A.company_slots_long(long).first().asDict() == got.asDict()
+
+
+def test_saved_tables_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2, 3, "d")], "label bigint, cluster60 int, cluster int, description string")
+    tables.save_table(df, str(tmp_path / "t"))
+    assert tables.load_clusters(spark, str(tmp_path / "t")).first() == df.first()
+    wide = spark.createDataFrame([(1, 5, 6)], "diaryid bigint, pri1 int, pri2 int")
+    tables.save_table(wide, str(tmp_path / "w"))
+    assert tables.load_wide(spark, str(tmp_path / "w"), tables.wide_schema(2, ["pri"])).first() == wide.first()
