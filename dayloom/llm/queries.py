@@ -3,15 +3,23 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dayloom.llm import exact_dedup, pieces, secret_scan, token_counts
+from dayloom.llm import exact_dedup, line_dedup, pieces, secret_scan, token_counts
 from dayloom.llm.registry import QUERIES, SQL, query, table
-from dayloom.llm.sql import EXACT_DEDUP_SQL, SECRET_SCAN_SQL
+from dayloom.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, SECRET_SCAN_SQL
 
 __all__ = ["QUERIES", "SQL"]
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_line_dedup", LINE_DEDUP_SQL)
+def op1_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents")
+    index = line_dedup.build_index(docs, min_docs=10, min_chars=1)
+    kept = line_dedup.drop_repeated_lines(docs, index)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark, folder):
     return pieces.encoding_digests(table(spark, folder, "documents"), PIECE_MODEL)

@@ -47,3 +47,15 @@ select t.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesc
   sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans
 from t left join counts using (doc_id)
 """
+
+LINE_DEDUP_SQL = r"""
+with lines as (
+  select doc_id, n, i, ls[i] as line,
+    translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, ls, len(ls) as n, unnest(range(1, len(ls) + 1)) as i
+    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents))),
+repeated as (select key from lines where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+select doc_id, any_value(n)::bigint as n_lines, count(*) filter (key in (select key from repeated))::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (key not in (select key from repeated)), '')) as kept_sha256
+from lines group by doc_id
+"""
