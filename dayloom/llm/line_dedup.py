@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm.skew import salted_lookup
@@ -138,21 +138,26 @@ class LineIndex:
 FILTER_SCHEMA = "shard int, data binary"
 
 
+def _shard_of(key: Column, shards: int) -> Column:
+    """The shard of a key: its first four bytes as a number, modulo the number of shards."""
+    return F.pmod(F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
+
+
 def _key_counts(docs: DataFrame, text: str, min_chars: int, shards: int) -> DataFrame:
     """(shard, key, n_docs): in how many rows of `docs` each key occurs."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for t in batch.column(0).to_pylist():
-                keys = {line_key(x) for x in (t or "").encode().split(b"\n")}
+            for t in batch.column(0):
+                keys = {line_key(x) for x in (t.as_py() or "").encode().split(b"\n")}
                 out += [_digest(k) for k in keys if _long_enough(k, min_chars)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
 
     # Counted before the shuffle, so a line of a third of all documents is one row per task.
     keys = docs.select(F.col(text).alias("__text")).mapInArrow(run, "key binary")
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "n_docs")
+    return counts.select(_shard_of(F.col("key"), shards).alias("shard"), "key", "n_docs")
 
 
 def build_index(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, shards: int | None = None) -> LineIndex:
@@ -217,34 +222,32 @@ def _candidates(docs: DataFrame, index: LineIndex, id: str, text: str) -> DataFr
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in index.filters.collect()})
 
     def keys(batches) -> Iterator[pa.RecordBatch]:
+        filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()} if sent else None
         for batch in batches:
             ids, out = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                found = {line_key(x) for x in (t or "").encode().split(b"\n")}
+            for i, t in enumerate(batch.column(1)):
+                found = {line_key(x) for x in (t.as_py() or "").encode().split(b"\n")}
                 new = [_digest(k) for k in found if _long_enough(k, least)]
                 ids += [i] * len(new)
                 out += new
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.binary())], names=["id", "key"])
+            hit = _hits(filters, out, shards) if filters is not None else np.ones(len(out), bool)
+            rows = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, names=["id", "key"]).filter(pa.array(hit))
 
-    schema = f"id {docs.schema[id].dataType.simpleString()}, key binary"
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body")).mapInArrow(keys, schema)
-    if sent is None:
-        return rows
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body"))
+    return rows.mapInArrow(keys, f"id {docs.schema[id].dataType.simpleString()}, key binary")
 
-    def probe(batches) -> Iterator[pa.RecordBatch]:
-        filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()}
-        for batch in batches:
-            digests = batch.column(1).to_pylist()
-            hit = np.zeros(len(digests), bool)
-            shard = batch.column(2).to_numpy()
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order])) + 1
-            for part in np.split(order, cuts) if len(order) else []:
-                if (f := filters.get(int(shard[part[0]]))) is not None:
-                    hit[part] = f.contains([digests[i] for i in part])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["id", "key"]).filter(pa.array(hit))
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).mapInArrow(probe, schema)
+def _hits(filters: dict[int, CuckooFilter], digests: list[bytes], shards: int) -> np.ndarray:
+    """Which of the digests their shards' filters let through."""
+    hit = np.zeros(len(digests), bool)
+    if digests:
+        shard = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 4)[:, 0] % shards
+        order = np.argsort(shard, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            if (f := filters.get(int(shard[part[0]]))) is not None:
+                hit[part] = f.contains([digests[i] for i in part])
+    return hit
 
 
 def drop_repeated_lines(docs: DataFrame, index: LineIndex, id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -265,9 +268,9 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex, id: str = "doc_id", t
     def run(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for t, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                all_lines = (t or "").encode().split(b"\n")
-                keys = frozenset(keys or ())
+            for t, keys in zip(batch.column(1), batch.column(2), strict=True):
+                all_lines = (t.as_py() or "").encode().split(b"\n")
+                keys = frozenset(keys.as_py() or ())
                 kept = [x for x in all_lines if _digest(line_key(x)) not in keys] if keys else all_lines
                 texts.append(b"\n".join(kept).decode())
                 lines.append(len(all_lines))

@@ -3,9 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dayloom.llm import exact_dedup, line_dedup, pieces, secret_scan, token_counts
+from dayloom.llm import chat, decontaminate, exact_dedup, language, line_dedup, near_dedup, pieces, secret_scan, token_counts, toxicity
 from dayloom.llm.registry import QUERIES, SQL, query, table
-from dayloom.llm.sql import EXACT_DEDUP_SQL, LINE_DEDUP_SQL, SECRET_SCAN_SQL
+from dayloom.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, SECRET_SCAN_SQL
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -30,12 +30,32 @@ def op3_token_counts(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents"), PIECE_MODEL, limit=4096)
 
 
+@query("op4_near_dedup")
+def op4_near_dedup(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), threshold=0.8)
+
+
+@query("op5_language_id")
+def op5_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.filter(~held_out))
+    flags = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language.predict(flags, model, keep=["held_out"])
+
+
 @query("op6_exact_dedup", EXACT_DEDUP_SQL)
 def op6_exact_dedup(spark, folder):
     rows = exact_dedup.exact_dedup(table(spark, folder, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op7_decontaminate", DECONTAMINATE_SQL)
+def op7_decontaminate(spark, folder):
+    leaks = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"), threshold=0.8)
+    return leaks.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), F.col("start").cast("long").alias("start"))
+
+
 @query("op8_secret_scan", SECRET_SCAN_SQL)
 def op8_secret_scan(spark, folder):
     found = secret_scan.secret_spans(table(spark, folder, "documents"))
@@ -49,3 +69,20 @@ def op8_secret_scan(spark, folder):
         F.sha2(secret_scan.span_text(F.col("base")), 256).alias("base_sha256"),
         secret_scan.span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), categories=("quality", "toxic"))
+    return toxicity.predict(docs, model).select(
+        "doc_id", F.col("is_toxic").alias("toxic"), F.col("p_toxic").alias("score"), F.col("p_quality").alias("quality_score")
+    )
+
+
+@query("op10_chat_format")
+def op10_chat_format(spark, folder):
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
+    return chat.conversation_digests(chat.chat_windows(turns.unionByName(extra), PIECE_MODEL))

@@ -59,3 +59,19 @@ select doc_id, any_value(n)::bigint as n_lines, count(*) filter (key in (select
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (key not in (select key from repeated)), '')) as kept_sha256
 from lines group by doc_id
 """
+
+# Windows of an item's size over the words, compared by counts of shared shingles; no fingerprints.
+DECONTAMINATE_SQL = r"""
+with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), lambda w: w <> '') as ws from documents),
+iw as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-/:-`{-\x7f]+'), lambda w: w <> '') as ws from benchmark),
+d as (select doc_id, len(ws) - 4 as n, i - 1 as p, array_to_string(ws[i:i + 4], ' ') as s from (select *, unnest(range(1, len(ws) - 3)) as i from dw)),
+it as (select item_id, len(ws) - 4 as m, array_to_string(ws[i:i + 4], ' ') as s from (select *, unnest(range(1, len(ws) - 3)) as i from iw)),
+ic as (select item_id, m, s, count(*) as c from it group by all),
+hits as (select d.doc_id, d.n, d.p, ic.item_id, ic.m, ic.s, ic.c from d join ic using (s)),
+starts as (select distinct doc_id, item_id, n, m, greatest(0, least(p, n - m)) as start from hits),
+shared as (select st.doc_id, st.item_id, st.start, st.m, least(st.m, st.n) as size, h.s, least(count(*), any_value(h.c)) as common
+  from starts st join hits h on h.doc_id = st.doc_id and h.item_id = st.item_id and h.p >= st.start and h.p < st.start + st.m group by all),
+scored as (select doc_id, item_id, start, sum(common) / (any_value(m) + any_value(size) - sum(common)) as similarity from shared group by all)
+select doc_id, item_id, round(max(similarity), 9) as similarity, arg_min(start, (-similarity, start))::bigint as start
+from scored where similarity >= 0.8 - 1e-12 group by doc_id, item_id
+"""
