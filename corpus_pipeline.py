@@ -21,8 +21,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents whose language is recognised; the model learns from the labelled ones among them."""
     held_out = language.held_out(F.col("doc_id"))
     model = language.fit(docs.filter(~held_out))
-    carried = ["lang", "source", "n_chars", "text"]
-    found = language.predict(docs.withColumn("body", F.col("text")), model, text="body", keep=carried)
+    found = language.predict(docs, model, keep=COLUMNS[1:])
     return found.filter("not rejected").select(COLUMNS)
 
 

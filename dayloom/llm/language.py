@@ -3,8 +3,8 @@
 Texts become vectors of hashed character n-grams (one to three letters, spaces between words),
 log(1 + count) times inverse document frequency, at length one. Every language has several
 centroids, from clustering a sample of its texts by cosine. A text gets the language of the
-nearest centroid, and is rejected when it is farther from it than any text the centroid was made
-of.
+nearest centroid, and is rejected when it is farther from it than any text of that language was
+from its own.
 """
 
 from collections.abc import Sequence
@@ -72,13 +72,13 @@ def _small_lots(texts: list[str | None], rows: int = 256):
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(centroids of length one, for each vector its centroid) by spherical k-means, started far apart."""
-    mean = vectors.mean(axis=0)
-    chosen = [int(np.argmax(vectors @ mean))]
-    near = vectors @ vectors[chosen[0]]
-    while len(chosen) < min(k, len(vectors)):
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, vectors @ vectors[chosen[-1]])
+    """(centroids of length one, for each vector its centroid) by spherical k-means.
+
+    It starts from vectors at even steps in the order of their cosine to the mean.
+    """
+    order = np.argsort(vectors @ vectors.mean(axis=0), kind="stable")
+    k = min(k, len(vectors))
+    chosen = order[[(2 * i + 1) * len(vectors) // (2 * k) for i in range(k)]]
     centroids = vectors[chosen]
     for _ in range(rounds):
         member = np.argmax(vectors @ centroids.T, axis=1)
@@ -114,7 +114,7 @@ class LanguageModel:
 
 #: Texts with fewer distinct n-grams are not rejected for their distance.
 MIN_GRAMS = 60
-#: A centroid's radius is this times the distance of its farthest member.
+#: A language's radius is this times the largest distance of a sampled text to its centroid.
 SLACK = 1.1
 
 
@@ -156,10 +156,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
 
     made = sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, radius double").collect()
     made.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
+    farthest: dict[str, float] = {}
+    for r in made:
+        farthest[r["lang"]] = max(r["radius"], farthest.get(r["lang"], 0.0))
     return LanguageModel(
         [r["lang"] for r in made],
         np.array([np.frombuffer(r["centroid"], np.float32) for r in made]).reshape(-1, DIMENSIONS),
-        np.array([r["radius"] for r in made]) * SLACK,
+        np.array([farthest[r["lang"]] for r in made]) * SLACK,
         idf,
     )
 
@@ -184,9 +187,11 @@ def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str
                 langs += [x if g else UNKNOWN for x, g in zip(a, good, strict=True)]
                 scores += [float(x) if g else 0.0 for x, g in zip(b, good, strict=True)]
                 rejected += [bool(x) or not g for x, g in zip(c, good, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), *batch.columns[2:]], names=[id, "lang_pred", "score", "rejected", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), *[batch.column(place[c]) for c in keep]], names=[id, "lang_pred", "score", "rejected", *keep])
 
-    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
+    carried = [c for c in dict.fromkeys(keep) if c != text]
+    place = {c: i for i, c in enumerate(carried, 2)} | {text: 1}
+    rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(carried)])
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id, *keep)]
     return rows.mapInArrow(run, ", ".join([kinds[0], "lang_pred string", "score double", "rejected boolean", *kinds[1:]]))
 
