@@ -11,6 +11,8 @@ finds all of them. Pairs within the radius are verified by weighted Jaccard simi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayloom.runtime import cut_lineage
+
 #: Equal-sized bags of Jaccard similarity 0.8 have a cosine of 0.89, which is 9.7 of 64 bits on
 #: average with a deviation of 2.9: 23 bits leave out one pair in 300,000.
 RADIUS = 23
@@ -144,6 +146,8 @@ def contaminated(
     for lot in range(lots):
         part = items if lots == 1 else items.filter(F.pmod(F.xxhash64("item", "fingerprint"), F.lit(lots)) == lot)
         leaks = _leaks(rows, part, threshold)
+        # Several lots are worked off one after the other, so that the plan stays small.
+        leaks = cut_lineage(leaks) if lots > 1 else leaks
         found = leaks if found is None else found.union(leaks)
     best = found.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select(

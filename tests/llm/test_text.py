@@ -92,11 +92,21 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_chain_learns_from_unseen_probabilities():
     rng = np.random.default_rng(1)
-    texts = [" ".join(rng.choice(["p", "q", "r", "s"], 30)) + (" marked" if rng.random() < 0.5 else "") for _ in range(400)]
+    texts = [" ".join(rng.choice(["p", "q", "r", "s", "t", "u"], 30)) + (" marked" if rng.random() < 0.5 else "") for _ in range(400)]
     first = np.array(["marked" in t for t in texts])
     model = toxicity.fit_chain(texts, np.column_stack([first, first]), ("a", "b"))
-    # The second category is the first; the chain leans on the first model's probability.
-    assert model.models[1].earlier[0] > 1
+    assert model.models[1].earlier[0] > 0
+    # Labels that don't follow from the text: probabilities of rows a model has seen would still
+    # tell them, those of unseen rows don't, so the second model must not lean on them.
+    noise = rng.random(400) < 0.5
+    model = toxicity.fit_chain(texts, np.column_stack([noise, noise]), ("a", "b"))
+    assert model.models[1].earlier[0] < 0.5
+    seen = model.probabilities(texts)[:, 0]
+    nothing = toxicity._Rows(np.zeros(0, int), np.zeros(0, int), np.zeros(0), (400, 1))
+    assert toxicity.fit_logistic(nothing, seen[:, None], noise.astype(float)).earlier[0] > 1
+
+
+def test_logistic_fit_has_no_slope_left():
     x = toxicity._Rows(np.array([0, 1, 1]), np.array([0, 0, 1]), np.array([1.0, 1.0, 2.0]), (2, 2))
     fitted = toxicity.fit_logistic(x, np.zeros((2, 0)), np.array([0.0, 1.0]), penalty=0.1)
     slope = x.back(fitted.probability(x, np.zeros((2, 0))) - [0, 1]) + 0.1 * fitted.weights
@@ -141,7 +151,7 @@ def test_decontamination_against_all_windows(spark):
     benchmark = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as item", "'q' as bag", "3 as n_words")
     table = documents(spark, [(i, t, None) for i, t in docs]).repartition(3)
     want = leaks_by_hand(docs, items)
-    for lot in (1_000_000, 40):
+    for lot in (1_000_000, 150):
         got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.contaminated(table, benchmark, lot_shingles=lot).collect()}
         assert got == want
     clean = {r["doc_id"] for r in decontaminate.drop_contaminated(table, benchmark).collect()}
