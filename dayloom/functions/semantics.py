@@ -73,3 +73,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     if how in ("full", "outer", "full_outer", "right", "right_outer"):
         joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(f"__right_{k}")) for k in keys})
     return joined.drop(*[f"__right_{k}" for k in keys])
+
+
+def join_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str], spread: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Null-safe join of `facts`, one row per group, to rows whose groups may be few and large.
+
+    The facts are repeated once per salt and the rows take a salt from column `spread`, so a
+    group of a third of all rows is dealt over `salts` tasks. (Spark broadcasts the facts
+    instead where it knows that they are small.)
+    """
+    repeated = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return join_null_safe(rows, repeated, [*keys, "__salt"], how).drop("__salt")

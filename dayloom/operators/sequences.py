@@ -1,29 +1,28 @@
 """Whole-day sequences: day profiles, dynamic Hamming distances and routine typologies.
 
 A full diary x diary distance matrix grows with the square of the data, so nothing here builds
-one over all diaries. Distances are taken from any number of sequences to a bounded set of
-reference sequences, and two identities keep the rest linear: the distance is a sum over slots,
+one over all diaries. Distances are taken from any number of sequences to the reference
+sequences asked for, and two identities keep the rest linear: the distance is a sum over slots,
 so the total distance from one sequence to all members of a cluster depends only on the
 cluster's state counts per slot.
 """
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.recode import STATES, slot_to_time
-from dayloom.functions.semantics import share, sum_or_zero
+from dayloom.functions.semantics import join_group_facts, share, sum_or_zero
 from dayloom.operators.aggregate import weighted_share
 from dayloom.operators.reshape import explode_grid
 from dayloom.runtime import cut_lineage
-from dayloom.sources.keys import small_table
 
-# Reference sequences are sent to every task; this bounds them (4096 x 144 bytes is 0.6 MB).
-MAX_REFERENCES = 4096
+# References go to the tasks in blocks of this many: slots x states x 512 doubles are 3 MB.
+REFERENCE_BLOCK = 512
 
 
 def sequences(
@@ -185,15 +184,19 @@ def _reference_costs(refs: np.ndarray, costs: np.ndarray) -> np.ndarray:
 
 
 def collect_references(refs: DataFrame, id: str = "diaryid") -> tuple[list, np.ndarray]:
-    """Ids and code matrix of a reference set, refusing one beyond the bound."""
-    rows = refs.select(id, "states").orderBy(id).limit(MAX_REFERENCES + 1).collect()
-    if len(rows) > MAX_REFERENCES:
-        raise ValueError(
-            f"more than {MAX_REFERENCES} reference sequences: reduce them with representatives() first"
-        )
+    """Ids and code matrix of a reference set: the medoids, as many as the caller asked for."""
+    rows = refs.select(id, "states").orderBy(id).collect()
     return [r[0] for r in rows], np.array([list(r[1]) for r in rows], dtype=np.int64).reshape(len(rows), -1)
 
 
+def _reference_blocks(refs: DataFrame, costs: np.ndarray, id: str) -> Iterator[tuple[list, Column]]:
+    """(ids, distances to them as an array column), for blocks of references of a task's size."""
+    ids, codes = collect_references(refs, id)
+    for at in range(0, len(ids), REFERENCE_BLOCK):
+        block = slice(at, at + REFERENCE_BLOCK)
+        yield ids[block], _distance_column(_reference_costs(codes[block], costs), costs.shape[1])("states")
+
+
 def _distance_column(table: np.ndarray, k: int):
     """Arrow-batched distances from code vectors to every column of a cost table."""
 
@@ -210,16 +213,20 @@ def _distance_column(table: np.ndarray, k: int):
 
 
 def distances_to(seqs: DataFrame, refs: DataFrame, costs: np.ndarray, id: str = "diaryid") -> DataFrame:
-    """Distances from every sequence to a bounded reference set: (id, ref, dist).
+    """Distances from every sequence to every reference: (id, ref, dist).
 
-    A map over the sequences, without a shuffle: the references travel to the tasks.
+    A map over the sequences, without a shuffle: the references travel to the tasks, a block at
+    a time.
     """
-    ref_ids, codes = collect_references(refs, id)
-    udf = _distance_column(_reference_costs(codes, costs), costs.shape[1])
-    ids = F.array(*[F.lit(r) for r in ref_ids])
-    return seqs.select(id, F.explode(F.arrays_zip(ids.alias("ref"), udf("states").alias("dist"))).alias("d")).select(
-        id, F.col("d.ref").alias("ref"), F.col("d.dist").alias("dist")
-    )
+    out = None
+    for ids, distances in _reference_blocks(refs, costs, id):
+        pairs = F.arrays_zip(F.array(*[F.lit(r) for r in ids]).alias("ref"), distances.alias("dist"))
+        block = seqs.select(id, F.explode(pairs).alias("d"))
+        block = block.select(id, F.col("d.ref").alias("ref"), F.col("d.dist").alias("dist"))
+        out = block if out is None else out.unionByName(block)
+    if out is None:
+        return seqs.select(id, F.col(id).alias("ref"), F.lit(0.0).alias("dist")).limit(0)
+    return out
 
 
 def distinct_sequences(seqs: DataFrame, id: str = "diaryid") -> DataFrame:
@@ -237,113 +244,12 @@ def _code_text(c: str = "states"):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), "")
 
 
-def representatives(seqs: DataFrame, limit: int = 512, id: str = "diaryid") -> DataFrame:
-    """A bounded set of distinct sequences to build a typology on: (id, states, n_copies).
+def seed_medoids(seqs: DataFrame, k: int, id: str = "diaryid") -> DataFrame:
+    """k distinct days to start k-medoids from: (id, states, n_copies).
 
-    All distinct sequences when there are at most `limit`; otherwise those with the smallest
-    hash, a uniform draw of the distinct days. Every diary is still assigned afterwards.
+    Those with the smallest hash, a uniform draw of the distinct days; fewer if there are fewer.
     """
-    return distinct_sequences(seqs, id).orderBy(F.md5(_code_text())).limit(limit)
-
-
-def pairwise_distance(reps: DataFrame, costs: np.ndarray, id: str = "diaryid") -> DataFrame:
-    """Lower triangle of the distances within a bounded set: (id_a, id_b, dist), id_a < id_b."""
-    return (
-        distances_to(reps, reps, costs, id)
-        .filter(F.col(id) < F.col("ref"))
-        .select(F.col(id).alias("id_a"), F.col("ref").alias("id_b"), "dist")
-    )
-
-
-def _merge_tree(d: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float, float]]:
-    """Average-linkage merges (kept, absorbed, height, size) of a distance matrix.
-
-    Follows nearest neighbours until two clusters are each other's nearest and merges those,
-    which for this linkage gives the same tree as always merging the closest pair.
-    """
-    d, sizes = d.astype(float).copy(), sizes.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    active = np.ones(len(d), dtype=bool)
-    merges, chain = [], []
-    while len(merges) < len(d) - 1:
-        if not chain:
-            chain.append(int(np.argmax(active)))
-        here = chain[-1]
-        row = np.where(active, d[here], np.inf)
-        nearest = int(np.argmin(row))
-        if len(chain) > 1 and row[chain[-2]] <= row[nearest]:
-            nearest = chain[-2]
-        if len(chain) < 2 or nearest != chain[-2]:
-            chain.append(nearest)
-            continue
-        height = row[nearest]
-        kept, gone = min(here, nearest), max(here, nearest)
-        joined = (sizes[kept] * d[kept] + sizes[gone] * d[gone]) / (sizes[kept] + sizes[gone])
-        sizes[kept] += sizes[gone]
-        d[kept], d[:, kept] = joined, joined
-        d[kept, kept] = np.inf
-        active[gone] = False
-        merges.append((kept, gone, float(height), float(sizes[kept])))
-        del chain[-2:]
-    return merges
-
-
-def agglomerate(pairs: DataFrame, sizes: DataFrame, id: str = "diaryid", n: str = "n_copies") -> DataFrame:
-    """Average-linkage merges of a bounded set: (a, b, height, size); b joins a, a < b.
-
-    The pairs are those of a reference set, whose size does not grow with the data (at most
-    MAX_REFERENCES, checked), so its tree is one small task. Copies of a day count in the means.
-    """
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = np.unique(np.concatenate([pdf["id_a"], pdf["id_b"]]))
-        if len(labels) > MAX_REFERENCES:
-            raise ValueError(f"more than {MAX_REFERENCES} sequences in a merge tree")
-        i, j = np.searchsorted(labels, pdf["id_a"]), np.searchsorted(labels, pdf["id_b"])
-        d = np.zeros((len(labels), len(labels)))
-        # Rounded, so that the order of float additions cannot break ties.
-        d[i, j] = d[j, i] = pdf["dist"].round(9)
-        counts = np.ones(len(labels))
-        counts[i], counts[j] = pdf["na"], pdf["nb"]
-        merges = [(labels[a], labels[b], h, m) for a, b, h, m in _merge_tree(d, counts)]
-        return pd.DataFrame(merges, columns=["a", "b", "height", "size"])
-
-    size_a = sizes.select(F.col(id).alias("id_a"), F.col(n).cast("double").alias("na"))
-    size_b = sizes.select(F.col(id).alias("id_b"), F.col(n).cast("double").alias("nb"))
-    sized = pairs.join(size_a, "id_a").join(size_b, "id_b")
-    return sized.groupBy().applyInPandas(tree, "a bigint, b bigint, height double, size double")
-
-
-def cut_tree(merges: DataFrame, members: DataFrame, k: int, id: str = "diaryid") -> DataFrame:
-    """Cut a merge tree into k groups, numbered in dendrogram order: (id, group).
-
-    The tree has at most MAX_REFERENCES - 1 rows. Its k - 1 highest merges are undone; the
-    others link each label to the one it joined.
-    """
-    rows = merges.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).collect()
-    undone, kept = rows[: k - 1], rows[k - 1 :]
-    up = {r["b"]: r["a"] for r in kept}
-    above = {r["b"]: (r["a"], r["height"]) for r in undone}
-
-    def root(label):
-        while label in up:
-            label = up[label]
-        return label
-
-    def place(label):
-        steps = []
-        while label in above:
-            label, height = above[label]
-            steps.append(height)
-            label = root(label)
-        return label, steps[::-1]
-
-    labels = {r["a"] for r in rows} | {r["b"] for r in rows} or {r[0] for r in members.select(id).limit(2).collect()}
-    roots = {label: root(label) for label in labels}
-    numbers = {r: i for i, (_, r) in enumerate(sorted((place(r), r) for r in set(roots.values())), 1)}
-    groups = [(int(label), numbers[r]) for label, r in roots.items()]
-    table = small_table(members.sparkSession, groups, **{id: pa.int64(), "group": pa.int32()})
-    return members.select(id).join(table, id)
+    return distinct_sequences(seqs, id).orderBy(F.md5(_code_text())).limit(k)
 
 
 def recluster(clusters: DataFrame, key: DataFrame, raw: str = "cluster60") -> DataFrame:
@@ -357,27 +263,23 @@ def recluster(clusters: DataFrame, key: DataFrame, raw: str = "cluster60") -> Da
     )
 
 
-def merge_heights(merges: DataFrame, n: int = 50) -> DataFrame:
-    """The largest merge heights after the very first, descending: (rank, height)."""
-    top = merges.orderBy(F.desc("height")).limit(n + 1).select("height")
-    # n + 1 rows meet in this window.
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("height"))))
-    return ranked.filter(F.col("rank") > 1).select("rank", "height")
-
-
 def assign_to_medoids(seqs: DataFrame, medoids: DataFrame, costs: np.ndarray, id: str = "diaryid") -> DataFrame:
-    """Nearest medoid of every sequence: seqs plus (medoid, dist). Ties go to the smaller id."""
-    ids, codes = collect_references(medoids, id)
-    udf = _distance_column(_reference_costs(codes, costs), costs.shape[1])
-    # The distances are one array per row; its minimum is found in the same map.
-    labels = F.array(*[F.lit(i) for i in ids])
-    best = F.array_min(F.col("__d"))
-    return (
-        seqs.withColumn("__d", udf("states"))
-        .withColumn("dist", best)
-        .withColumn("medoid", F.element_at(labels, F.array_position("__d", F.col("dist")).cast("int")))
-        .drop("__d")
-    )
+    """Nearest medoid of every sequence: seqs plus (medoid, dist). Ties go to the smaller id.
+
+    Distances are rounded before they are compared, so the order of additions decides nothing.
+    """
+    nearest = []
+    out = seqs
+    for ids, distances in _reference_blocks(medoids, costs, id):
+        names, column = F.array(*[F.lit(i) for i in ids]), f"__d{len(nearest)}"
+        out = out.withColumn(column, F.transform(distances, lambda d: F.round(d, 9)))
+        # Ids of a block and the blocks are in order, so the first smallest distance is wanted.
+        best = F.array_min(column)
+        medoid = F.element_at(names, F.array_position(column, best).cast("int"))
+        nearest.append(F.struct(best.alias("dist"), medoid.alias("medoid")))
+    best = F.array_min(F.array(*nearest))
+    dropped = [f"__d{i}" for i in range(len(nearest))]
+    return out.withColumns({"dist": best["dist"], "medoid": best["medoid"]}).drop(*dropped)
 
 
 def cluster_profiles(assigned: DataFrame, group: str, weight: str | None = None) -> DataFrame:
@@ -390,70 +292,76 @@ def cluster_profiles(assigned: DataFrame, group: str, weight: str | None = None)
     )
 
 
+def group_costs(profiles: DataFrame, group: str, costs: np.ndarray) -> DataFrame:
+    """(group, row): the total cost over the group's members of being in each state at each slot.
+
+    A group has at most slots x states profile rows and one row here, an array of that size.
+    """
+    t, k, _ = costs.shape
+
+    def row_of(profile: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((t, k))
+        counts[profile["slot"] - 1, profile["code"]] = profile["n"]
+        row = np.einsum("tab,tb->ta", costs, counts).reshape(-1)
+        return pd.DataFrame({group: profile[group].iloc[:1], "row": [row]})
+
+    kind = profiles.schema[group].dataType.simpleString()
+    return profiles.groupBy(group).applyInPandas(row_of, f"`{group}` {kind}, row array<double>")
+
+
 def group_medoids(assigned: DataFrame, group: str, costs: np.ndarray, id: str = "diaryid", weight: str | None = None) -> DataFrame:
     """Member with the smallest total distance to its group: (group, id, states, total).
 
     The total distance from a sequence to all members is its cost against the group's state
-    counts, so no member pairs are formed.
+    counts, so no member pairs are formed. The groups' cost rows are joined, one copy per salt,
+    so a group of any size is scored by many tasks.
     """
-    t, k, _ = costs.shape
-    profile = cluster_profiles(assigned, group, weight).collect()
-    groups = sorted({r[0] for r in profile})
-    place = {g: i for i, g in enumerate(groups)}
-    counts = np.zeros((t, k, len(groups)))
-    for g, slot, code, n in profile:
-        counts[slot - 1, code, place[g]] = n
-    table = np.einsum("tab,tbg->tag", costs, counts).reshape(t * k, len(groups))
-    udf = _distance_column(table, k)
-    labels = F.array(*[F.lit(g) for g in groups])
-    own = F.element_at(F.col("__d"), F.array_position(labels, F.col(group)).cast("int"))
+    k = costs.shape[1]
+    rows = group_costs(cluster_profiles(assigned, group, weight), group, costs)
+    joined = join_group_facts(assigned.select(group, id, "states"), rows, [group], id, "inner")
+    total = F.aggregate(
+        F.sequence(F.lit(0), F.size("states") - 1),
+        F.lit(0.0),
+        lambda sum_, i: sum_ + F.get("row", i * k + F.get("states", i)),
+    )
     # Rounded so that the order of float additions cannot decide between copies.
-    totals = assigned.withColumn("__d", udf("states")).select(group, id, "states", F.round(own, 9).alias("total"))
+    totals = joined.select(group, id, "states", F.round(total, 9).alias("total"))
     best = totals.groupBy(group).agg(F.min_by(F.struct(id, "states", "total"), F.struct("total", id)).alias("m"))
     return best.select(group, "m.*")
 
 
-def k_medoids(
-    seqs: DataFrame, medoids: DataFrame, costs: np.ndarray, rounds: int = 10, id: str = "diaryid"
-) -> tuple[DataFrame, DataFrame]:
-    """Alternate assignment and medoid update until the medoids stay: (assigned, medoids).
+@dataclass
+class Typology:
+    """k-medoids: `assigned` sequences with (medoid, dist), the `medoids`, rounds taken, whether they settled."""
 
-    Each round is two passes over the sequences; only k medoids and their profiles move.
-    """
-    current = cut_lineage(medoids.select(id, "states"))
-    for _ in range(rounds):
-        assigned = assign_to_medoids(seqs, current, costs, id)
-        updated = cut_lineage(group_medoids(assigned, "medoid", costs, id).select(id, "states"))
-        before = {r[0] for r in current.select(id).collect()}
-        after = {r[0] for r in updated.select(id).collect()}
-        current = updated
-        if before == after:
-            break
-    return assign_to_medoids(seqs, current, costs, id), current
+    assigned: DataFrame
+    medoids: DataFrame
+    rounds: int
+    settled: bool
 
 
-def routine_typology(
-    seqs: DataFrame,
-    costs: np.ndarray,
-    k: int = 60,
-    limit: int = 512,
-    id: str = "diaryid",
-) -> DataFrame:
-    """Raw routine of every diary: (label, cluster60).
+def k_medoids(seqs: DataFrame, seeds: DataFrame, costs: np.ndarray, id: str = "diaryid") -> Typology:
+    """Alternate assignment and medoid update over all sequences until the medoids stay; runs jobs.
 
-    The tree is built on a bounded set of distinct days. If that set holds all distinct days,
-    every diary takes the group of its own day, as a full hierarchical clustering would give;
-    otherwise each diary joins the group whose medoid is nearest.
+    Equal days are worked on once, weighted by their copies. Each round is two passes over the
+    distinct days; only the medoids' ids come to the driver. Rounds never raise the total
+    distance; should they return to medoids they had before, the run ends unsettled and says so.
     """
-    reps = cut_lineage(representatives(seqs, limit, id))
-    n_reps = reps.count()
-    merges = agglomerate(pairwise_distance(reps, costs, id), reps, id)
-    groups = cut_tree(merges, reps, min(k, n_reps), id)
-    grouped = cut_lineage(reps.join(groups, id))
-    if n_reps < limit:
-        text = grouped.select(_code_text().alias("__day"), F.col("group").alias("cluster60"))
-        return seqs.withColumn("__day", _code_text()).join(text, "__day").select(F.col(id).alias("label"), "cluster60")
-    medoids = cut_lineage(group_medoids(grouped, "group", costs, id, "n_copies"))
-    numbers = medoids.select(F.col(id).alias("medoid"), F.col("group").alias("cluster60"))
-    assigned = assign_to_medoids(seqs, medoids, costs, id)
-    return assigned.join(numbers, "medoid").select(F.col(id).alias("label"), "cluster60")
+    days = cut_lineage(distinct_sequences(seqs, id))
+    current = cut_lineage(seeds.select(id, "states"))
+    seen: list[frozenset] = [frozenset(r[0] for r in current.select(id).collect())]
+    while True:
+        assigned = assign_to_medoids(days, current, costs, id)
+        current = cut_lineage(group_medoids(assigned, "medoid", costs, id, "n_copies").select(id, "states"))
+        now = frozenset(r[0] for r in current.select(id).collect())
+        if now in seen:
+            break
+        seen.append(now)
+    return Typology(assign_to_medoids(seqs, current, costs, id), current, len(seen), now == seen[-1])
+
+
+def routine_typology(typology: Typology, id: str = "diaryid") -> DataFrame:
+    """Raw routine of every diary, the medoids numbered by id: (label, cluster60)."""
+    ids = sorted(r[0] for r in typology.medoids.select(id).collect())
+    place = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("medoid"))
+    return typology.assigned.select(F.col(id).alias("label"), place.cast("int").alias("cluster60"))

@@ -4,14 +4,13 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import recode as R
 from dayloom.operators import sequences as Q
+from dayloom.operators.aggregate import filter_matches
 from dayloom.plans import sql_tables as T
 from dayloom.plans.registry import query
 from dayloom.sources import keys, standin
 
 N_SLOTS = 144
-N_REFERENCES = 512
 N_MEDOIDS = 12
-K = 12
 
 STATE_CODE = "case coded5_activity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(R.STATES)) + " end"
 STATE_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(R.STATES))
@@ -46,7 +45,6 @@ costs as (
 texts as (
   select diaryid, string_agg(cast(code as varchar), '' order by slot) as day, max(weight) as weight from cells2 group by diaryid),
 days as (select day, min(diaryid) as diaryid, count(*) as n_copies from texts group by day),
-refs as (select * from days order by md5(day) limit {N_REFERENCES}),
 meds as (select * from days order by md5(day) limit {N_MEDOIDS})
 """
 
@@ -106,6 +104,15 @@ def tempogram_overall(s):
     return Q.tempogram(s.diaries, None)
 
 
+# Day profiles of chosen routines, by a pattern of their description (filtered after the shares are made).
+CHOSEN_ROUTINES = {"workdays": "Workday", "unpaid": "[Uu]npaid", "leisure": "[Ll]eisure", "disrupted": "[Dd]isrupted|[Rr]est"}
+
+for _name, _pattern in CHOSEN_ROUTINES.items():
+    query(
+        f"tempogram_{_name}", f"select * from ({TEMPOGRAM}) x where regexp_matches(description, '{_pattern}')", "percent"
+    )(lambda s, pattern=_pattern: filter_matches(Q.tempogram(s.diaries), "description", pattern))
+
+
 @query(
     "sequences",
     SEQ_SQL + "select diaryid, weight, day from texts",
@@ -130,18 +137,20 @@ def distinct_sequences(s):
     return Q.distinct_sequences(sequence_table(s)).select(Q._code_text().alias("day"), "diaryid", "n_copies")
 
 
-_DIST = """
-select x.diaryid as id_a, y.diaryid as id_b, sum(c.cost) as dist
-from refs x join refs y on x.diaryid < y.diaryid
-join cells2 a on a.diaryid = x.diaryid join cells2 b on b.diaryid = y.diaryid and b.slot = a.slot
+@query(
+    "distances_to",
+    SEQ_SQL
+    + """
+select a.diaryid, m.diaryid as ref, sum(c.cost) as dist
+from cells2 a join meds m on true join cells2 b on b.diaryid = m.diaryid and b.slot = a.slot
 join costs c on c.slot = a.slot and c.ca = a.code and c.cb = b.code
-group by x.diaryid, y.diaryid"""
-
-
-@query("pairwise_distance", SEQ_SQL + _DIST, "dist")
-def pairwise_distance(s):
+group by a.diaryid, m.diaryid""",
+    "dist",
+)
+def distances_to(s):
+    """Every complete diary against the seeds of the typology."""
     seqs, costs = prepared(s)
-    return Q.pairwise_distance(Q.representatives(seqs, N_REFERENCES), costs)
+    return Q.distances_to(seqs, Q.seed_medoids(seqs, N_MEDOIDS), costs)
 
 
 @query(
@@ -158,15 +167,78 @@ select diaryid, medoid, dist from (
 )
 def assign_medoids(s):
     seqs, costs = prepared(s)
-    medoids = Q.representatives(seqs, N_MEDOIDS)
+    medoids = Q.seed_medoids(seqs, N_MEDOIDS)
     return Q.assign_to_medoids(seqs, medoids, costs).select("diaryid", "medoid", "dist")
 
 
-@query("k_medoids")
-def k_medoids(s):
+# Rounds written out in SQL, more than the test tables need; settled medoids stay as they are.
+SQL_ROUNDS = 12
+
+
+def _rounds_sql() -> str:
+    """Medoids after SQL_ROUNDS rounds (`final`), from distances between distinct days."""
+    ctes = [
+        SEQ_SQL
+        + """,
+dist as materialized (
+  select x.diaryid as a, y.diaryid as b, y.n_copies as n, round_even(sum(c.cost), 9) as d
+  from days x cross join days y join cells2 p on p.diaryid = x.diaryid join cells2 q on q.diaryid = y.diaryid and q.slot = p.slot
+  join costs c on c.slot = p.slot and c.ca = p.code and c.cb = q.code group by x.diaryid, y.diaryid, y.n_copies),
+m0 as materialized (select diaryid as m from meds)"""
+    ]
+    for r in range(SQL_ROUNDS):
+        ctes.append(f"""
+g{r} as materialized (select b as day, n, m from (
+  select b, n, m, row_number() over (partition by b order by d, m) as rn from dist join m{r} on m = a) x where rn = 1),
+m{r + 1} as materialized (select day as m from (
+  select x.day, row_number() over (partition by x.m order by round_even(sum(d.d * y.n), 6), x.day) as rn
+  from g{r} x join g{r} y on y.m = x.m join dist d on d.a = x.day and d.b = y.day group by x.m, x.day) x where rn = 1)""")
+    ctes.append(f"""
+final as materialized (select diaryid, medoid, dist from (
+  select t.diaryid, m as medoid, d.d as dist, row_number() over (partition by t.diaryid order by d.d, m) as rn
+  from texts t join days y on y.day = t.day join dist d on d.b = y.diaryid join m{SQL_ROUNDS} on m = d.a) x where rn = 1)""")
+    return ",".join(ctes)
+
+
+MEDOIDS_SQL = _rounds_sql()
+
+
+def typology_of(s):
+    """k-medoids over all complete diaries."""
     seqs, costs = prepared(s)
-    assigned, _ = Q.k_medoids(seqs, Q.representatives(seqs, N_MEDOIDS), costs, rounds=4)
-    return assigned.select("diaryid", "medoid", "dist")
+    return Q.k_medoids(seqs, Q.seed_medoids(seqs, N_MEDOIDS), costs)
+
+
+@query("k_medoids", MEDOIDS_SQL + "select diaryid, medoid, dist from final", "dist")
+def k_medoids(s):
+    return typology_of(s).assigned.select("diaryid", "medoid", "dist")
+
+
+NUMBERED_SQL = """,
+numbers as (select medoid, row_number() over (order by medoid) as cluster60 from (select distinct medoid from final) x)"""
+
+
+@query(
+    "medoid_profile",
+    MEDOIDS_SQL
+    + NUMBERED_SQL
+    + f""",
+w as (select n.cluster60, d.slot, d.coded5_activity, d.weight from diaries d join final f on f.diaryid = d.diaryid join numbers n on n.medoid = f.medoid),
+c as (select cluster60, slot, coded5_activity, coalesce(sum(weight), 0) as n from w group by all),
+p as (select cluster60, slot, coded5_activity, n / nullif(sum(n) over (partition by cluster60, slot), 0) as percent from c),
+f2 as (select cluster60, count(*) as group_size from w group by cluster60)
+select cast(f2.cluster60 as int) as cluster60, t.slot, v.state as coded5_activity, coalesce(p.percent, 0) as percent,
+       timestamp '2020-01-01 04:00:00' + to_minutes(10 * (t.slot - 1)) as slot_time, f2.group_size
+from f2 cross join (select cast(unnest(range(1, {N_SLOTS + 1})) as int) as slot) t
+cross join (values {', '.join(f"('{s}')" for s in R.STATES)}) v(state)
+left join p on p.cluster60 = f2.cluster60 and p.slot = t.slot and p.coded5_activity = v.state""",
+    "percent",
+)
+def medoid_profile(s):
+    """The day profile of every computed routine."""
+    raw = Q.routine_typology(typology_of(s)).withColumnRenamed("label", "diaryid")
+    slots = s.diaries.select("diaryid", "slot", "coded5_activity", "weight").join(raw, "diaryid")
+    return Q.tempogram(slots, "cluster60", label=None)
 
 
 @query(
@@ -190,35 +262,20 @@ def group_medoids(s):
     return Q.group_medoids(grouped, "grp", costs).select("grp", "diaryid", "total")
 
 
-def _merges(s):
-    seqs, costs = prepared(s)
-    reps = Q.cut_lineage(Q.representatives(seqs, N_REFERENCES))
-    return reps, Q.agglomerate(Q.pairwise_distance(reps, costs), reps)
-
-
-@query("agglomerate")
-def agglomerate(s):
-    return _merges(s)[1]
-
-
-@query("merge_heights")
-def merge_heights(s):
-    return Q.merge_heights(_merges(s)[1], 50)
-
-
-@query("cut_tree")
-def cut_tree(s):
-    reps, merges = _merges(s)
-    return Q.cut_tree(merges, reps, K)
-
-
 @query("recluster", "select label, cluster60, description, cluster from clusters")
 def recluster(s):
     return Q.recluster(standin.raw_clusters(s.spark, s.folder), keys.recluster_key(s.spark))
 
 
-@query("routine_typology")
+@query(
+    "routine_typology",
+    MEDOIDS_SQL
+    + NUMBERED_SQL
+    + """
+select f.diaryid as label, cast(n.cluster60 as int) as cluster60, k.description, k.cluster
+from final f join numbers n on n.medoid = f.medoid
+left join routines k on k.original_cluster = n.cluster60""",
+)
 def routine_typology(s):
-    seqs, costs = prepared(s)
-    raw = Q.routine_typology(seqs, costs, 60, N_REFERENCES)
-    return Q.recluster(raw, keys.recluster_key(s.spark))
+    """Computed routines, named like the published ones."""
+    return Q.recluster(Q.routine_typology(typology_of(s)), keys.recluster_key(s.spark))
