@@ -58,7 +58,6 @@ def activity_long(slots: DataFrame, codebook: DataFrame, key: DataFrame, labels:
     return (
         decoded.join(pri, F.col("pri") == F.col("__p"), "left")
         .join(sec, F.col("sec") == F.col("__s"), "left")
-        .withColumn("pri_code", F.col("pri"))
         .withColumns({"pri": F.col("__pri"), "sec": F.col("__sec"), "coded5_activity": R.code5("activity_group")})
         .drop("__p", "__s", "__pri", "__sec")
     )
@@ -76,16 +75,19 @@ def multitasking_agg() -> dict[str, Column]:
     return {"n_multi": F.count_if(F.col("sec_tidied").isNotNull() & (F.col("pri_tidied") != F.col("sec_tidied")))}
 
 
-def distinct_codes(test: Column, code: str = "pri_code") -> Column:
-    """Distinct activity codes among the slots that pass a test; NULL if none does."""
-    return F.bit_count(F.bit_or(F.when(test, F.expr(f"shiftleft(1L, {code})"))))
+def distinct_labels(test: Column, label: str = "pri_tidied") -> Column:
+    """Distinct tidy activities among the slots that pass a test; NULL if there is none.
+
+    A diary has a bounded number of slots, so the set is small whatever codes a survey uses.
+    """
+    return F.nullif(F.size(F.collect_set(F.when(test, F.col(label)))), F.lit(0))
 
 
 def leisure_aggs() -> dict[str, Column]:
     """Leisure slots, variety, out-of-home variety and media share of a diary.
 
     Share and variety are missing for a diary without leisure; leisure time is missing if a slot
-    is unknown. Activity codes are below 63, so the set of those seen is the bits of one number.
+    is unknown.
     """
     is_leisure = F.col("activity_group").contains("leisure")
     tidy = F.col("pri_tidied")
@@ -93,9 +95,9 @@ def leisure_aggs() -> dict[str, Column]:
     n_leisure = F.count_if(is_leisure)
     return {
         "leisure_time": F.when(F.count_if(state.isNull()) == 0, F.sum(state.cast("int"))),
-        "voracity": distinct_codes(is_leisure),
+        "voracity": distinct_labels(is_leisure),
         "outside_voracity": F.when(
-            n_leisure > 0, F.coalesce(distinct_codes(is_leisure & tidy.isin(OUTSIDE_LEISURE)), F.lit(0))
+            n_leisure > 0, F.coalesce(distinct_labels(is_leisure & tidy.isin(OUTSIDE_LEISURE)), F.lit(0))
         ),
         "leisure_media": share(F.count_if(is_leisure & (tidy == MEDIA)), n_leisure),
     }
@@ -153,9 +155,12 @@ def recoded_respondents(raw: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def respondent_data(recoded: DataFrame, indicators: DataFrame) -> DataFrame:
-    """The analysed sample with its diary indicators, telework status and day types."""
-    joined = recoded.filter(R.in_sample("dagegrp", "econstat")).join(indicators, "diaryid", "left")
+def respondent_data(recoded: DataFrame, indicators: DataFrame, how: str = "left") -> DataFrame:
+    """The analysed sample with its diary indicators, telework status and day types.
+
+    With how="inner", only those with a diary: `recoded` may then hold others too.
+    """
+    joined = recoded.filter(R.in_sample("dagegrp", "econstat")).join(indicators, "diaryid", how)
     return joined.withColumns(
         {
             "teleworkday": R.teleworkday("workday", "telework"),
@@ -167,12 +172,23 @@ def respondent_data(recoded: DataFrame, indicators: DataFrame) -> DataFrame:
 class Study:
     """The base tables of one data folder, each a lazy DataFrame.
 
-    For repeated work on large data, write `activity` and `respondents` once with `save_table`
-    and pass the re-read tables in; every operator takes plain DataFrames.
+    For repeated work on large data, write `activity`, `respondents` and `clusters` once with
+    `save_table` and pass the re-read tables in; a `key` of one's own replaces the shipped one.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        activity: DataFrame | None = None,
+        respondents: DataFrame | None = None,
+        clusters: DataFrame | None = None,
+        key: DataFrame | None = None,
+    ):
         self.spark, self.folder = spark, folder
+        given = {"activity": activity, "respondents": respondents, "clusters": clusters, "key": key}
+        # A table set here is found before the property that would compute it.
+        self.__dict__.update({n: t for n, t in given.items() if t is not None})
 
     @cached_property
     def codebook(self) -> DataFrame:
@@ -208,13 +224,26 @@ class Study:
     def recoded(self) -> DataFrame:
         return recoded_respondents(self.raw, self.clusters)
 
+    @cached_property
+    def answered(self) -> DataFrame:
+        """Recoded answers of everyone, with or without a diary: joins with diaries drop the others.
+
+        Made without reading the events, so that a report reads them once, for the diaries.
+        """
+        answers = standin.answers(self.spark, self.folder)
+        clusters = self.__dict__.get("clusters")
+        if clusters is None:
+            raw = standin.clusters_of(answers.select(F.col("diaryid").alias("label")))
+            clusters = recluster(raw, keys.recluster_key(self.spark))
+        return recoded_respondents(answers, clusters)
+
     @cached_property
     def indicators(self) -> DataFrame:
         return diary_indicators(self.activity)
 
     @cached_property
     def respondents(self) -> DataFrame:
-        return respondent_data(self.recoded, self.indicators)
+        return respondent_data(self.answered, self.indicators, "inner")
 
     @cached_property
     def sample(self) -> DataFrame:
@@ -224,4 +253,4 @@ class Study:
     @cached_property
     def diaries(self) -> DataFrame:
         """Slots of the analysed sample with the respondent's columns; other diaries drop out."""
-        return self.activity.join(self.sample, "diaryid")
+        return self.activity.join(self.answered.filter(R.in_sample("dagegrp", "econstat")), "diaryid")

@@ -111,8 +111,8 @@ def _activity_code() -> Column:
     return _case("concat(event_type, k % 3)", codes)
 
 
-def slots_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(diaryid, slot) with coded pri, sec, loc, enj, dev, whoa..whod; every slot of every diary.
+def slots_long(spark: SparkSession, sf_dir: str, start: str = START, slot_seconds: int = SLOT_SECONDS) -> DataFrame:
+    """(diaryid, slot) of the 144 slots from `start` on, with coded pri, sec, loc, enj, dev, whoa..whod; every slot of every diary.
 
     Events are first reduced to one row per user and slot with map-side partial aggregates over
     fixed-width values, so one user with a third of all events sends at most 144 rows per map
@@ -121,9 +121,9 @@ def slots_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("diaryid"), "event_id", "ts", "event_type", "value", "props"
     )
-    seconds = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(START)), F.col("ts").cast("timestamp_ntz"))
+    seconds = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit(start)), F.col("ts").cast("timestamp_ntz"))
     cells = (
-        events.withColumn("slot", (1 + F.floor(seconds / float(SLOT_SECONDS))).cast("int"))
+        events.withColumn("slot", (1 + F.floor(seconds / float(slot_seconds))).cast("int"))
         .filter(F.col("slot").between(1, SLOTS))
         .withColumn("k", F.regexp_substr("props", F.lit("[0-9]+")).cast("int"))
         .withColumn("code", _activity_code())
@@ -173,11 +173,8 @@ def wide_diaries(spark: SparkSession, sf_dir: str, measures=("pri", "sec", "loc"
     )
 
 
-def raw_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per diary with answers as recorded, before any recode."""
-    users = (
-        read_table(spark, sf_dir, "events").select(F.col("user_id").alias("diaryid")).distinct()
-    )
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw answers of everyone who could keep a diary, before any recode; reads no events."""
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
@@ -185,7 +182,7 @@ def raw_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"if(c_custkey % {gap} <> 0, cast(1 + (c_custkey * {step} + c_nationkey) % 5 as int), null) as nq{i}"
         for i, (step, gap) in enumerate([(3, 17), (7, 19), (11, 23), (13, 17)], 1)
     ]
-    return users.join(customer, F.expr("diaryid = c_custkey")).select(
+    return customer.withColumn("diaryid", F.col("c_custkey")).select(
         F.expr("diaryid"),
         F.expr("cast(floor(diaryid / 2) as bigint) as mainid"),
         _pick("diaryid % 3", WAVES).alias("survey"),
@@ -209,9 +206,21 @@ def raw_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(diaryid) of everyone with an event."""
+    return read_table(spark, sf_dir, "events").select(F.col("user_id").alias("diaryid")).distinct()
+
+
+def raw_respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw answers of those who kept a diary, one row per diary."""
+    return users(spark, sf_dir).join(answers(spark, sf_dir), "diaryid")
+
+
+def clusters_of(ids: DataFrame) -> DataFrame:
+    """A stand-in for the typology of diaries (label): raw cluster 1..60, a few diaries without one."""
+    return ids.filter(F.col("label") % 29 != 0).withColumn("cluster60", (1 + (F.col("label") * 7) % 60).cast("int"))
+
+
 def raw_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in for the typology: diary -> raw cluster 1..60, a few diaries without one."""
-    users = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("label")).distinct()
-    return users.filter(F.col("label") % 29 != 0).withColumn(
-        "cluster60", (1 + (F.col("label") * 7) % 60).cast("int")
-    )
+    """(label, cluster60) of those who kept a diary."""
+    return clusters_of(users(spark, sf_dir).withColumnRenamed("diaryid", "label"))
