@@ -74,11 +74,6 @@ ROUTINE_RULES = {
 }
 
 
-def slot_number(c: str | Column) -> Column:
-    """First run of digits in a slot column name, as an integer."""
-    return first_match(c, "[0-9]+").cast("int")
-
-
 def slot_to_time(
     slot: str | Column,
     base: str = "2020-01-01",
@@ -319,10 +314,3 @@ def in_sample(age: str | Column, econ: str | Column) -> Column:
 def in_sample_flag(age: str | Column, econ: str | Column) -> Column:
     """Yes / No, where unknown counts as No."""
     return F.when(is_true(in_sample(age, econ)), "Yes").otherwise("No")
-
-
-def rename_columns(df: DataFrame, pattern: str, replacement: str) -> DataFrame:
-    """Rename the columns whose name matches a regular expression."""
-    import re
-
-    return df.withColumnsRenamed({c: re.sub(pattern, replacement, c) for c in df.columns if re.search(pattern, c)})

@@ -6,7 +6,7 @@ Every aggregate here combines map-side, so a hot group is reduced before it is s
 windows run on aggregated rows only.
 """
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +16,6 @@ from dayloom.operators.reshape import explode_grid
 from dayloom.runtime import cut_lineage
 
 
-# The built-in percentile holds a group's distinct values in one task: only below this bound.
-MAX_BUILTIN_ROWS = 100_000
-
-
 def _names(cols: str | Sequence[str]) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
@@ -145,15 +141,25 @@ def company_slots(
     The companions of a slot are columns of one row, so the per-slot count is an expression and
     a single aggregate per diary is left.
     """
-    from dayloom.functions.recode import ALONE_LABEL, NOT_HOUSEHOLD_PATTERN
-
-    outside_pattern = not_household or NOT_HOUSEHOLD_PATTERN
-    other_pattern = f"{outside_pattern}|{alone or ALONE_LABEL}"
+    test_in, test_out = _company_tests(not_household, alone)
     inside, outside = F.lit(0), F.lit(0)
     for c in companions:
-        inside = inside + F.coalesce((~F.col(c).rlike(other_pattern)).cast("int"), F.lit(0))
-        outside = outside + F.coalesce(F.col(c).rlike(outside_pattern).cast("int"), F.lit(0))
-    counted = slots.select(id, inside.alias("with_household"), outside.alias("with_not_household"))
+        inside = inside + F.coalesce(test_in(c).cast("int"), F.lit(0))
+        outside = outside + F.coalesce(test_out(c).cast("int"), F.lit(0))
+    return _company_totals(slots.select(id, inside.alias("with_household"), outside.alias("with_not_household")), id)
+
+
+def _company_tests(not_household: str | None = None, alone: str | None = None):
+    """Tests of a companion column: a member of the household, someone from outside it."""
+    from dayloom.functions.recode import ALONE_LABEL, NOT_HOUSEHOLD_PATTERN
+
+    outside = not_household or NOT_HOUSEHOLD_PATTERN
+    other = f"{outside}|{alone or ALONE_LABEL}"
+    return lambda c: ~F.col(c).rlike(other), lambda c: F.col(c).rlike(outside)
+
+
+def _company_totals(counted: DataFrame, id: str) -> DataFrame:
+    """Totals per diary from (id, with_household, with_not_household) per slot."""
     aggs = []
     for c in ("with_household", "with_not_household"):
         for word, least in (("one", 1), ("two", 2), ("three", 3)):
@@ -163,11 +169,12 @@ def company_slots(
 
 
 def company_slots_long(who_long: DataFrame, id: str = "diaryid", slot: str = "slot", value: str = "who_value") -> DataFrame:
-    """The same totals from the (diary, slot, companion) form."""
-    per_slot = who_long.groupBy(id, slot).agg(F.array_compact(F.collect_list(value)).alias("who"))
-    width = 4
-    cols = [F.get("who", F.lit(i)).alias(f"w{i}") for i in range(width)]
-    return company_slots(per_slot.select(id, *cols), [f"w{i}" for i in range(width)], id)
+    """The same totals from the (diary, slot, companion) form, with any number of companions in a slot."""
+    test_in, test_out = _company_tests()
+    per_slot = who_long.groupBy(id, slot).agg(
+        F.count_if(test_in(value)).alias("with_household"), F.count_if(test_out(value)).alias("with_not_household")
+    )
+    return _company_totals(per_slot, id)
 
 
 def weighted_total(
@@ -241,13 +248,6 @@ def weighted_mode(
     return cells.withColumn("__best", best).filter(F.col(n) == F.col("__best")).drop("__best")
 
 
-def filter_max(df: DataFrame, group: str | Sequence[str], x: str) -> DataFrame:
-    """Rows equal to their group's maximum, ties kept."""
-    group = _names(group)
-    best = df.groupBy(*group).agg(F.max(x).alias("__best"))
-    return join_null_safe(df, best, group, "inner").filter(F.col(x) == F.col("__best")).drop("__best")
-
-
 def n_distinct(
     df: DataFrame, group: str | Sequence[str], counts: Mapping[str, tuple[str, Column | None]]
 ) -> DataFrame:
@@ -367,31 +367,35 @@ def weighted_density(
     bandwidth: float,
     points: int = 512,
     w: str = "weight",
-    resolution: float | None = None,
     name: str = "density",
 ) -> DataFrame:
     """Gaussian kernel density on `points` equally spaced values of [lo, hi].
 
-    Equal values are merged first (values rounded to `resolution`, if given), then each distinct
-    value adds its kernel to the grid points: work grows with distinct values times points, and
-    partial sums leave at most groups x points rows per task to shuffle.
+    Linear binning on the grid of the result: a value's weight is split between the grid points
+    around it, summed map-side. The grid goes on for six bandwidths on either side; farther
+    values count in the total only. Then a group's bins, whose number doesn't grow with the data,
+    meet its points.
     """
     group = _names(group)
-    value = F.col(x).cast("double")
-    if resolution:
-        value = F.rint(value / resolution) * resolution
-    atoms = (
-        df.filter(F.col(x).isNotNull() & F.col(w).isNotNull())
-        .groupBy(*group, value.alias("__x"))
-        .agg(F.sum(w).alias("__w"))
-    )
     step = (hi - lo) / (points - 1)
-    grid = explode_grid(atoms, "point", 0, points - 1)
-    at = F.lit(lo) + F.col("point") * F.lit(step)
-    z = (at - F.col("__x")) / F.lit(bandwidth)
+    pad = int(6 * bandwidth / step) + 1
+    place = (F.col(x).cast("double") - F.lit(lo)) / F.lit(step)
+    below = F.greatest(F.least(F.floor(place), F.lit(points + pad)), F.lit(-pad - 2)).cast("long")
+    part = F.least(F.greatest(place - below, F.lit(0.0)), F.lit(1.0))
+    halves = F.array(
+        F.struct(below.alias("bin"), (F.col(w) * (1 - part)).alias("w")),
+        F.struct((below + 1).alias("bin"), (F.col(w) * part).alias("w")),
+    )
+    known = df.filter(F.col(x).isNotNull() & F.col(w).isNotNull())
+    bins = known.select(*group, F.explode(halves).alias("__h")).groupBy(*group, F.col("__h.bin").alias("__bin"))
+    bins = bins.agg(F.sum("__h.w").alias("__w"))
+    grid = explode_grid(bins, "point", 0, points - 1)
+    z = (F.col("point") - F.col("__bin")) * F.lit(step / bandwidth)
+    near = (F.col("__bin") >= -pad) & (F.col("__bin") <= points - 1 + pad)
     sums = grid.groupBy(*group, "point").agg(
-        F.sum(F.col("__w") * F.exp(-z * z / 2)).alias("__k"), F.sum("__w").alias("__total")
+        sum_or_zero(F.when(near, F.col("__w") * F.exp(-z * z / 2))).alias("__k"), F.sum("__w").alias("__total")
     )
+    at = F.lit(lo) + F.col("point") * F.lit(step)
     scale = bandwidth * (2 * 3.141592653589793) ** 0.5
     return sums.select(
         *group, "point", at.alias("x_at"), share(F.col("__k"), F.col("__total") * F.lit(scale)).alias(name)
@@ -461,29 +465,18 @@ def interval(
     x: str = "value",
     widths: Sequence[float] = (0.5, 0.8, 0.95),
     point: str = "median",
-    rows_per_group: int | None = None,
 ) -> DataFrame:
     """Central quantile intervals and a point value per group: (group, point, width, lower, upper).
 
-    Quantiles interpolate linearly. With a known small bound on the rows of a group (the number
-    of draws) the built-in percentile is used; without one, `exact_quantiles` spreads a group
-    over many tasks.
+    Quantiles interpolate linearly; `exact_quantiles` spreads a group over many tasks.
     """
     group = _names(group)
     probs = sorted({round((1 - q) / 2, 10) for q in widths} | {round((1 + q) / 2, 10) for q in widths} | {0.5})
-    if rows_per_group is not None and rows_per_group <= MAX_BUILTIN_ROWS:
-        wide = df.groupBy(*group).agg(
-            F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("__q"), F.avg(x).alias("__mean")
-        )
-    else:
-        quantiles = exact_quantiles(df, group, x, probs)
-        arrays = quantiles.groupBy(*group).agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("prob", "value"))), lambda s: s["value"]
-            ).alias("__q")
-        )
-        means = df.groupBy(*group).agg(F.avg(x).alias("__mean"))
-        wide = join_null_safe(arrays, means, group, "inner")
+    quantiles = exact_quantiles(df, group, x, probs)
+    in_order = F.array_sort(F.collect_list(F.struct("prob", "value")))
+    arrays = quantiles.groupBy(*group).agg(F.transform(in_order, lambda s: s["value"]).alias("__q"))
+    means = df.groupBy(*group).agg(F.avg(x).alias("__mean"))
+    wide = join_null_safe(arrays, means, group, "inner")
     centre = F.col("__mean") if point == "mean" else F.col("__q")[probs.index(0.5)]
     rows = [
         F.struct(
@@ -498,32 +491,22 @@ def interval(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, group: str | Sequence[str], x: str, probs: Sequence[float], buckets: int = 256
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, group: str | Sequence[str], x: str, probs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group: (group, prob, value), for groups of any size.
 
-    1. Equal values of a group are merged into counts, the only pass over the data. 2. One
-    bounded sketch of the counted values gives cut points, and each (group, bucket) cell its
-    size: no cell holds many more values than their number / buckets. 3. The few hundred cell
-    sizes of a group, summed in order, tell which cells hold the wanted ranks. 4. Only those
-    cells are ordered, each on its own.
+    1. Equal values of a group are merged into counts, the only pass over the data. 2. The
+    counted values are range partitioned by group and value, so a group is cut into as many
+    cells as its size asks for, wherever its values lie. 3. The cell sizes of a group, summed in
+    order, tell which cells hold the wanted ranks. 4. Only those cells are ordered, each on its
+    own.
     """
     group = _names(group)
     values = df.filter(F.col(x).isNotNull()).select(*group, F.col(x).cast("double").alias("__v"))
-    counts = cut_lineage(values.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c")))
-    cuts = counts.agg(
-        F.percentile_approx(
-            "__v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)
-        )
-    ).scalar()
-    bucketed = (
-        counts.withColumn("__cuts", cuts)
-        .withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
-        .drop("__cuts")
-    )
+    counts = values.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    # Kept, because a cell is the partition a value came to.
+    bucketed = cut_lineage(counts.repartitionByRange(*group, "__v").withColumn("__b", F.spark_partition_id()))
     cells = bucketed.groupBy(*group, "__b").agg(F.sum("__c").alias("__n"))
-    # At most `buckets` cells of a group meet in this window.
+    # At most one cell per partition meets in this window.
     upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     ranked = cells.select(
         *group,
@@ -559,6 +542,6 @@ def sorted_output(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.orderBy(*cols)
 
 
-def across(cols: Sequence[str], fn: Callable[[Column], Column], suffix: str = "") -> dict[str, Column]:
-    """The same expression for many columns, for withColumns."""
-    return {f"{c}{suffix}": fn(F.col(c)) for c in cols}
+def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
+    """The first k rows by an order: each task keeps k, and k rows per task meet."""
+    return df.orderBy(*order).limit(k)

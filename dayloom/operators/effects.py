@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions.recode import SURVEYS, odds_label
-from dayloom.functions.semantics import first_match, half_even, join_null_safe, ratio, share
-from dayloom.operators.aggregate import MAX_BUILTIN_ROWS, interval
+from dayloom.functions.semantics import first_match, half_even, join_group_facts, join_null_safe, ratio, share
+from dayloom.operators.aggregate import interval
 from dayloom.operators.reshape import drop_null_columns
 from dayloom.runtime import cut_lineage
 
@@ -345,7 +345,7 @@ def effect_size(draws: DataFrame, *keys: str, value: str = "value") -> DataFrame
 
 
 def effects_table(
-    models: Mapping[str, tuple[DataFrame | None, Sequence[str]]], digits: int = 3, rows_per_group: int | None = None
+    models: Mapping[str, tuple[DataFrame | None, Sequence[str]]], digits: int = 3
 ) -> DataFrame:
     """Group effects of several models, stacked: (model, effect, estimate, est_error, q2_5, q97_5).
 
@@ -358,12 +358,7 @@ def effects_table(
         label = F.concat_ws("_", *groups).alias("effect")
         labelled = draws.select(label, "value")
         moments = [F.avg("value").alias("m"), F.stddev_samp("value").alias("s")]
-        if rows_per_group is not None and rows_per_group <= MAX_BUILTIN_ROWS:
-            ends = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
-            stats = labelled.groupBy("effect").agg(*moments, ends)
-            stats = stats.withColumns({"lower": F.col("q")[0], "upper": F.col("q")[1]})
-        else:
-            stats = interval(labelled, "effect", widths=[0.95]).join(labelled.groupBy("effect").agg(*moments), "effect")
+        stats = interval(labelled, "effect", widths=[0.95]).join(labelled.groupBy("effect").agg(*moments), "effect")
         table = stats.select(
             F.lit(model).alias("model"),
             "effect",
@@ -390,17 +385,19 @@ def predictive_check(
     """
     means = replicate_draws(df, groups, y, n_draws, w, unit)
     used = df.filter(F.col(w).isNotNull() & F.col(y).isNotNull())
+    # A row per group holds all its draws; it meets the narrow rows before they are multiplied.
+    effects = means.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("draw", "value"))).alias("__effects"))
     spread = used.groupBy(*groups).agg(F.coalesce(F.stddev_samp(y), F.lit(0.0)).alias("__sd"))
     centre = used.agg(share(F.sum(F.col(w) * F.col(y)), F.sum(w))).scalar()
-    rows = join_null_safe(used, spread, groups, "left").withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))
-    )
+    facts = join_null_safe(spread, effects, groups, "left")
+    rows = join_group_facts(used, facts, groups, unit).withColumn("__centre", centre)
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     radius = F.sqrt(-2 * F.ln(uniform(unit, F.concat(F.lit("r"), F.col("draw")))))
     angle = 2 * 3.141592653589793 * uniform(unit, F.concat(F.lit("a"), F.col("draw")))
-    drawn = join_null_safe(rows, means.withColumnRenamed("value", "__effect"), ["draw", *groups], "left")
-    return drawn.withColumn(
-        "predicted", centre + F.col("__effect") + F.col("__sd") * radius * F.cos(angle)
-    ).drop("__sd", "__effect")
+    effect = F.try_element_at("__effects", F.col("draw"))
+    return drawn.withColumn("predicted", F.col("__centre") + effect + F.col("__sd") * radius * F.cos(angle)).drop(
+        "__sd", "__effects", "__centre"
+    )
 
 
 # ---- fitted models -------------------------------------------------------------------------
@@ -422,22 +419,27 @@ def _model_frame(df: DataFrame, y: str, terms: Sequence[str], w: str | None):
     rows = df.select(*needed).dropna()
     if w:
         rows = rows.filter(F.col(w) > 0)
-    # Category levels come from RFormula; string levels are few.
+    # Category levels come from RFormula; string levels are few. Their order follows the rows.
     fitted = RFormula(formula=f"{y} ~ {' + '.join(terms)}", featuresCol="__x", labelCol="__y").fit(rows)
-    frame = fitted.transform(rows)
+    # Weights of equal rows are summed before the fit, which changes no weighted estimate; the few
+    # distinct rows are kept, so the many passes of a fit don't read the data again.
+    weight = F.sum(w) if w else F.count(F.lit(1)).cast("double")
+    cells = cut_lineage(rows.groupBy(y, *terms).agg(weight.alias("__weight")))
+    frame = fitted.transform(cells)
     attrs = frame.schema["__x"].metadata["ml_attr"]["attrs"]
     names = [a["name"] for a in sorted((a for kind in attrs.values() for a in kind), key=lambda a: a["idx"])]
     return frame, names
 
 
 def weighted_glm(
-    df: DataFrame, y: str, terms: Sequence[str], family: str = "gaussian", w: str | None = "weight", max_iter: int = 50
+    df: DataFrame, y: str, terms: Sequence[str], family: str = "gaussian", w: str | None = "weight", max_iter: int = 200
 ) -> DataFrame:
-    """Population coefficients of a weighted model: (resp, term, coefficient).
+    """Population coefficients of a weighted model: (resp, term, coefficient, converged). Runs jobs.
 
     gaussian, bernoulli, poisson and gamma are generalised linear models; 'categorical' is a
     multinomial logistic regression against its first level; 'robust' is a Huber regression;
-    'negbinomial' is a log-link model with variance growing as mean to the power 1.5.
+    'tweedie' is a log-link model with variance growing as mean to the power 1.5. A fit that has
+    not settled after `max_iter` rounds (data that separate two levels never do) is marked.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -449,19 +451,20 @@ def weighted_glm(
         indexed = StringIndexer(inputCol=y, outputCol="level_no", stringOrderType="alphabetAsc").fit(df.dropna(subset=[y]))
         frame, names = _model_frame(indexed.transform(df.dropna(subset=[y])), "level_no", terms, w)
         model = LogisticRegression(
-            featuresCol="__x", labelCol="__y", family="multinomial", maxIter=max_iter, **({"weightCol": w} if w else {})
+            featuresCol="__x", labelCol="__y", family="multinomial", maxIter=max_iter, weightCol="__weight"
         ).fit(frame)
+        converged = model.summary.totalIterations < max_iter
         coef, icpt = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
         rows = []
         for i, level in enumerate(indexed.labels[1:], 1):
-            rows.append((level, "(Intercept)", float(icpt[i] - icpt[0])))
-            rows += [(level, t, float(c - c0)) for t, c, c0 in zip(names, coef[i], coef[0])]
-        return spark.createDataFrame(rows, "resp string, term string, coefficient double")
+            rows.append((level, "(Intercept)", float(icpt[i] - icpt[0]), converged))
+            rows += [(level, t, float(c - c0), converged) for t, c, c0 in zip(names, coef[i], coef[0])]
+        return spark.createDataFrame(rows, "resp string, term string, coefficient double, converged boolean")
     frame, names = _model_frame(df, y, terms, w)
-    weight = {"weightCol": w} if w else {}
+    weight = {"weightCol": "__weight"}
     if family == "robust":
         model = LinearRegression(featuresCol="__x", labelCol="__y", loss="huber", maxIter=max_iter, **weight).fit(frame)
-    elif family == "negbinomial":
+    elif family == "tweedie":
         model = GeneralizedLinearRegression(
             featuresCol="__x", labelCol="__y", family="tweedie", variancePower=1.5, linkPower=0.0, maxIter=max_iter, **weight
         ).fit(frame)
@@ -470,24 +473,19 @@ def weighted_glm(
         model = GeneralizedLinearRegression(
             featuresCol="__x", labelCol="__y", family=dist, link=link, maxIter=max_iter, **weight
         ).fit(frame)
-    rows = [(y, "(Intercept)", float(model.intercept))]
-    rows += [(y, t, float(c)) for t, c in zip(names, model.coefficients.toArray())]
-    return spark.createDataFrame(rows, "resp string, term string, coefficient double")
+    rounds = model.summary.totalIterations if family == "robust" else model.summary.numIterations
+    converged = rounds < max_iter
+    rows = [(y, "(Intercept)", float(model.intercept), converged)]
+    rows += [(y, t, float(c), converged) for t, c in zip(names, model.coefficients.toArray())]
+    return spark.createDataFrame(rows, "resp string, term string, coefficient double, converged boolean")
 
 
 def two_part_fit(
     df: DataFrame, y: str, terms: Sequence[str], family: str = "gamma", w: str | None = "weight"
 ) -> DataFrame:
-    """A zero part (is y zero: binomial) and a positive part: (part, resp, term, coefficient)."""
+    """A zero part (is y zero: binomial) and a positive part: (part, resp, term, coefficient, converged)."""
     zero = weighted_glm(df.withColumn("zero_part", (F.col(y) == 0).cast("int")), "zero_part", terms, "binomial", w)
     positive = weighted_glm(df.filter(F.col(y) > 0), y, terms, family, w)
     return zero.withColumn("resp", F.lit(y)).select(F.lit("zero").alias("part"), "*").unionByName(
         positive.select(F.lit("positive").alias("part"), "*")
     )
-
-
-def in_survey_order(draws: DataFrame, c: str = "survey") -> DataFrame:
-    """Add the place of the survey wave."""
-    from dayloom.functions.recode import level_position
-
-    return draws.withColumn(f"{c}_ord", level_position(c, SURVEYS))

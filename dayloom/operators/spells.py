@@ -96,8 +96,3 @@ def wake_and_sleep_aggs(status: Column, slot: str = "slot") -> dict[str, Column]
         "sleeping_time": F.when(known, F.max(awake)),
         "half_sleep_time": F.when(known, F.count_if(status == "Half-Sleeping")),
     }
-
-
-def group_number(df: DataFrame, order_value: str, name: str = "group_no") -> DataFrame:
-    """Dense number of the rows' groups in the order of a value; for tables of levels, not of data."""
-    return df.withColumn(name, F.dense_rank().over(Window.orderBy(order_value)))

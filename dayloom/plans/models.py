@@ -169,7 +169,7 @@ def intervals_of(s: Study, model: str, n_draws: int = N_DRAWS) -> DataFrame:
     from dayloom.operators.aggregate import interval
 
     m = MODELS[model]
-    return interval(draws_of(s, model, n_draws), [*m.groups, "resp"], rows_per_group=n_draws)
+    return interval(draws_of(s, model, n_draws), [*m.groups, "resp"])
 
 
 def gap_change_of(s: Study, name: str, n_draws: int = N_DRAWS) -> DataFrame:
@@ -185,8 +185,9 @@ def fit_of(s: Study, model: str) -> DataFrame:
     if m.family == "hurdle_gamma":
         return E.two_part_fit(data, m.y, m.terms, "gamma", w)
     if m.family == "zero_negbinomial":
-        return E.two_part_fit(data, m.y, m.terms, "negbinomial", w)
-    family = "robust" if m.family == "student" else m.family
+        return E.two_part_fit(data, m.y, m.terms, "tweedie", w)
+    # Stand-ins: a Huber loss for Student errors, variance mean^1.5 for overdispersed counts.
+    family = {"student": "robust", "negbinomial": "tweedie"}.get(m.family, m.family)
     fit = E.weighted_glm(data, m.y, m.terms, family, w)
     return fit.select(F.lit("mu").alias("part"), "*")
 
@@ -316,3 +317,13 @@ def gap_change_sql(name: str, n: int = N_DRAWS) -> str:
     return model_draws_sql(model, n) + f"""
 select {ks}, {', '.join(cols)} from (
   select {', '.join(others)}, {wide} from ({contrast_sql(dim, rest)}) g group by {', '.join(others)}) x group by {ks}"""
+
+
+def one_factor_fit(data: DataFrame, y: str, factor: str, family: str, w: str = "weight") -> DataFrame:
+    """(level, fitted) of a model with one factor: the linear predictor of each level."""
+    part = data.select(y, factor, w)
+    fit = {r["term"]: r["coefficient"] for r in E.weighted_glm(part, y, [factor], family, w).collect()}
+    steps = F.create_map(*[F.lit(x) for t, c in fit.items() for x in (t, c)])
+    level = part.filter(F.col(y).isNotNull() & (F.col(w) > 0)).select(F.col(factor).alias("level")).dropna().distinct()
+    step = F.coalesce(F.try_element_at(steps, F.concat(F.lit(f"{factor}_"), F.col("level"))), F.lit(0.0))
+    return level.select("level", (F.lit(fit["(Intercept)"]) + step).alias("fitted"))

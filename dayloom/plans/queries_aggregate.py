@@ -125,6 +125,13 @@ def company_slots(s):
     return A.company_slots(s.company)
 
 
+@query("company_slots_long", f"select * from ({T.COMPANY_IND}) x")
+def company_slots_long(s):
+    """From one row per diary, slot and companion."""
+    who = ["whoa", "whob", "whoc", "whod"]
+    return A.company_slots_long(s.company.unpivot(["diaryid", "slot"], who, "who", "who_value"))
+
+
 @query(
     "weighted_total",
     """
@@ -295,12 +302,20 @@ def weighted_histogram(s):
 
 
 def density_sql(table: str, group: str, x: str, lo: float, hi: float, bw: float, points: int) -> str:
+    """Linear binning on the grid, six bandwidths beyond it on either side, and the kernel between bins and points."""
     step = (hi - lo) / (points - 1)
+    pad = int(6 * bw / step) + 1
     return f"""
 select {group}, p as point, {lo} + p * {step!r}::double as x_at,
-       sum(weight * exp(-0.5 * pow(({lo} + p * {step!r}::double - {x}) / {bw}::double, 2))) / (sum(weight) * {bw * (2 * 3.141592653589793) ** 0.5!r}::double) as density
-from ({table}) d cross join (select cast(unnest(range(0, {points})) as int) as p) g
-where {x} is not null and weight is not null group by all"""
+       coalesce(sum(case when bin between {-pad} and {points - 1 + pad} then w * exp(-0.5 * pow((p - bin) * {step / bw!r}::double, 2)) end), 0)
+         / (sum(w) * {bw * (2 * 3.141592653589793) ** 0.5!r}::double) as density
+from (
+  select {group}, below + h as bin, sum(weight * case when h = 0 then 1 - part else part end) as w
+  from (select {group}, weight, below, least(greatest(place - below, 0.0), 1.0) as part
+    from (select {group}, weight, place, greatest(least(floor(place), {points + pad}), {-pad - 2}) as below
+      from (select {group}, weight, ({x} - {lo}) / {step!r}::double as place from ({table}) d where {x} is not null and weight is not null) a) b) c
+  cross join (values (0), (1)) v(h) group by all) bins
+cross join (select cast(unnest(range(0, {points})) as int) as p) g group by all"""
 
 
 @query("weighted_density", density_sql(T.SPELLS_DATA, "survey", "n_spells", 0.0, 144.0, 3.0, 128), "x_at density")
@@ -330,7 +345,7 @@ def interval(s):
 )
 def interval_mean(s):
     # A diary has at most 144 spells, so the built-in percentile is safe.
-    return A.interval(W.spells(s.slots), "diaryid", "length", point="mean", rows_per_group=144)
+    return A.interval(W.spells(s.slots), "diaryid", "length", point="mean")
 
 
 @query(
@@ -553,6 +568,37 @@ def spells_by_day_type(s):
     return P.spells_by(s, ["day_type"])
 
 
+@query(
+    "spells_by_cluster",
+    f"select cluster, description, {T.weighted_mean('n_spells')} as mean_n from ({T.SPELLS_DATA}) x group by all",
+    "mean_n",
+)
+def spells_by_cluster(s):
+    return P.spells_by(s, ["cluster", "description"])
+
+
+@query(
+    "spells_by_work",
+    f"select survey, in_work, {T.weighted_mean('n_spells')} as mean_n from ({T.SPELLS_DATA}) x group by all",
+    "mean_n",
+)
+def spells_by_work(s):
+    return P.spells_by(s, ["survey", "in_work"])
+
+
+@query("sleep_density", density_sql(T.SLEEP_MODEL, "day_type", "sleep_time", 0.0, 144.0, 3.0, 145), "x_at density")
+def sleep_density(s):
+    """Figure 7.3: hours slept by day type, as a density over slots."""
+    return A.weighted_density(P.sleep_model_data(s), "day_type", "sleep_time", 0.0, 144.0, 3.0, 145)
+
+
+@query("top_k", f"select diaryid, n_spells from ({T.SPELLS_DATA}) x where n_spells is not null order by n_spells desc, diaryid limit 10")
+def top_k(s):
+    """The ten diaries with the most spells."""
+    data = P.spells_data(s).select("diaryid", "n_spells").filter("n_spells is not null")
+    return A.top_k(data, 10, [F.desc("n_spells"), F.asc("diaryid")])
+
+
 @query(
     "spells_by_activity",
     f"""

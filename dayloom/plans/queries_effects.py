@@ -115,7 +115,7 @@ union all select '5_3_1', 'No Group Level Effects', null, null, null, null"""
 def effects_table(s):
     groups = [*M.MODELS["7_3_2"].groups, "resp"]
     models = {"7_3_2": (M.draws_of(s, "7_3_2"), groups), "5_3_1": (None, [])}
-    return E.effects_table(models, rows_per_group=M.N_DRAWS)
+    return E.effects_table(models)
 
 
 def _interval_sql(model: str) -> str:
@@ -174,14 +174,60 @@ for _id in M.MODELS:
 for _name, _spec in M.GAP_CHANGES.items():
     query(_name, M.gap_change_sql(_name), " ".join(_spec[4] or M.WAVE_PAIRS))(lambda s, n=_name: M.gap_change_of(s, n))
 
-# Fitted models have no SQL counterpart; tests compare them with closed forms.
+# Models of several covariates have no SQL counterpart; tests compare them with other solvers.
 for _name, _id in {
     "weighted_glm": "8_1_1",
     "weighted_glm_bernoulli": "4_1_2",
     "weighted_glm_poisson": "6_1_4",
     "weighted_glm_categorical": "4_4_2",
-    "weighted_glm_negbinomial": "5_1_1",
+    "weighted_glm_tweedie": "5_1_1",
     "weighted_glm_robust": "7_3_1",
     "two_part_fit": "4_6_1",
 }.items():
     query(_name)(lambda s, i=_id: M.fit_of(s, i))
+
+
+# A model with one factor fits the weighted mean of each level: the closed form the fits are held to.
+# {name: (family, outcome, what the link does to the mean)}
+ONE_FACTOR = {
+    "gaussian": ("gaussian", "n_spells", "{m}"),
+    "poisson": ("poisson", "n_spells", "ln({m})"),
+    "gamma": ("gamma", "n_spells", "ln({m})"),
+    "tweedie": ("tweedie", "n_spells", "ln({m})"),
+    "bernoulli": ("bernoulli", "n_spells / 144.0D", "ln({m} / (1 - {m}))"),
+}
+
+
+def _one_factor_sql(y: str, link: str) -> str:
+    mean = f"(sum(weight * {y.replace('D', '::double')}) / sum(weight))"
+    return f"""
+select survey as level, round_even({link.format(m=mean)}, 3) as fitted from ({T.SPELLS_DATA}) x
+where n_spells is not null and weight > 0 and survey is not null group by survey"""
+
+
+for _name, (_family, _y, _link) in ONE_FACTOR.items():
+
+    @query(f"one_factor_{_name}", _one_factor_sql(_y, _link), "fitted")
+    def one_factor(s, family=_family, y=_y):
+        data = P.spells_data(s).filter(F.col("n_spells").isNotNull()).withColumn("outcome", F.expr(y).cast("double"))
+        return M.one_factor_fit(data, "outcome", "survey", family).withColumn("fitted", F.bround("fitted", 3))
+
+
+@query(
+    "predictive_density",
+    f"""
+with rep as ({_PRED_SQL}),
+stacked as (select cluster_group, 'predicted' as kind, predicted as x from rep
+  union all select cluster_group, 'data', mh from rep where draw = 1)
+select cluster_group || ' / ' || kind as kind, bin, count(*) as n from (
+  select cluster_group, kind, cast(floor(round_even(x, 6) / 0.25 + 0.5) as bigint) as bin from stacked) b group by all""",
+)
+def predictive_density(s):
+    """Figure 4.6: replicates beside the data, as a binned density per routine group."""
+    data = P.cluster_health_data(s).select("diaryid", "cluster_group", "mh", "weight")
+    drawn = E.predictive_check(data, ["cluster_group"], "mh")
+    both = drawn.select("cluster_group", F.explode(F.array(
+        F.struct(F.lit("predicted").alias("kind"), F.col("predicted").alias("x")),
+        F.when(F.col("draw") == 1, F.struct(F.lit("data").alias("kind"), F.col("mh").alias("x"))),
+    )).alias("v")).filter("v is not null").select(F.concat_ws(" / ", "cluster_group", "v.kind").alias("kind"), F.bround("v.x", 6).alias("x"))
+    return A.weighted_histogram(both.withColumn("weight", F.lit(1.0)), "kind", "x", 0.25).select("kind", "bin", "n")

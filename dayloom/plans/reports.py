@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions import recode as R
-from dayloom.functions.semantics import half_even, is_true, join_null_safe, share
+from dayloom.functions.semantics import half_even, is_true, join_group_facts, join_null_safe, share
 from dayloom.operators import aggregate as A
 from dayloom.operators import reshape as S
 from dayloom.operators import spells as W
@@ -158,7 +158,8 @@ def sleep_model_data(s: Study) -> DataFrame:
 
 def multi_entropy_data(s: Study) -> DataFrame:
     """Multitasking sample with the mean entropy of the diary's routine."""
-    return join_null_safe(multi_data(s), A.mean_entropy(s.diaries, "cl_desc", "coded5_activity"), ["cl_desc"], "left")
+    entropy = A.mean_entropy(s.diaries, "cl_desc", "coded5_activity")
+    return join_group_facts(multi_data(s), entropy, ["cl_desc"], "diaryid")
 
 
 # ---- tables and figures --------------------------------------------------------------------

@@ -31,64 +31,48 @@ def brute(x, costs):
     return np.array([[costs[t, a, b].sum() for b in x] for a in x])
 
 
-def test_distances_match_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 7])
+def test_distances_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(Q, "REFERENCE_BLOCK", block)
     x, seqs = random_sequences(spark, 30, 12)
     costs = random_costs(12)
     want = brute(x, costs)
-    got = Q.pairwise_distance(Q.distinct_sequences(seqs), costs).collect()
-    assert len(got) == 30 * 29 // 2
+    got = Q.distances_to(seqs, seqs, costs).collect()
+    assert len(got) == 30 * 30
     for a, b, d in got:
         assert d == pytest.approx(want[a - 1, b - 1])
-    nearest = Q.assign_to_medoids(seqs, seqs.filter("diaryid <= 4"), costs).collect()
+    nearest = Q.assign_to_medoids(seqs, seqs.filter("diaryid <= 20"), costs).collect()
     for r in nearest:
-        assert r["dist"] == pytest.approx(want[r["diaryid"] - 1, :4].min())
+        assert r["dist"] == pytest.approx(want[r["diaryid"] - 1, :20].min())
+        assert r["medoid"] == 1 + np.argmin(np.round(want[r["diaryid"] - 1, :20], 9))
 
 
-def naive_linkage(d, sizes):
-    d, groups, merges = d.copy(), {i: s for i, s in enumerate(sizes)}, []
-    while len(groups) > 1:
-        keys = sorted(groups)
-        h, a, b = min((d[i, j], i, j) for i in keys for j in keys if i < j)
-        na, nb = groups[a], groups.pop(b)
-        for o in groups:
-            if o != a:
-                d[a, o] = d[o, a] = (na * d[a, o] + nb * d[b, o]) / (na + nb)
-        groups[a] = na + nb
-        merges.append((a, b, h))
-    return merges
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_merge_tree_matches_closest_pair_merging(seed):
-    rng = np.random.default_rng(seed)
-    pts = rng.random((40, 4))
-    d = np.abs(pts[:, None] - pts[None]).sum(-1)
-    sizes = rng.integers(1, 4, 40)
-    want = sorted((round(h, 9), a, b) for a, b, h in naive_linkage(d, sizes))
-    got = sorted((round(h, 9), a, b) for a, b, h, _ in Q._merge_tree(d, sizes))
-    assert got == want
-
-
-def test_typology_puts_copies_together(spark):
-    x, seqs = random_sequences(spark, 25, 10, copies=6)
+def test_k_medoids_settle_where_nothing_can_improve(spark):
+    x, seqs = random_sequences(spark, 60, 10, copies=6)
     costs = random_costs(10)
-    for limit in (100, 10):
-        got = {r["label"]: r["cluster60"] for r in Q.routine_typology(seqs, costs, 5, limit).collect()}
-        assert len(got) == 31
-        assert len({got[1], *[got[i] for i in range(26, 32)]}) == 1
-        assert set(got.values()) == set(range(1, 6))
-
-
-def test_cut_gives_k_groups(spark):
-    _, seqs = random_sequences(spark, 20, 8)
-    reps = Q.representatives(seqs, 50)
-    merges = Q.agglomerate(Q.pairwise_distance(reps, random_costs(8)), reps)
-    assert merges.count() == 19
-    for k in (1, 4, 20):
-        groups = Q.cut_tree(merges, reps, k)
-        assert {r["group"] for r in groups.collect()} == set(range(1, k + 1))
-    heights = [r["height"] for r in Q.merge_heights(merges, 5).orderBy("rank").collect()]
-    assert len(heights) == 5 and heights == sorted(heights, reverse=True)
+    made = Q.k_medoids(seqs, Q.seed_medoids(seqs, 5), costs)
+    assert made.settled and made.rounds >= 1
+    want = np.round(brute(x, costs), 9)
+    medoids = sorted(r["diaryid"] for r in made.medoids.collect())
+    got = {r["diaryid"]: (r["medoid"], r["dist"]) for r in made.assigned.collect()}
+    assert len(medoids) == 5 and len(got) == 66
+    for i, (m, d) in got.items():
+        assert d == pytest.approx(min(want[i - 1, j - 1] for j in medoids))
+        assert want[i - 1, m - 1] == pytest.approx(d)
+    for m in medoids:
+        members = [i - 1 for i, (of, _) in got.items() if of == m]
+        totals = {i: round(want[i, members].sum(), 6) for i in members}
+        assert totals[m - 1] == min(totals.values())
+    raw = {r["label"]: r["cluster60"] for r in Q.routine_typology(made).collect()}
+    assert set(raw.values()) == set(range(1, 6))
+    assert len({raw[1], *[raw[i] for i in range(61, 67)]}) == 1
+
+
+def test_fewer_days_than_medoids(spark):
+    _, seqs = random_sequences(spark, 3, 8, copies=4)
+    made = Q.k_medoids(seqs, Q.seed_medoids(seqs, 10), random_costs(8))
+    assert made.settled and made.medoids.count() == 3
+    assert {r["dist"] for r in made.assigned.collect()} == {0.0}
 
 
 def test_group_medoid_matches_brute_force(spark):
@@ -101,13 +85,6 @@ def test_group_medoid_matches_brute_force(spark):
         assert r["total"] == pytest.approx(min(want[i, members].sum() for i in members))
 
 
-def test_too_many_references_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(Q, "MAX_REFERENCES", 3)
-    _, seqs = random_sequences(spark, 5, 4)
-    with pytest.raises(ValueError):
-        Q.distances_to(seqs, seqs, random_costs(4))
-
-
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     # One group holds most rows and one value a third of them.
@@ -121,11 +98,35 @@ def test_exact_quantiles_match_numpy(spark):
             assert got[(g, p)] == pytest.approx(np.quantile(values, p))
 
 
-def test_interval_paths_agree(spark):
-    df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).cast("double").alias("value"))
-    a = sorted(map(tuple, A.interval(df, "g").collect()))
-    b = sorted(map(tuple, A.interval(df, "g", rows_per_group=500).collect()))
-    assert np.allclose(a, b)
+def test_quantiles_of_a_hot_narrow_group(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(0, 1e-6, 20_000)
+    data = [("hot", float(v)) for v in hot] + [("wide", float(v)) for v in rng.uniform(-1e9, 1e9, 200)]
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {(r["g"], r["prob"]): r["value"] for r in A.exact_quantiles(df, "g", "x", [0.1, 0.5, 0.99]).collect()}
+    for g in ("hot", "wide"):
+        values = [v for k, v in data if k == g]
+        for p in (0.1, 0.5, 0.99):
+            assert got[(g, p)] == pytest.approx(np.quantile(values, p))
+
+
+def test_variety_counts_labels_whatever_the_codes(spark):
+    from dayloom.plans.base import leisure_aggs
+
+    rows = [(1, "Reading", 10), (1, "Watching tv", 138), (1, "Watching tv", 139), (2, "Sleeping", 5)]
+    df = spark.createDataFrame(rows, "diaryid int, pri_tidied string, code int").withColumns(
+        {"activity_group": F.when(F.col("pri_tidied") == "Sleeping", "sleep").otherwise("leisure other"), "coded5_activity": F.lit("leisure")}
+    )
+    aggs = leisure_aggs()
+    got = {r["diaryid"]: (r["v"], r["o"]) for r in df.groupBy("diaryid").agg(aggs["voracity"].alias("v"), aggs["outside_voracity"].alias("o")).collect()}
+    assert got == {1: (2, 0), 2: (None, None)}
+
+
+def test_company_of_more_than_four(spark):
+    rows = [(1, 1, "Partner")] * 5 + [(1, 2, "Alone"), (1, 3, None), (2, 1, None)]
+    got = {r["diaryid"]: r for r in A.company_slots_long(spark.createDataFrame(rows, "diaryid int, slot int, who_value string")).collect()}
+    assert got[1]["with_household_Xperson_hours"] == 5 and got[1]["with_household_Xat_least_three"] == 1
+    assert got[2]["with_household_Xperson_hours"] == 0
 
 
 def test_entropy_limits(spark):
