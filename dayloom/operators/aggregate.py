@@ -240,9 +240,12 @@ def by_each(
 def weighted_mode(
     df: DataFrame, group: str | Sequence[str], level: str, w: str = "weight", n: str = "n"
 ) -> DataFrame:
-    """The level with the largest summed weight per group, ties kept."""
+    """The level with the largest summed weight per group, ties kept.
+
+    Sums are rounded first, so that the order of additions cannot break a tie.
+    """
     group = _names(group)
-    cells = df.groupBy(*group, level).agg(sum_or_zero(w).alias(n))
+    cells = df.groupBy(*group, level).agg(F.round(sum_or_zero(w), 9).alias(n))
     # A row per level meets here, not the data.
     best = F.max(n).over(Window.partitionBy(*group)) if group else cells.agg(F.max(n)).scalar()
     return cells.withColumn("__best", best).filter(F.col(n) == F.col("__best")).drop("__best")
@@ -542,6 +545,17 @@ def sorted_output(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.orderBy(*cols)
 
 
+def weights_over(df: DataFrame, bound: float, sample: Column, w: str = "weight") -> DataFrame:
+    """Mean weight of all rows and of a sample, and how many weights of each exceed a bound."""
+    over = F.col(w) > bound
+    return df.agg(
+        F.avg(w).alias("mean_all"),
+        F.avg(F.when(sample, F.col(w))).alias("mean_sample"),
+        F.count_if(over).alias("n_over"),
+        F.count_if(sample & over).alias("n_over_sample"),
+    )
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
     """The first k rows by an order: each task keeps k, and k rows per task meet."""
     return df.orderBy(*order).limit(k)

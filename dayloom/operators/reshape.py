@@ -87,6 +87,10 @@ def pivot_fill(
     return pivot_wide(df, id, names, values, levels, fill)
 
 
+#: Parts that the rows of a grid are dealt into before they meet the values of its next column.
+GRID_SALTS = 16
+
+
 def complete_grid(
     df: DataFrame,
     cols: Sequence[str],
@@ -95,28 +99,21 @@ def complete_grid(
 ) -> DataFrame:
     """Every combination of the observed values of `cols`; new rows get `fill`.
 
-    `df` is an aggregated table with one row per combination. The values of the first column
-    stay a distributed table; the other columns are category dimensions, whose values (given,
-    or observed) are exploded next to it, so no join without keys is planned.
+    `df` is an aggregated table with one row per combination. Values given in `levels` are
+    exploded next to the grid. Observed values stay a distributed table: they meet the grid on a
+    salt that every grid row takes and every value has once, so no value list is collected and
+    no join without a key is planned. NULL is a value of its own.
     """
     levels = dict(levels or {})
     grid = df.select(cols[0]).distinct()
     for c in cols[1:]:
         if c in levels:
-            values = F.array(*[F.lit(v) for v in levels[c]])
-        else:
-            # collect_set drops NULL, which the grid must keep as a level of its own.
-            present = df.agg(
-                F.array_append(
-                    F.collect_set(c),
-                    F.lit(None).cast(df.schema[c].dataType),
-                ).alias("v"),
-                F.count_if(F.col(c).isNull()).alias("n"),
-            )
-            values = present.select(
-                F.when(F.col("n") > 0, F.col("v")).otherwise(F.slice("v", F.lit(1), F.size("v") - 1))
-            ).scalar()
-        grid = grid.withColumn(c, F.explode(values))
+            grid = grid.withColumn(c, F.explode(F.array(*[F.lit(v) for v in levels[c]])))
+            continue
+        salts = F.explode(F.sequence(F.lit(0), F.lit(GRID_SALTS - 1)))
+        values = df.select(c).distinct().withColumn("__salt", salts)
+        spread = grid.withColumn("__salt", F.pmod(F.xxhash64(*grid.columns), F.lit(GRID_SALTS)).cast("int"))
+        grid = spread.join(values, "__salt").drop("__salt")
     filled = join_null_safe(grid, df, cols, "left")
     return filled.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
 

@@ -1,5 +1,7 @@
 """Durable checkpoints for iterative operators."""
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +16,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dayloom-checkpoint-"))
+        # One machine, and nothing else to put them: gone when the session's process ends.
+        folder = tempfile.mkdtemp(prefix="dayloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 

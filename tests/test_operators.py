@@ -202,3 +202,50 @@ def test_lookups_are_broadcast_and_columns_pruned(spark, sf_dir):
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int>" in narrow
     # Unused indicators vanish together with their scan of the slots.
     assert "Window" not in plan_of(Study(spark, sf_dir).respondents.select("diaryid", "sex"))
+
+
+def test_saved_tables_and_own_keys_stand_in_for_computed_ones(spark, sf_dir, tmp_path):
+    from dayloom.operators.sequences import tempogram
+    from dayloom.sources import keys
+    from dayloom.sources.tables import load_clusters, load_table, save_table
+
+    first = Study(spark, sf_dir)
+    save_table(first.activity, f"{tmp_path}/activity")
+    save_table(first.respondents, f"{tmp_path}/respondents")
+    save_table(first.clusters, f"{tmp_path}/clusters")
+    saved = Study(
+        spark,
+        sf_dir,
+        activity=load_table(spark, f"{tmp_path}/activity"),
+        respondents=load_table(spark, f"{tmp_path}/respondents"),
+        clusters=load_clusters(spark, f"{tmp_path}/clusters"),
+    )
+    assert sorted(map(str, tempogram(saved.diaries).collect())) == sorted(map(str, tempogram(first.diaries).collect()))
+    assert saved.respondents.count() == first.respondents.count()
+    # A key of one's own, as CSV, that knows a single activity.
+    first.key.filter("pri_tidied = 'Sleeping'").limit(1).coalesce(1).write.option("header", True).csv(f"{tmp_path}/key")
+    own = Study(spark, sf_dir, key=keys.load_key(spark, f"{tmp_path}/key"))
+    assert {r[0] for r in own.activity.select("pri_tidied").distinct().collect()} <= {"Sleeping", None}
+
+
+def test_reports_read_the_events_once(spark, sf_dir):
+    from dayloom.plans.catalog import QUERIES, runner
+
+    for name in ("respondent_data", "tempogram", "weighted_share", "activity_long"):
+        plan = runner(QUERIES[name])(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("events.parquet") == 1, name
+
+
+def test_predictive_check_multiplies_rows_after_the_last_exchange(spark, sf_dir):
+    data = Study(spark, sf_dir).respondents.filter("mh is not null").select("diaryid", "sex", "mh", "weight")
+    plan = E.predictive_check(data, ["sex"], "mh", 3)._jdf.queryExecution().executedPlan().toString()
+    draws = next(line for line in plan.splitlines() if "Generate explode" in line and "draw#" in line)
+    assert plan.splitlines().index(draws) <= min(i for i, line in enumerate(plan.splitlines()) if "Exchange" in line or "Join" in line)
+
+
+def test_completed_grid_keeps_missing_values(spark):
+    from dayloom.operators.reshape import complete_grid
+
+    df = spark.createDataFrame([(1, "a", 5), (2, None, 6)], "g int, c string, n int")
+    got = sorted(map(tuple, complete_grid(df, ["g", "c"], {"n": 0}).collect()), key=str)
+    assert got == sorted([(1, "a", 5), (1, None, 0), (2, "a", 0), (2, None, 6)], key=str)
