@@ -6,6 +6,8 @@ the overall mean in that replicate.
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,6 +189,70 @@ def replicate_slopes(
     )
 
 
+def adjusted_draws(
+    df: DataFrame,
+    covariates: Sequence[str],
+    y: str,
+    family: str = "gaussian",
+    n_draws: int = 200,
+    w: str | None = "weight",
+    unit: str = "mainid",
+) -> DataFrame:
+    """Reweighted replicates of adjusted effects: (draw, term, level, value).
+
+    A model with a main effect of every categorical covariate is fitted for each draw; a level's
+    value is its difference to the covariate's first level on the scale of the link (identity
+    for gaussian, log for poisson, logit for bernoulli), the intercept has no level. For these
+    families the weight and the weighted outcome of a covariate cell tell all about it, so the
+    rows of a person are summed, then persons per cell and draw, map-side; a draw's cells, whose
+    number does not grow with the data, meet in one small solve. Incomplete rows are left out.
+    """
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    outcome = F.col(y).cast("double")
+    rows = df.select(*[F.col(c).cast("string").alias(c) for c in covariates], unit, weight.alias("__w"), outcome.alias("__y")).dropna()
+    people = rows.groupBy(unit, *covariates).agg(F.sum("__w").alias("__w"), F.sum(F.col("__w") * F.col("__y")).alias("__wy"))
+    drawn = spread_out(people).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    drawn = drawn.withColumn("__e", -F.ln(uniform(unit, "draw")))
+    cells = drawn.groupBy("draw", *covariates).agg(
+        F.sum(F.col("__e") * F.col("__w")).alias("__w"), F.sum(F.col("__e") * F.col("__wy")).alias("__wy")
+    )
+
+    def solve(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell[cell["__w"] > 0]
+        names, columns = [("(Intercept)", None)], [np.ones(len(cell))]
+        for c in covariates:
+            for level in sorted(cell[c].unique())[1:]:
+                names.append((c, level))
+                columns.append((cell[c] == level).to_numpy(float))
+        coefficients = _main_effects(np.column_stack(columns), cell["__w"].to_numpy(), cell["__wy"].to_numpy(), family)
+        return pd.DataFrame(
+            {"draw": cell["draw"].iloc[0], "term": [t for t, _ in names], "level": [v for _, v in names], "value": coefficients}
+        )
+
+    return cells.groupBy("draw").applyInPandas(solve, "draw int, term string, level string, value double")
+
+
+def _main_effects(x: np.ndarray, w: np.ndarray, wy: np.ndarray, family: str, rounds: int = 100) -> np.ndarray:
+    """Weighted maximum likelihood from the cells' weights and weighted outcomes, by iterated least squares."""
+    mean = wy / w
+    if family == "gaussian":
+        root = np.sqrt(w)
+        return np.linalg.lstsq(x * root[:, None], mean * root, rcond=None)[0]
+    overall = wy.sum() / w.sum()
+    b = np.zeros(x.shape[1])
+    b[0] = np.log(overall) if family == "poisson" else np.log(overall / (1 - overall))
+    for _ in range(rounds):
+        eta = np.clip(x @ b, -30, 30)
+        mu = np.exp(eta) if family == "poisson" else 1 / (1 + np.exp(-eta))
+        curve = mu if family == "poisson" else mu * (1 - mu)
+        root = np.sqrt(w * curve)
+        new = np.linalg.lstsq(x * root[:, None], (eta + (mean - mu) / curve) * root, rcond=None)[0]
+        if np.abs(new - b).max() < 1e-10:
+            return new
+        b = new
+    return b
+
+
 def shrunken_effects(
     df: DataFrame, groups: Sequence[str], y: str, w: str = "weight"
 ) -> DataFrame:

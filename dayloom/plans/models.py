@@ -327,3 +327,18 @@ def one_factor_fit(data: DataFrame, y: str, factor: str, family: str, w: str = "
     level = part.filter(F.col(y).isNotNull() & (F.col(w) > 0)).select(F.col(factor).alias("level")).dropna().distinct()
     step = F.coalesce(F.try_element_at(steps, F.concat(F.lit(f"{factor}_"), F.col("level"))), F.lit(0.0))
     return level.select("level", (F.lit(fit["(Intercept)"]) + step).alias("fitted"))
+
+
+#: Models whose covariates are all categories, with the link their effects are adjusted on.
+ADJUSTED = {"5_1_1": "poisson", "6_2_1": "gaussian", "8_1_1": "gaussian"}
+
+
+def adjusted_of(s: Study, model: str, n_draws: int = N_DRAWS) -> DataFrame:
+    """(term, level, estimate, est_error, effect_size): effects of a model's groups, adjusted for its covariates.
+
+    `effect_size` is exp of the estimate under a log link, a multiplicative effect.
+    """
+    m, family = MODELS[model], ADJUSTED[model]
+    draws = E.adjusted_draws(data_of(s, model), [*m.groups, *m.terms], m.y, family, n_draws, "weight" if m.weighted else None)
+    table = draws.groupBy("term", "level").agg(F.avg("value").alias("estimate"), F.stddev_samp("value").alias("est_error"))
+    return table.withColumn("effect_size", F.exp("estimate") if family == "poisson" else F.lit(None).cast("double"))

@@ -231,3 +231,30 @@ def predictive_density(s):
         F.when(F.col("draw") == 1, F.struct(F.lit("data").alias("kind"), F.col("mh").alias("x"))),
     )).alias("v")).filter("v is not null").select(F.concat_ws(" / ", "cluster_group", "v.kind").alias("kind"), F.bround("v.x", 6).alias("x"))
     return A.weighted_histogram(both.withColumn("weight", F.lit(1.0)), "kind", "x", 0.25).select("kind", "bin", "n")
+
+
+for _id in M.ADJUSTED:
+    query(f"adjusted_{_id}")(lambda s, i=_id: M.adjusted_of(s, i))
+
+# Least squares with two covariates of two levels, from sums per draw by the normal equations.
+_TWO_SQL = f"""
+with e as (
+  select d.draw, cast(sex = 'Male' as int) as x1, cast(has_kids = 'No Children' as int) as x2, at_least_two as y,
+         weight * -ln({M.uniform_sql('mainid', 'd.draw')}) as w
+  from ({T.COMPANY_MODEL}) r cross join (select unnest(range(1, {M.N_DRAWS + 1})) as draw) d
+  where weight is not null and sex is not null and has_kids is not null and at_least_two is not null),
+s as (
+  select draw, sum(w) as a, sum(w * x1) as b, sum(w * x2) as c, sum(w * x1 * x2) as d,
+         sum(w * y) as t, sum(w * x1 * y) as t1, sum(w * x2 * y) as t2 from e group by draw),
+k as (select *, a * (b * c - d * d) - b * (b * c - d * c) + c * (b * d - b * c) as det from s)
+select draw, round_even((a * (t1 * c - d * t2) - t * (b * c - d * c) + c * (b * t2 - t1 * c)) / det, 6) as sex_effect,
+       round_even((a * (b * t2 - t1 * d) - b * (b * t2 - t1 * c) + t * (b * d - b * c)) / det, 6) as kids_effect
+from k"""
+
+
+@query("adjusted_two_covariates", _TWO_SQL, "sex_effect kids_effect")
+def adjusted_two_covariates(s):
+    """Company by sex and children, each adjusted for the other, per draw."""
+    draws = E.adjusted_draws(P.company_to_model(s), ["sex", "has_kids"], "at_least_two", "gaussian", M.N_DRAWS)
+    one = lambda term: F.max(F.when(F.col("term") == term, F.col("value")))
+    return draws.groupBy("draw").agg(one("sex").alias("sex_effect"), one("has_kids").alias("kids_effect"))

@@ -249,3 +249,25 @@ def test_completed_grid_keeps_missing_values(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, None, 6)], "g int, c string, n int")
     got = sorted(map(tuple, complete_grid(df, ["g", "c"], {"n": 0}).collect()), key=str)
     assert got == sorted([(1, "a", 5), (1, None, 0), (2, "a", 0), (2, None, 6)], key=str)
+
+
+def test_adjusted_draws_match_separate_fits(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i // 2, str(a), str(b), float(rng.poisson(np.exp(0.5 + 0.4 * a - 0.3 * b))), float(rng.uniform(0.5, 2))) for i in range(400) for a, b in [rng.integers(0, 3, 2)]]
+    df = spark.createDataFrame(rows, "mainid int, a string, b string, y double, weight double")
+    x = np.array([[1, r[1] == "1", r[1] == "2", r[2] == "1", r[2] == "2"] for r in rows], float)
+    y, w = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    units = spark.range(200).select(*[E.uniform("id", F.lit(d)).alias(f"u{d}") for d in (1, 2)]).collect()
+    for family in ("gaussian", "poisson"):
+        got = {}
+        for r in E.adjusted_draws(df, ["a", "b"], "y", family, 2).collect():
+            got.setdefault(r["draw"], {})[(r["term"], r["level"])] = r["value"]
+        for d in (1, 2):
+            e = w * np.array([-np.log(units[r[0]][d - 1]) for r in rows])
+            beta = np.linalg.solve(x.T @ (e[:, None] * x), x.T @ (e * y)) if family == "gaussian" else np.zeros(5)
+            for _ in range(50 if family == "poisson" else 0):
+                mu = np.exp(x @ beta)
+                beta = beta + np.linalg.solve(x.T @ ((e * mu)[:, None] * x), x.T @ (e * (y - mu)))
+            want = dict(zip([("(Intercept)", None), ("a", "1"), ("a", "2"), ("b", "1"), ("b", "2")], beta, strict=True))
+            assert got[d].keys() == want.keys()
+            assert all(got[d][k] == pytest.approx(want[k], abs=1e-6) for k in want)
