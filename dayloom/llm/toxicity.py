@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from dayloom.llm.words import lots, mix, word_hashes
 
 #: Hashed feature places; a place is a chosen feature or nothing.
-PLACES = 1 << 22
+PLACES = 1 << 21
 GRAMS = (3, 4, 5, 6)
+#: Characters worked on at a time, which take about 300 bytes each.
+LOT = 250_000
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,17 +161,28 @@ class ChainModel:
         return out
 
 
-def _choose(doc: np.ndarray, place: np.ndarray, value: np.ndarray, labels: np.ndarray, most: int, least: int = 3) -> np.ndarray:
-    """A table from places to columns: the `most` places whose values differ most over some label, by z score."""
-    n = len(labels)
-    seen = np.bincount(place, minlength=PLACES)
-    total, square = np.bincount(place, value, minlength=PLACES), np.bincount(place, value**2, minlength=PLACES)
+def _choose(texts: list[str], labels: np.ndarray, most: int, least: int = 3) -> np.ndarray:
+    """A table from places to columns: the `most` places whose values differ most over some label, by z score.
+
+    The texts' features are summed lot by lot and not kept.
+    """
+    n, at = len(labels), 0
+    seen, square = np.zeros(PLACES), np.zeros(PLACES)
+    total, inside = np.zeros(PLACES), np.zeros((labels.shape[1], PLACES))
+    for lot in lots(texts, LOT):
+        doc, place, value = _features(lot)
+        marks = labels[at : at + len(lot)]
+        at += len(lot)
+        seen += np.bincount(place, minlength=PLACES)
+        total += np.bincount(place, value, minlength=PLACES)
+        square += np.bincount(place, value**2, minlength=PLACES)
+        for i, y in enumerate(marks.T):
+            inside[i] += np.bincount(place, value * y[doc], minlength=PLACES)
     spread = np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-12))
     score = np.zeros(PLACES)
-    for y in labels.T:
+    for i, y in enumerate(labels.T):
         if 0 < y.sum() < n:
-            inside = np.bincount(place, value * y[doc], minlength=PLACES)
-            gap = inside / y.sum() - (total - inside) / (n - y.sum())
+            gap = inside[i] / y.sum() - (total - inside[i]) / (n - y.sum())
             score = np.maximum(score, np.abs(gap) / spread * np.sqrt(y.sum() * (n - y.sum()) / n))
     score[seen < least] = 0
     best = np.argsort(-score, kind="stable")[:most]
@@ -193,16 +206,14 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit_chain(texts: list[str], labels: np.ndarray, categories: Sequence[str], folds: int = 4, features: int = 6000) -> ChainModel:
     """Fit the chain on labelled texts; `labels` has a 0/1 column per category."""
+    table = _choose(texts, labels, features)
     parts, at = [], 0
-    for lot in lots(texts):
-        doc, place, value = _features(lot)
-        parts.append((doc + at, place, value))
+    for lot in lots(texts, LOT):
+        doc, column, value = _features(lot, table)
+        parts.append((doc + at, column, value))
         at += len(lot)
-    doc, place, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-    table = _choose(doc, place, value, labels, features)
-    column = table[place]
-    kept = column >= 0
-    x = _Rows(doc[kept], column[kept].astype(np.int64), value[kept], (len(texts), int(table.max(initial=-1)) + 1))
+    doc, column, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+    x = _Rows(doc, column, value, (len(texts), int(table.max(initial=-1)) + 1))
     # Copies of a text share a fold, so none is predicted by a model that has seen it.
     fold = pd.util.hash_array(np.array(texts, dtype=object), categorize=False) % folds
     before, models, thresholds = np.zeros((len(texts), 0)), [], []
@@ -278,7 +289,7 @@ def predict(docs: DataFrame, model: ChainModel | None, id: str = "doc_id", text:
         packed, categories = sent.value
         chain = _unpack(**packed, categories=categories)
         for batch in batches:
-            made = [chain.probabilities(lot) for lot in lots(batch.column(1).to_pylist(), 500_000)]
+            made = [chain.probabilities(lot) for lot in lots(batch.column(1).to_pylist(), LOT)]
             p = np.concatenate(made) if made else np.zeros((0, n))
             marks = [pa.array(p[:, i] >= chain.thresholds[i]) for i in range(n)]
             names = [id, *[f"p_{c}" for c in categories], *[f"is_{c}" for c in categories]]
