@@ -140,11 +140,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     found = {r["bucket"]: r["n"] for r in counted}
     idf = np.log((1 + found.get(-1, 0)) / (1 + np.array([found.get(b, 0) for b in range(DIMENSIONS)]))) + 1.0
 
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    # Hashes are spread evenly, so the rows below this bound are the wanted share of a language.
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("size"))
+    # A count per language, fewer than the centroids that follow, decides the share of its texts.
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    wanted = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["n"]))]) if sizes else None
     low = (F.col("at").cast("double") + 2.0**63) / 2.0**64
-    sample = rows.join(sizes, "lang").filter(low <= share).select("lang", "text", "at")
+    # Hashes are spread evenly, so the rows below the share are about as many as wanted.
+    share = F.try_element_at(wanted, F.col("lang")) if sizes else F.lit(0.0)
+    sample = rows.filter(low <= share).select("lang", "text", "at")
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         texts = list(group.sort_values(["at", "text"])["text"])
