@@ -11,7 +11,6 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,23 +140,43 @@ def chat_windows(
     carried = carried.withColumns({"block": F.col("block") + 1, "own": F.lit(False)})
     turns = own.union(carried)
 
-    def build(key, group: pd.DataFrame) -> pd.DataFrame:
-        if not group["own"].any():
-            return pd.DataFrame(columns=["conv", "block", "window", "formatted", "repeated", "loss"])
-        group = group.sort_values(["turn", "role", "text"], na_position="first", kind="stable")
-        head = next((s for s in group["system"] if s is not None), None)
-        taken, listed = False, []
-        for t in group.to_dict("records"):
-            lead = bool(head) and not taken and t["role"] == "system" and t["text"] == head["text"] and (pd.isna(t["turn"]) or t["turn"] == head["turn"])
-            taken |= lead
-            listed.append({**t, "lead": lead})
-        out = pd.DataFrame(_windows_of(listed, (head["role"], head["text"], head["tokens"]) if head else None, rules))
-        return out.assign(conv=group["conv"].iloc[0], block=group["block"].iloc[0])[["conv", "block", "window", "formatted", "repeated", "loss"]]
-
-    # A block has at most `block` turn numbers, so groups are small; a conversation's blocks meet its
+    def built(key: tuple, group: list[dict]) -> list[tuple]:
+        if not any(t["own"] for t in group):
+            return []
+        head, taken = group[0]["system"], False
+        for t in group:
+            t["lead"] = bool(head) and not taken and t["role"] == "system" and t["text"] == head["text"] and t["turn"] in (None, head["turn"])
+            taken |= t["lead"]
+        system = (head["role"], head["text"], head["tokens"]) if head else None
+        return [(*key, w["window"], w["formatted"], w["repeated"], w["loss"]) for w in _windows_of(group, system, rules)]
+
+    def build(batches):
+        key, group = None, []
+        for batch in batches:
+            made = []
+            for t in batch.to_pylist():
+                if (t["conv"], t["block"]) != key:
+                    made += built(key, group) if group else []
+                    key, group = (t["conv"], t["block"]), []
+                group.append(t)
+            yield _window_batch(made)
+        if group:
+            yield _window_batch(built(key, group))
+
+    # A block has at most `block` turn numbers, so a group is small; a conversation's blocks meet its
     # system turn by a join that Spark splits where one conversation is large.
     joined = turns.join(system.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")), "left").drop("of")
-    return joined.groupBy("conv", "block").applyInPandas(build, WINDOW)
+    ordered = joined.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "role", "text")
+    return ordered.mapInArrow(build, WINDOW)
+
+
+def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), span]
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    columns[5] = [[{"start": a, "end": b} for a, b in loss] for loss in columns[5]]
+    names = ["conv", "block", "window", "formatted", "repeated", "loss"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def conversation_digests(windows: DataFrame) -> DataFrame:
