@@ -24,7 +24,8 @@ BLOCKS = [
 ]
 #: Shingles of items that are broadcast at a time (16 to 24 bytes each); more are taken in several lots.
 LOT_SHINGLES = 1_000_000
-_LANES = 0x0001000100010001
+#: Places of the three lanes in which a number counts three bits at a time.
+_LANES = (0, 21, 42)
 WIDTH = 5
 
 
@@ -48,21 +49,23 @@ def shingles(text: Column) -> Column:
 def simhash(bag: Column) -> Column:
     """A 64-bit fingerprint of an array of hashes; an element counts as often as it occurs.
 
-    Four 16-bit lanes of a number count four bits at a time, so 16 sums hold all 64 counts; bags
-    have fewer than 65,536 elements.
+    Lanes of 21 bits count three bits at a time, so 21 sums hold the counts of the lower 63 bits
+    and one more that of the last; bags have up to two million elements.
     """
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{i}") for i in range(16)])
+    mask = F.lit(sum(1 << lane for lane in _LANES))
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"s{i}") for i in range(22)])
 
     def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"s{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))).alias(f"s{i}") for i in range(16)])
+        ones = [F.shiftrightunsigned(h, i).bitwiseAND(mask) for i in range(21)] + [F.shiftrightunsigned(h, 63)]
+        return F.struct(*[(acc[f"s{i}"] + x).alias(f"s{i}") for i, x in enumerate(ones)])
 
     def sign(acc: Column) -> Column:
-        print_ = F.lit(0).cast("long")
-        for i in range(16):
-            for lane in range(4):
-                count = F.shiftrightunsigned(acc[f"s{i}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-                print_ = print_ + F.when(count * 2 > F.size(bag), F.shiftleft(F.lit(1).cast("long"), i + 16 * lane)).otherwise(F.lit(0).cast("long"))
-        return print_
+        counts = {i + lane: F.shiftrightunsigned(acc[f"s{i}"], lane).bitwiseAND(F.lit((1 << 21) - 1)) for lane in _LANES for i in range(21)}
+        counts[63] = acc["s21"]
+        marks = F.lit(0).cast("long")
+        for bit, count in counts.items():
+            marks = marks + F.when(count * 2 > F.size(bag), F.shiftleft(F.lit(1).cast("long"), bit)).otherwise(F.lit(0).cast("long"))
+        return marks
 
     # Never NULL, so that Spark needs no test of it in front.
     return F.coalesce(F.aggregate(bag, zero, add, sign), F.lit(0).cast("long"))
