@@ -162,7 +162,7 @@ def test_near_dedup_finds_links_that_a_star_misses(spark, monkeypatch):
     plain = near_dedup.sketches
 
     def one_bucket(*args):
-        return plain(*args).withColumn("signature", F.when(F.col("bag").isNotNull(), F.array_repeat(F.lit(0).cast("long"), 32)))
+        return plain(*args).withColumn("signature", F.when(F.col("bag").isNotNull(), F.array_repeat(F.lit(0).cast("long"), near_dedup.BANDS)))
 
     monkeypatch.setattr(near_dedup, "sketches", one_bucket)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
