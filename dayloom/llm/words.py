@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Texts are worked on in lots of about this many characters; a longer one is a lot of its own.
-LOT = 2_000_000
+LOT = 500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
