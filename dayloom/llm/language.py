@@ -3,8 +3,8 @@
 Texts become vectors of hashed character n-grams (one to three letters, spaces between words),
 log(1 + count) times inverse document frequency, at length one. Every language has several
 centroids, from clustering a sample of its texts by cosine. A text gets the language of the
-nearest centroid, and is rejected when it is farther from it than any text of that language was
-from its own.
+nearest centroid, and is rejected when it is farther from it than nearly all labelled texts of that
+language that are nearest to the same centroid.
 """
 
 from collections.abc import Sequence
@@ -114,8 +114,54 @@ class LanguageModel:
 
 #: Texts with fewer distinct n-grams are not rejected for their distance.
 MIN_GRAMS = 60
-#: A language's radius is this times the largest distance of a sampled text to its centroid.
-SLACK = 1.1
+#: A centroid's radius is the distance within which this share of its labelled texts lie, and SLACK more.
+WITHIN, SLACK = 0.999, 0.08
+#: Distances are counted in steps of one over this.
+STEPS = 1000
+
+
+def _within(counts: np.ndarray) -> float:
+    """The distance within which a share of WITHIN lies, from counts per step."""
+    return float(np.searchsorted(np.cumsum(counts), WITHIN * counts.sum()) + 1) / STEPS
+
+
+def _radii(rows: DataFrame, languages: list[str], centroids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A radius per centroid from all `rows` (text, lang) whose nearest centroid is of their language.
+
+    Only texts that can be rejected count, those with MIN_GRAMS n-grams. A centroid without such
+    texts takes the radius of its language, and a language without them that of its short texts.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((languages, centroids, idf))
+    shape = (len(languages), 2, STEPS + 1)
+
+    def count(batches):
+        names, centers, weights = sent.value
+        names, total = np.array(names, dtype=object), np.zeros(np.prod(shape), np.int64)
+        for batch in batches:
+            langs, at = np.array(batch.column(1).to_pylist(), dtype=object), 0
+            for lot in _small_lots(batch.column(0).to_pylist()):
+                grams = gram_counts(lot)
+                cosine = _vectors(grams, weights) @ centers.T
+                best = np.argmax(cosine, axis=1)
+                step = (np.clip(1.0 - cosine[np.arange(len(lot)), best], 0.0, 1.0) * STEPS).astype(np.int64)
+                telling = ((grams > 0).sum(axis=1) >= MIN_GRAMS).astype(np.int64)
+                own = names[best] == langs[at : at + len(lot)]
+                at += len(lot)
+                total += np.bincount(np.ravel_multi_index((best[own], telling[own], step[own]), shape), minlength=len(total))
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+
+    # At most 2,002 cells per centroid come to the driver.
+    counted = rows.select("text", "lang").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(np.prod(shape), np.int64)
+    for r in counted:
+        counts[r["cell"]] = r["n"]
+    counts = counts.reshape(shape)
+    radii = []
+    for i, name in enumerate(languages):
+        whole = counts[[x == name for x in languages]].sum(axis=0)
+        radii.append(_within(next((c for c in (counts[i, 1], whole[1], whole[0]) if c.any()), whole[0])))
+    return np.array(radii) + SLACK
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = 1500, clusters: int = 4) -> LanguageModel:
@@ -123,7 +169,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
 
     Document frequencies count all these rows. Centroids come from a sample of about
     `per_language` texts of each language (those whose hashed ids and texts are lowest), so one
-    task clusters that many. The model has `clusters` times 16 KB per language.
+    task clusters that many. Radii come from all rows again. The model has `clusters` times 16 KB
+    per language.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.col(text)).alias("at"))
     rows = rows.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
@@ -151,22 +198,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
         texts = list(group.sort_values(["at", "text"])["text"])
         vectors = np.concatenate([_vectors(gram_counts(lot), idf) for lot in _small_lots(texts)])
-        made, member = cluster(vectors, clusters)
-        far = 1.0 - (vectors * made[member]).sum(axis=1)
-        radii = [float(far[member == i].max(initial=0.0)) for i in range(len(made))]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.tobytes() for c in made], "radius": radii})
+        made, _ = cluster(vectors, clusters)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.tobytes() for c in made]})
 
-    made = sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, radius double").collect()
+    made = sample.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary").collect()
     made.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
-    farthest: dict[str, float] = {}
-    for r in made:
-        farthest[r["lang"]] = max(r["radius"], farthest.get(r["lang"], 0.0))
-    return LanguageModel(
-        [r["lang"] for r in made],
-        np.array([np.frombuffer(r["centroid"], np.float32) for r in made]).reshape(-1, DIMENSIONS),
-        np.array([farthest[r["lang"]] for r in made]) * SLACK,
-        idf,
-    )
+    languages = [r["lang"] for r in made]
+    centers = np.array([np.frombuffer(r["centroid"], np.float32) for r in made]).reshape(-1, DIMENSIONS)
+    radii = _radii(rows, languages, centers, idf) if made else np.zeros(0)
+    return LanguageModel(languages, centers, radii, idf)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:

@@ -44,6 +44,21 @@ def test_language_of_odd_rows(spark):
     assert language.predict(documents(spark, odd).limit(0), model).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    rng = random.Random(81)
+    rows = [(i, speak(lang, rng.randrange(40, 200), rng), lang) for i, lang in enumerate(list(TONGUES) * 100)]
+    # A few texts are far from their centroid, and too short to be rejected for it.
+    rows += [(1000 + i, "".join(rng.choices("bcdfghjkqvwxyz", k=4)), lang) for i, lang in enumerate(list(TONGUES) * 8)]
+    docs = documents(spark, rows)
+    model = language.fit(docs)
+    polish = "wszystkie dzieci rano do szkoly ale nauczyciel powiedzial ze dzisiaj nie bedzie lekcji poniewaz spadl snieg i drogi wiec wrocily domu gdzie matka czekala na nie z herbata oraz chlebem".split()
+    strange = [" ".join(rng.choices(polish, k=n)) for n in (60, 300)]
+    strange += [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)) for n in (60, 300, 1000)]
+    got = language.predict(documents(spark, [(i, t, None) for i, t in enumerate(strange)]), model).collect()
+    assert [r["rejected"] for r in got] == [True] * len(strange)
+    assert language.predict(docs, model).filter("rejected").count() == 0
+
+
 def test_gram_counts_of_a_text_do_not_depend_on_its_neighbours():
     texts = ["ab c", "", "é!!x", "  lead", "Ünï", "a"]
     together = language.gram_counts(texts)
