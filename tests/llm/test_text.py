@@ -174,6 +174,22 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.contaminated(table, benchmark.limit(0)).count() == decontaminate.contaminated(table.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_changed_runs(spark):
+    rng = random.Random(91)
+    said = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
+    items, docs = [], []
+    for j, (shared, run) in enumerate([(90, 13), (180, 20), (360, 40)] * 4):
+        passage = rng.sample(said, shared)
+        items.append((j, " ".join(passage + ["0"] * run)))
+        docs += [(2 * j, " ".join(passage + ["0"] * 4)), (2 * j + 1, " ".join(["0"] * 4 + passage + ["0"] * 5))]
+    want = leaks_by_hand(docs, items)
+    assert len(want) >= 20
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    table = documents(spark, [(i, t, None) for i, t in docs])
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.contaminated(table, benchmark).collect()}
+    assert got == want
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     rng = random.Random(51)
     bags = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 45, 301)]
