@@ -172,6 +172,13 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs` without any benchmark passage, with all their columns."""
-    leaks = contaminated(docs, benchmark, id, text, threshold=threshold).select(F.col(id).alias("__leak")).distinct()
-    return docs.join(leaks, docs[id].eqNullSafe(F.col("__leak")), "left_anti")
+    """The rows of `docs` without any benchmark passage, with all their columns.
+
+    Rows are dropped by id and text, so a clean row stays where another one without an id, or with
+    the same id, goes.
+    """
+    rows = docs.select(F.struct(F.col(id).alias("id"), F.sha2(F.col(text), 256).alias("mark")).alias("row"), F.col(text).alias("text"))
+    leaks = contaminated(rows, benchmark, "row", "text", threshold=threshold)
+    leaks = leaks.select(F.col("row.id").alias("__leak"), F.col("row.mark").alias("__mark")).distinct()
+    same = docs[id].eqNullSafe(F.col("__leak")) & F.sha2(docs[text], 256).eqNullSafe(F.col("__mark"))
+    return docs.join(leaks, same, "left_anti")

@@ -90,8 +90,12 @@ def _bags(doc: np.ndarray, cells: np.ndarray, n_docs: int) -> list[bytes | None]
     return [total[i].tobytes() if weight[i] else None for i in range(n_docs)]
 
 
-def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(id, bag, signature): a digest of the shingle bag, and the bands; both NULL without words."""
+def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, marked: bool = False) -> DataFrame:
+    """(id, bag, signature): a digest of the shingle bag, and the bands; both NULL without words.
+
+    With `marked` a further column, `mark`, has the text's digest.
+    """
+    extra = ["mark"] if marked else []
 
     def run(batches):
         for batch in batches:
@@ -101,10 +105,16 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
                 bags += _bags(doc, cells, len(lot))
                 signatures += list(dart_signatures(doc, cells, len(lot)).view(np.int64)[:, :BANDS])
             signatures = [s if b else None for s, b in zip(signatures, bags, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))], names=["id", "bag", "signature"])
+            made = [batch.column(0), pa.array(bags, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), *[batch.column(2) for _ in extra]]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "bag", "signature", *extra])
+
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body"), *[_mark(F.col(text)).alias(c) for c in extra])
+    kinds = [f"id {docs.schema[id].dataType.simpleString()}", "bag binary", "signature array<bigint>", *[f"{c} string" for c in extra]]
+    return rows.mapInArrow(run, ", ".join(kinds))
+
 
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body"))
-    return rows.mapInArrow(run, f"id {docs.schema[id].dataType.simpleString()}, bag binary, signature array<bigint>")
+def _mark(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def _bag_cells(docs: DataFrame, wanted: DataFrame, id: str, text: str, width: int) -> DataFrame:
@@ -189,7 +199,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     that repeat an id and a text are one document: all of them stay or go. Other columns are
     ignored, whatever their names.
     """
-    sketched = cut_lineage(sketches(docs, id, text, width))
+    return _classed(docs, id, text, threshold, width, cut_lineage(sketches(docs, id, text, width)))
+
+
+def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int, sketched: DataFrame) -> DataFrame:
+    """What `near_duplicates` gives, from the sketches of the rows; their `mark` stays if they have one."""
     # Equal bags are one node from here on; `bag` is its name.
     bags = sketched.filter("bag is not null").groupBy("bag").agg(F.min("id").alias("id"), F.min("signature").alias("signature"))
     bands = F.transform("signature", lambda band, i: F.xxhash64(i, band))
@@ -257,7 +271,8 @@ def _across(members: DataFrame, labels: DataFrame, bags: DataFrame, cells: DataF
 
 def _sized(sketched: DataFrame, led: DataFrame, id: str) -> DataFrame:
     """Every row with its class: through its bag if that is shared, on its own otherwise."""
-    rows = sketched.select("id", "bag")
+    extra = [c for c in sketched.columns if c == "mark"]
+    rows = sketched.select("id", "bag", *extra)
     copies = rows.filter("bag is not null").groupBy("bag").agg(F.count(F.lit(1)).alias("copies"))
     counted = led.join(copies, "bag")
     sizes = counted.groupBy("label").agg(F.sum("copies").alias("class_size"))
@@ -265,10 +280,17 @@ def _sized(sketched: DataFrame, led: DataFrame, id: str) -> DataFrame:
     out = salted_lookup(rows, shared, "bag", "id")
     alone = F.col("class_size").isNull()
     class_id = F.when(alone, F.col("id")).otherwise(F.col("class_id"))
-    return out.select(F.col("id").alias(id), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
+    return out.select(F.col("id").alias(id), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"), *extra)
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stay, one document per class, with all their columns."""
-    gone = near_duplicates(docs, id, text, threshold).filter("not kept").select(F.col(id).alias("__gone")).distinct()
-    return docs.join(gone, docs[id].eqNullSafe(F.col("__gone")), "left_anti")
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8, width: int = 5) -> DataFrame:
+    """The rows of `docs` that stay, one document per class, with all their columns.
+
+    Rows are dropped by id and text, so a clean row stays where another one without an id, or with
+    the same id, goes.
+    """
+    sketched = cut_lineage(sketches(docs, id, text, width, True))
+    gone = _classed(docs, id, text, threshold, width, sketched).filter("not kept")
+    gone = gone.select(F.col(id).alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    same = docs[id].eqNullSafe(F.col("__gone")) & _mark(docs[text]).eqNullSafe(F.col("__mark"))
+    return docs.join(gone, same, "left_anti")

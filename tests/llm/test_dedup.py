@@ -181,6 +181,13 @@ def test_near_dedup_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 8]
 
 
+def test_near_copies_are_dropped_row_by_row(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, None), (None, text, None), (None, "nobody else says this", None), (None, None, None), (2, text + "!", None), (2, "some other words stay here", None)]
+    kept = near_dedup.drop_near_copies(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r[:2] for r in (rows[0], rows[2], rows[3], rows[5])], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dedup.components(edges).collect()}

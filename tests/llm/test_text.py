@@ -190,6 +190,14 @@ def test_decontamination_of_changed_runs(spark):
     assert got == want
 
 
+def test_contaminated_rows_are_dropped_one_by_one(spark):
+    passage = "this passage of the benchmark has nine words altogether"
+    rows = [(1, passage, None), (None, "so " + passage, None), (None, "a clean row without an id", None), (None, None, None), (1, "a clean row with a repeated id", None)]
+    benchmark = spark.createDataFrame([(7, passage)], "item_id bigint, text string")
+    kept = decontaminate.drop_contaminated(documents(spark, rows), benchmark).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r[:2] for r in rows[2:]], key=str)
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     rng = random.Random(51)
     bags = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 45, 301)]
