@@ -132,8 +132,8 @@ def _leaks(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     # A pair that agrees on several blocks is taken at the first of them.
     first = F.coalesce(*[F.when(_block(differ, b) == 0, b) for b in range(len(BLOCKS))])
     near = near.filter((F.bit_count(differ) <= RADIUS) & (first == F.col("block"))).select("id", "start", "bag", "item")
-    bags = F.broadcast(items.select("item", F.col("bag").alias("item_bag")))
-    scored = near.join(bags, "item").withColumn("similarity", weighted_jaccard(F.col("bag"), F.col("item_bag")))
+    bags = F.broadcast(items.select(F.col("item").alias("bag_item"), F.col("bag").alias("item_bag")))
+    scored = near.join(bags, F.col("item").eqNullSafe(F.col("bag_item"))).withColumn("similarity", weighted_jaccard(F.col("bag"), F.col("item_bag")))
     # Rounded up by less than the next possible value, so that 4/5 is 0.8.
     return scored.filter(F.col("similarity") >= threshold - 1e-12).select("id", "item", "start", "similarity")
 
@@ -147,7 +147,7 @@ def contaminated(
     `similarity` is the largest over the windows, weighted Jaccard over five-word shingles, at
     least `threshold`; `start` is the first word of the first such window. Items of fewer than
     five words have no shingle and match nothing; NULL texts count as empty. Rows that repeat an
-    id are one document, rows without an id too; items that repeat an id likewise. Other columns
+    id are one document, rows without an id too; items that repeat an id or have none likewise. Other columns
     are ignored, whatever their names.
 
     Items are broadcast in lots of about `lot_shingles` shingles, counted first by one job over the

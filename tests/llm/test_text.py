@@ -198,6 +198,15 @@ def test_contaminated_rows_are_dropped_one_by_one(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([r[:2] for r in rows[2:]], key=str)
 
 
+def test_items_without_an_id_match(spark):
+    passage = "this passage of the benchmark has nine words altogether"
+    benchmark = spark.createDataFrame([(None, passage), (3, "another passage that is nowhere in the documents")], "item_id bigint, text string")
+    docs = documents(spark, [(1, passage, None), (2, "a clean row of more than five words", None)])
+    got = [tuple(r) for r in decontaminate.contaminated(docs, benchmark).collect()]
+    assert got == [(1, None, 1.0, 0)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()] == [2]
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     rng = random.Random(51)
     bags = [[rng.getrandbits(64) - 2**63 for _ in range(n)] for n in (1, 2, 45, 301)]
