@@ -11,6 +11,8 @@ from dayloom.sources import keys, standin
 
 N_SLOTS = 144
 N_MEDOIDS = 12
+# Routines of the published typology, as many as the naming key has rows.
+N_ROUTINES = 60
 
 STATE_CODE = "case coded5_activity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(R.STATES)) + " end"
 STATE_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(R.STATES))
@@ -203,10 +205,10 @@ final as materialized (select diaryid, medoid, dist from (
 MEDOIDS_SQL = _rounds_sql()
 
 
-def typology_of(s):
+def typology_of(s, k=N_MEDOIDS):
     """k-medoids over all complete diaries."""
     seqs, costs = prepared(s)
-    return Q.k_medoids(seqs, Q.seed_medoids(seqs, N_MEDOIDS), costs)
+    return Q.k_medoids(seqs, Q.seed_medoids(seqs, k), costs)
 
 
 @query("k_medoids", MEDOIDS_SQL + "select diaryid, medoid, dist from final", "dist")
@@ -234,13 +236,18 @@ cross join (values {', '.join(f"('{s}')" for s in R.STATES)}) v(state)
 left join p on p.cluster60 = f2.cluster60 and p.slot = t.slot and p.coded5_activity = v.state""",
     "percent",
 )
-def medoid_profile(s):
+def medoid_profile(s, k=N_MEDOIDS):
     """The day profile of every computed routine."""
-    raw = Q.routine_typology(typology_of(s)).withColumnRenamed("label", "diaryid")
+    raw = Q.routine_typology(typology_of(s, k)).withColumnRenamed("label", "diaryid")
     slots = s.diaries.select("diaryid", "slot", "coded5_activity", "weight").join(raw, "diaryid")
     return Q.tempogram(slots, "cluster60", label=None)
 
 
+@query("medoid_profile_60")
+def medoid_profile_60(s):
+    return medoid_profile(s, N_ROUTINES)
+
+
 @query(
     "group_medoids",
     SEQ_SQL
@@ -276,6 +283,11 @@ select f.diaryid as label, cast(n.cluster60 as int) as cluster60, k.description,
 from final f join numbers n on n.medoid = f.medoid
 left join routines k on k.original_cluster = n.cluster60""",
 )
-def routine_typology(s):
+def routine_typology(s, k=N_MEDOIDS):
     """Computed routines, named like the published ones."""
-    return Q.recluster(Q.routine_typology(typology_of(s)), keys.recluster_key(s.spark))
+    return Q.recluster(Q.routine_typology(typology_of(s, k)), keys.recluster_key(s.spark))
+
+
+@query("routine_typology_60")
+def routine_typology_60(s):
+    return routine_typology(s, N_ROUTINES)

@@ -36,3 +36,11 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(queries())
+
+
+def test_sixty_routines(spark, sf_dir):
+    days = queries()["distinct_sequences"](spark, sf_dir).count()
+    rows = queries()["routine_typology_60"](spark, sf_dir).collect()
+    found = {r["cluster60"] for r in rows}
+    assert found == set(range(1, len(found) + 1)) and min(days, 13) <= len(found) <= min(days, 60)
+    assert all(r["description"] is not None for r in rows)
