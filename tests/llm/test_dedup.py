@@ -181,6 +181,11 @@ def test_near_dedup_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 8]
 
 
+def test_bands_use_all_coordinates():
+    assert near_dedup.ROWS * near_dedup.BANDS == near_dedup.COORDINATES
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 1e-7
+
+
 def test_near_copies_are_dropped_row_by_row(spark):
     text = "one two three four five six seven"
     rows = [(1, text, None), (None, text, None), (None, "nobody else says this", None), (None, None, None), (2, text + "!", None), (2, "some other words stay here", None)]
