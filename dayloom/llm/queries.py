@@ -1,11 +1,11 @@
-"""The queries op1 to op10: each applies its operator to a whole table and digests the result."""
+"""The queries op1 to op13: each applies its operator to a whole table and digests the result."""
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dayloom.llm import chat, decontaminate, exact_dedup, language, line_dedup, near_dedup, pieces, secret_scan, token_counts, toxicity
+from dayloom.llm import chat, collocations, decontaminate, divergence, exact_dedup, language, line_dedup, near_dedup, pieces, quality, secret_scan, token_counts, toxicity
 from dayloom.llm.registry import QUERIES, SQL, query, table
-from dayloom.llm.sql import DECONTAMINATE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, SECRET_SCAN_SQL
+from dayloom.llm.sql import COLLOCATIONS_SQL, DECONTAMINATE_SQL, DIVERGENCE_SQL, EXACT_DEDUP_SQL, LINE_DEDUP_SQL, SECRET_SCAN_SQL
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -86,3 +86,21 @@ def op10_chat_format(spark, folder):
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role", f"'{said}' as text")
     return chat.conversation_digests(chat.chat_windows(turns.unionByName(extra), PIECE_MODEL))
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11_collocations(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"), longest=3, least=10, top=2000)
+
+
+@query("op12_quality")
+def op12_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs.filter(~held_out), table(spark, folder, "labels"))
+    return quality.predict(docs.withColumn("held_out", held_out), model, keep=["held_out"])
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13_source_divergence(spark, folder):
+    return divergence.source_divergence(table(spark, folder, "documents"))

@@ -75,3 +75,47 @@ scored as (select doc_id, item_id, start, sum(common) / (any_value(m) + any_valu
 select doc_id, item_id, round(max(similarity), 9) as similarity, arg_min(start, (-similarity, start))::bigint as start
 from scored where similarity >= 0.8 - 1e-12 group by doc_id, item_id
 """
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents),
+w as (select k, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as c from w group by all having count(distinct k) >= 10),
+v as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+own as (select lang, source, term, count(*) as c from w semi join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+total as (select lang, source, sum(c) as n from own group by all),
+p as (select g.lang, g.source, k.term, coalesce(own.c, 0) as c,
+    1 + (1000000000::hugeint * (coalesce(own.c, 0) + 2)) // (coalesce(total.n, 0) + 2 * v.v) as p,
+    1 + (1000000000::hugeint * (k.c + 2)) // (v.n + 2 * v.v) as q
+  from g join kept k using (lang) join v using (lang) left join own using (lang, source, term) left join total using (lang, source)),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+every as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(pairs.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from p where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from every)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+COLLOCATIONS_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+grams as (select lang, size, array_to_string(ws[i:i + size - 1], ' ') as phrase
+  from (select lang, ws, size, unnest(range(1, len(ws) - size + 2)) as i from w cross join (values (1), (2), (3)) as s(size))),
+f as (select lang, size, phrase, count(*) as f from grams group by all),
+n as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as ws from f where size >= 2 and f >= 10),
+parts as (select lang, phrase, a, k, array_to_string(ws[1:k], ' ') as head, array_to_string(ws[k + 1:size], ' ') as tail
+  from (select *, unnest(range(1, size)) as k from c)),
+cuts as (select p.lang, p.phrase, p.a, k, h.f as l, t.f as r, (1000000::hugeint * a * a) // (h.f::hugeint * t.f) as score
+  from parts p join f h on h.lang = p.lang and h.phrase = p.head join f t on t.lang = p.lang and t.phrase = p.tail),
+best as (select *, row_number() over (partition by lang, phrase order by score, k) as place from cuts),
+inside as (select lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) as phrase, a from c where size = 3),
+longer as (select lang, phrase, max(a) as longer from inside group by all),
+ranked as (select best.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from best left join longer using (lang, phrase) where place = 1 and (longer is null or 100 * longer < 50 * a))
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from ranked join n using (lang) where rank <= 2000
+"""
