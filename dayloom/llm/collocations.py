@@ -69,6 +69,8 @@ class Lot:
 
     def numbers(self) -> np.ndarray:
         """A number for every word, the same for equal words only: those of one hash are compared byte by byte."""
+        if not len(self.start):
+            return np.zeros(0, np.int64)
         order = np.lexsort((self.start, self.hash))
         new = np.concatenate([[True], self.hash[order][1:] != self.hash[order][:-1]])
         number = np.empty(len(order), np.int64)

@@ -179,7 +179,7 @@ def statistics_by_hand(text):
         "distinct_words": 1 - share(len(tokens) - len(set(tokens)), len(tokens)), "commonest_word": share(max(Counter(tokens).values(), default=0), len(tokens)),
         "adjacent_repeats": share(sum(a == b for a, b in pairs), len(tokens)), "repeated_pairs": share(len(pairs) - len(set(pairs)), len(tokens)),
         "repeated_fives": share(len(fives) - len(set(fives)), len(tokens)), "repeated_lines": share(len(full) - len(set(full)), len(lines)),
-        "letterless_words": share(sum(not any(c.isalpha() for c in w) for w in words), len(words)),
+        "letterless_words": share(sum(not any(c.isascii() and c.isalpha() or ord(c) >= 128 for c in w) for w in words), len(words)),
         "marked_words": share(sum(w[-1] in ".,;:!?" for w in words), len(words)), "marked_lines": share(sum(x[-1] in ".,;:!?" for x in full), len(lines)),
         "commonest_symbol": share(max(Counter(symbols).values(), default=0), len(solid)),
     }
