@@ -8,18 +8,21 @@ coordinate with a probability equal to their weighted Jaccard similarity, and th
 looked at depends on K and hardly on the document's size.
 
 Signatures are cut into bands. The documents of a band's bucket are compared with the bucket's
-first document, a star and not all pairs. Where a bucket still holds more than one class, the
-documents outside its largest class are held against all others in it: the join itself compares
-those whose signatures agree often enough, once for all buckets they share, and gives the similar
-ones. All comparisons are exact.
+first document, a star and not all pairs. Where a bucket still holds more than one class, its
+documents meet again, with those of all other such buckets that have the same first document: a
+document moves once for all of them. They are dealt into blocks of a bounded size, and pairs of
+blocks are compared in tasks of their own, the largest class never with itself. Pairs that share a
+bucket and whose signatures agree often enough are then verified. All comparisons are exact.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.skew import salt, salted_lookup
+from dayloom.llm.sieve import passes, sieve_of
+from dayloom.llm.skew import salted_lookup
 from dayloom.llm.words import lots, mix, occurrences, shingles
 from dayloom.runtime import cut_lineage
 
@@ -30,6 +33,8 @@ ROWS, BANDS = 4, 32
 MARK_BITS = 14
 #: Tasks that a bucket's documents are dealt over; buckets are many, so each is repeated a few times only.
 BUCKET_SALTS = 6
+#: Shingles of the documents that meet as one block; two blocks of 32-bit hashes take 2 MB.
+BLOCK_CELLS = 200_000
 #: A pair of similarity 0.8 agrees on 102 of the 128 coordinates on average, with a deviation of
 #: 4.5, and on fewer than 77 once in 10^8.
 AGREEMENT = 77
@@ -91,7 +96,7 @@ def _bags(doc: np.ndarray, cells: np.ndarray, n_docs: int) -> list[bytes | None]
 
 
 def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, marked: bool = False) -> DataFrame:
-    """(id, bag, signature): a digest of the shingle bag, and the bands; both NULL without words.
+    """(id, key, bag, signature): a hash of the row, a digest of the shingle bag, and the bands; both NULL without words.
 
     With `marked` a further column, `mark`, has the text's digest.
     """
@@ -105,11 +110,11 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
                 bags += _bags(doc, cells, len(lot))
                 signatures += list(dart_signatures(doc, cells, len(lot)).view(np.int64)[:, :BANDS])
             signatures = [s if b else None for s, b in zip(signatures, bags, strict=True)]
-            made = [batch.column(0), pa.array(bags, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), *[batch.column(2) for _ in extra]]
-            yield pa.RecordBatch.from_arrays(made, names=["id", "bag", "signature", *extra])
+            made = [batch.column(0), batch.column(2), pa.array(bags, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), *[batch.column(3) for _ in extra]]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "key", "bag", "signature", *extra])
 
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body"), *[_mark(F.col(text)).alias(c) for c in extra])
-    kinds = [f"id {docs.schema[id].dataType.simpleString()}", "bag binary", "signature array<bigint>", *[f"{c} string" for c in extra]]
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body"), _key(F.col(id), F.col(text)).alias("key"), *[_mark(F.col(text)).alias(c) for c in extra])
+    kinds = [f"id {docs.schema[id].dataType.simpleString()}", "key bigint", "bag binary", "signature array<bigint>", *[f"{c} string" for c in extra]]
     return rows.mapInArrow(run, ", ".join(kinds))
 
 
@@ -117,11 +122,29 @@ def _mark(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _key(id: Column, text: Column) -> Column:
+    """A hash that leads back to a row: of its id, or of its text where it has none."""
+    return F.when(id.isNotNull(), F.xxhash64(id)).otherwise(F.xxhash64(text))
+
+
 def _bag_cells(docs: DataFrame, wanted: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """(bag, cells, short) of the wanted bags (id, bag), from the text of their documents.
+    """(bag, cells, short) of the wanted bags (key, bag), from the text of their documents.
 
-    `short` has the upper halves of the cells' hashes. A text that doesn't give the bag (an id used for different texts) is left out.
+    `short` has the upper halves of the cells' hashes. A sieve holds back the texts that aren't
+    asked for before they are shuffled, and a task passes on a key once. A text that doesn't give
+    the bag (a key of different texts) is left out.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(wanted))
+
+    def asked(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            kept = passes(sent.value, keys.view(np.uint64))
+            for i in np.flatnonzero(kept):
+                kept[i] = (k := int(keys[i])) not in seen
+                seen.add(k)
+            yield batch.filter(pa.array(kept))
 
     def run(batches):
         for batch in batches:
@@ -132,14 +155,14 @@ def _bag_cells(docs: DataFrame, wanted: DataFrame, id: str, text: str, width: in
                 made = _bags(doc, all_cells, len(lot))
                 at = len(cells)
                 halves = (all_cells >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                short += [halves[cuts[i] : cuts[i + 1]] for i in range(len(lot))]
+                short += [np.sort(halves[cuts[i] : cuts[i + 1]]) for i in range(len(lot))]
                 cells += [np.sort(all_cells[cuts[i] : cuts[i + 1]]).tobytes() if made[i] == bags[at + i] else None for i in range(len(lot))]
             kept = pa.array([c is not None for c in cells])
             made = [batch.column(1), pa.array(cells, pa.binary()), pa.array(short, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(made, names=["bag", "cells", "short"]).filter(kept)
 
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("body")).join(wanted, "id").select("body", "bag")
-    return rows.mapInArrow(run, "bag binary, cells binary, short array<int>")
+    rows = docs.select(_key(F.col(id), F.col(text)).alias("key"), F.col(text).alias("body")).mapInArrow(asked, "key bigint, body string")
+    return rows.join(wanted, "key").select("body", "bag").mapInArrow(run, "bag binary, cells binary, short array<int>")
 
 
 def _similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -173,8 +196,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round gives a node the smallest label around it and then that label's own label, so
     chains shorten by half; it ends when no label changes.
     """
-    both = edges.union(edges.select("b", "a")).select(F.col("a").alias("node"), F.col("b").alias("other"))
-    links = cut_lineage(both)
+    ways = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    links = cut_lineage(edges.select(ways.alias("way")).select("way.*"))
     labels = cut_lineage(links.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         # Labels of neighbours are brought by joins on the nodes; minima are taken before the shuffle.
@@ -194,10 +217,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     Two documents are linked when the weighted Jaccard similarity of their bags of `width`-word
     shingles is at least `threshold`; classes are what links connect. `class_id` is the smallest
     id of the class, and its row stays. A text of fewer words is one shingle. A text without
-    words, NULL or empty, is a class of its own and stays. A row without an id is linked by its
-    bag if a row with an id has the same one; it stays only if the whole class has no id. Rows
-    that repeat an id and a text are one document: all of them stay or go. Other columns are
-    ignored, whatever their names.
+    words, NULL or empty, is a class of its own and stays. A row without an id is linked like any
+    other; it stays only if the whole class has no id, where all rows stay. Rows that repeat an id
+    and a text are one document: all of them stay or go. Other columns are ignored, whatever their
+    names.
     """
     return _classed(docs, id, text, threshold, width, cut_lineage(sketches(docs, id, text, width)))
 
@@ -205,19 +228,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
 def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int, sketched: DataFrame) -> DataFrame:
     """What `near_duplicates` gives, from the sketches of the rows; their `mark` stays if they have one."""
     # Equal bags are one node from here on; `bag` is its name.
-    bags = sketched.filter("bag is not null").groupBy("bag").agg(F.min("id").alias("id"), F.min("signature").alias("signature"))
+    row = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("row")
+    bags = sketched.filter("bag is not null").groupBy("bag").agg(row, F.min("signature").alias("signature"))
+    bags = bags.select("bag", "row.id", "row.key", "signature")
     bands = F.transform("signature", lambda band, i: F.xxhash64(i, band))
-    banded = bags.select("id", "bag", F.explode(bands).alias("bucket"))
+    banded = bags.select("key", "bag", F.explode(bands).alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("bag").alias("first")).filter("n > 1").drop("n")
     members = cut_lineage(salted_lookup(banded, buckets, "bucket", "bag", BUCKET_SALTS).filter("first is not null"))
-    involved = members.select("id", "bag").distinct()
+    involved = cut_lineage(members.select("key", "bag").distinct())
     cells = cut_lineage(_bag_cells(docs, involved, id, text, width))
 
     stars = members.filter(F.col("bag") != F.col("first")).select(F.col("bag").alias("a"), F.col("first").alias("b")).distinct()
     edges = cut_lineage(_similar(stars, cells, threshold))
     labels = components(edges)
-    edges = edges.union(_similar(_across(members, labels, bags, cells, threshold), cells, threshold))
-    labels = components(edges)
+    across = cut_lineage(_across(members, labels, bags, cells, threshold))
+    labels = components(edges.union(_similar(across, cells, threshold)))
 
     found = bags.select("bag", "id").join(labels.withColumnRenamed("node", "bag"), "bag", "left")
     classes = found.groupBy(F.coalesce("label", "bag").alias("label")).agg(F.min("id").alias("class_id"))
@@ -225,48 +250,72 @@ def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int,
     return _sized(sketched, led, id)
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    """On how many coordinates two signatures agree: four marks in lanes of 16 bits in each number."""
-    ones = sum(((1 << MARK_BITS) - 1) << (16 * lane) for lane in range(ROWS))
-    tops = sum(1 << (16 * lane + MARK_BITS) for lane in range(ROWS))
-    # Adding all ones to a lane carries into its next bit unless the lane is zero.
-    equal = F.zip_with(a, b, lambda x, y: ROWS - F.bit_count((x.bitwiseXOR(y) + F.lit(ones)).bitwiseAND(F.lit(tops))))
-    return F.aggregate(equal, F.lit(0), lambda total, n: total + n)
-
-
-def _nearly(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two bags are similar, from 32-bit halves of their hashes; two chance clashes inside a bag are allowed for."""
-    shared = F.size(F.array_intersect(a, b)) + 2
-    return shared * (1 + threshold) >= threshold * (F.size(a) + F.size(b))
-
-
 def _across(members: DataFrame, labels: DataFrame, bags: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one bucket but different classes, for buckets that hold more than one.
+    """Pairs (a, b) of one bucket but different classes that seem similar, for buckets that hold more than one class.
 
-    The documents of all classes but the bucket's largest meet all others, so the largest class,
-    which may be a third of all documents, is never paired with itself. A pair comes out of the
-    first bucket it shares, and only if its signatures agree on AGREEMENT coordinates and its bags
-    are similar, so what is left are the links that the stars have missed.
+    Buckets with the same first document are one meeting. Its documents outside the largest class
+    are dealt into blocks by their bags, those of the largest class into blocks of their own, and
+    a document goes to every pair of blocks that it takes part in: as often as the meeting has
+    blocks, not as its buckets are many. The largest class, which may be a third of all documents,
+    is never paired with itself.
     """
-    classed = members.select("bucket", "bag").join(labels.withColumnRenamed("node", "bag"), "bag", "left")
-    classed = classed.select("bucket", "bag", F.coalesce("label", "bag").alias("label"))
-    sizes = classed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).alias("largest")).filter("classes > 1")
-    mixed = cut_lineage(mixed.select("bucket", F.col("largest.label").alias("largest")))
-    here = salted_lookup(classed, mixed, "bucket", "bag", BUCKET_SALTS).filter("largest is not null")
-    here = here.join(bags.select("bag", "signature"), "bag").join(cells.select("bag", "short"), "bag")
-    minor = here.filter(F.col("label") != F.col("largest"))
-    minor = minor.select(F.col("bucket").alias("a_bucket"), F.col("bag").alias("a"), F.col("label").alias("a_label"), F.col("signature").alias("a_signature"), F.col("short").alias("a_short"))
-    every = here.select("bucket", F.col("bag").alias("b"), F.col("label").alias("b_label"), F.col("signature").alias("b_signature"), F.col("short").alias("b_short"), "largest")
-    # Two minor documents meet twice; one order is enough.
-    wanted = (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("largest")) | (F.col("a") < F.col("b")))
-    same = F.zip_with("a_signature", "b_signature", lambda x, y: x == y)
-    band = F.array_position(same, True) - 1
-    first = F.xxhash64(band.cast("int"), F.get("a_signature", band.cast("int"))) == F.col("bucket")
-    alike = _agreement(F.col("a_signature"), F.col("b_signature")) >= AGREEMENT
-    similar = _nearly(F.col("a_short"), F.col("b_short"), threshold)
-    pairs = every.join(minor, [F.col("bucket") == F.col("a_bucket"), wanted, first, alike, similar])
-    return pairs.select("a", "b").distinct()
+    classed = members.select("bucket", "first", "bag").join(labels.withColumnRenamed("node", "bag"), "bag", "left")
+    classed = cut_lineage(classed.select("bucket", "first", "bag", F.coalesce("label", "bag").alias("label")))
+    mixed = classed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    mixed = mixed.select("bucket", F.lit(True).alias("mixed"))
+    met = salted_lookup(classed, mixed, "bucket", "bag", BUCKET_SALTS).filter("mixed").select("first", "bag", "label").distinct()
+    met = cut_lineage(met.join(cells.select("bag", F.size("short").cast("long").alias("weight")), "bag"))
+
+    classes = met.groupBy("first", "label").agg(F.sum("weight").alias("weight"))
+    facts = classes.groupBy("first").agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "label")).alias("largest"))
+    blocks = lambda weight: F.greatest(F.ceil(weight / F.lit(float(BLOCK_CELLS))), F.lit(1))
+    facts = facts.select("first", F.col("largest.label").alias("largest"), blocks(F.col("all") - F.col("largest.weight")).alias("few"), blocks(F.col("largest.weight")).alias("many"))
+    here = salted_lookup(met.drop("weight"), facts, "first", "bag", BUCKET_SALTS)
+    large = F.col("label") == F.col("largest")
+    spread = F.xxhash64("bag", F.lit("block"))
+    block = F.when(large, F.col("few") + F.pmod(spread, F.col("many"))).otherwise(F.pmod(spread, F.col("few")))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(large, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))
+    here = here.select("first", "bag", "label", block.alias("block"), F.explode(partners).alias("partner"))
+    here = here.select("first", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "block", "bag", "label")
+    payload = bags.select("bag", "signature").join(cells.select("bag", "short"), "bag")
+    return here.join(payload, "bag").groupBy("first", "i", "j").applyInPandas(_comparer(threshold), "a binary, b binary").distinct()
+
+
+def _comparer(threshold: float):
+    """Compares the documents of two blocks, or of one with itself."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = (rows[(rows["block"] == rows[x]).to_numpy()] for x in "ij")
+        alone = rows["i"].iloc[0] == rows["j"].iloc[0]
+        bands = np.stack(right["signature"].to_list()) if len(right) else np.zeros((0, BANDS), np.int64)
+        marks = bands.view(np.uint16)
+        size = right["short"].map(len).to_numpy(np.int64)
+        stops = np.cumsum(size)
+        halves = np.concatenate(right["short"].to_list()) if len(right) else np.zeros(0, np.int32)
+        label, names = right["label"].to_numpy(), right["bag"].to_numpy()
+        found = []
+        for at, (bag, own, signature, short) in enumerate(zip(left["bag"], left["label"], left["signature"], left["short"], strict=True)):
+            signature = np.asarray(signature, np.int64)
+            good = (bands == signature).any(axis=1) & (label != own)
+            if alone:
+                good[: at + 1] = False
+            near = np.flatnonzero(good)
+            near = near[(marks[near] == signature.view(np.uint16)).sum(axis=1) >= AGREEMENT]
+            # A bag that is too small for the other can't reach the threshold.
+            near = near[np.minimum(size[near], len(short)) >= threshold * np.maximum(size[near], len(short))]
+            if not len(near):
+                continue
+            own_cells = np.unique(short)
+            picked = np.concatenate([np.arange(stops[b] - size[b], stops[b]) for b in near])
+            place = np.searchsorted(own_cells, halves[picked])
+            hit = own_cells[np.minimum(place, len(own_cells) - 1)] == halves[picked]
+            # Halves that clash by chance count too, so this is never below the shared weight.
+            shared = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+            enough = shared * (1 + threshold) >= threshold * (size[near] + len(short)) - 1e-9
+            found += [(bag, names[b]) for b in near[enough]]
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype=object)
+
+    return run
 
 
 def _sized(sketched: DataFrame, led: DataFrame, id: str) -> DataFrame:

@@ -169,6 +169,34 @@ def test_near_dedup_finds_links_that_a_star_misses(spark, monkeypatch):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("block", [200_000, 2_000])
+def test_near_dedup_of_a_family_of_near_but_unlinked_texts(spark, monkeypatch, block):
+    # Copies of one text that are close to each other and mostly below the threshold, beside a large class of real copies.
+    monkeypatch.setattr(near_dedup, "BLOCK_CELLS", block)
+    rng = random.Random(5)
+    words = sentence(200, rng).split()
+    rows = []
+    for i in range(220):
+        copy = list(words)
+        for _ in range(rng.choice([0, 1, 4, 5, 6, 7]) if i % 3 else 0):
+            copy[rng.randrange(len(copy))] = rng.choice(VOCABULARY)
+        rows.append((len(rows) + 1, " ".join(copy) + (f" tail {i % 7}" if i % 3 == 0 else "")))
+    want = classes(rows)
+    assert len(set(want.values())) > 5
+    docs = documents(spark, [(i, t, None) for i, t in rows]).repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
+
+
+def test_rows_without_an_id_are_linked_to_their_near_copies(spark):
+    words = sentence(60).split()
+    near = " ".join([*words[:-1], "changed"])
+    rows = [(7, " ".join(words), None), (None, near, None), (None, near + " twice", None), (None, "quite another text", None)]
+    got = {(r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in near_dedup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {(7, 7, 3, True), (None, 7, 3, False), (None, None, 1, True)}
+    kept = near_dedup.drop_near_copies(documents(spark, rows)).select("text").collect()
+    assert {r["text"] for r in kept} == {rows[0][1], rows[3][1]}
+
+
 def test_near_dedup_of_odd_rows(spark):
     text = "one two three four five six seven"
     long = sentence(20_000)
