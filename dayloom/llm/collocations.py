@@ -3,18 +3,21 @@
 Texts are cut at marks into pieces and these at blanks into words. Prefix polynomials over the
 hashed words of a lot of texts give the fingerprint of every n-gram by a subtraction. Inside a lot
 equal fingerprints are held against the text. Across lots the shuffle sums counts by fingerprint
-and carries a pointer to a document with the phrase, not the phrase. Frequent ones only are then
-read from the documents they point to, where their fingerprints are worked out again.
+and carries a pointer to a document with the phrase, not the phrase. A longer phrase is counted
+only where its two shorter parts are frequent, which a bitmap of bounded size tells: it lets some
+more pass, but none that counts is lost. Frequent phrases only are then read from the documents
+they point to, where their fingerprints are worked out again.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayloom.llm.sieve import passes, sieve_of
 from dayloom.llm.skew import salted_lookup
 from dayloom.llm.words import lots, mix
 from dayloom.runtime import cut_lineage
@@ -118,25 +121,33 @@ def _combined(key: np.ndarray, check: np.ndarray, n: np.ndarray, where: np.ndarr
     return [key[starts], check[starts], np.add.reduceat(n, starts), np.minimum.reduceat(where, starts)]
 
 
-def _lot_counts(lot: Lot, longest: int, salts: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
-    """Fingerprints, checks, counts and pointers of a lot's n-grams, and of the run of no words, which occurs once a word.
+def _lot_counts(lot: Lot, sizes: Sequence[int], salts: np.ndarray, where: np.ndarray, sieve: np.ndarray | None = None) -> list[np.ndarray]:
+    """Fingerprints, checks, counts and pointers of a lot's n-grams of some sizes.
 
-    A fingerprint that two different runs of words share in the lot stays apart by its check.
+    Size 0 is the run of no words, which occurs once a word. With a sieve only n-grams count whose
+    first and last part, one word shorter, pass it. A fingerprint that two different runs of words
+    share in the lot stays apart by its check.
     """
     number = lot.numbers()
     parts = []
-    for size in range(longest + 1):
+    for size in sizes:
         at, key, check = lot.grams(size, salts)
+        if sieve is not None:
+            known = np.zeros(len(lot.start), bool)
+            shorter, part, _ = lot.grams(size - 1, salts)
+            known[shorter] = passes(sieve, part)
+            kept = known[at] & known[at + 1]
+            at, key, check = at[kept], key[kept], check[kept]
         order = np.argsort(key, kind="stable")
         at, key, check = at[order], key[order], check[order]
         if not len(at):
             continue
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        leader = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        leader = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
         differs = np.zeros(len(at), bool)
         for j in range(size):
-            differs |= number[at + j] != number[leader + j]
-        if (differs & (check == check[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))])).any():
+            differs |= number[at + j] != number[at[leader] + j]
+        if (differs & (check == check[leader])).any():
             raise ValueError("two phrases share a fingerprint and its check")
         parts.append((key, check, np.ones(len(at), np.int64), where[lot.text[at]]))
     if not parts:
@@ -158,8 +169,9 @@ def _pointer() -> Column:
     return F.xxhash64("lang", "body")
 
 
-def _fingerprints(rows: DataFrame, longest: int) -> DataFrame:
+def _fingerprints(rows: DataFrame, sizes: Sequence[int], sieve: np.ndarray | None = None) -> DataFrame:
     """(key, check, n, pointer) of the n-grams of rows (pointer, lang, body), summed as far as a task sees them together."""
+    sent = rows.sparkSession.sparkContext.broadcast(sieve)
 
     def handed_on(sums: list[np.ndarray]) -> pa.RecordBatch:
         key, check, n, where = sums
@@ -175,7 +187,7 @@ def _fingerprints(rows: DataFrame, longest: int) -> DataFrame:
             for lot in lots(texts, LOT):
                 here = slice(at, at + len(lot))
                 at += len(lot)
-                held.append(_lot_counts(Lot(lot), longest, langs[here], where[here]))
+                held.append(_lot_counts(Lot(lot), sizes, langs[here], where[here], sent.value))
                 fresh += len(held[-1][0])
                 if fresh >= MOST:
                     merged = _combined(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -263,8 +275,12 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lo
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(unknown)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.select("lang", "body", _pointer().alias("pointer"))
-    counted = _fingerprints(rows, longest).groupBy("key", "check").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
-    frequent = cut_lineage(counted.filter(F.col("n") >= least))
+    frequent = last = None
+    for sizes in ([0, 1], *([n] for n in range(2, longest + 1))):
+        sieve = None if last is None else sieve_of(last)
+        counted = _fingerprints(rows, sizes, sieve).groupBy("key", "check").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
+        last = cut_lineage(counted.filter(F.col("n") >= least))
+        frequent = last if frequent is None else frequent.union(last)
     return cut_lineage(_materialised(rows, frequent, longest))
 
 

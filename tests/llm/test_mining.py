@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from dayloom.llm import collocations, divergence, quality
+from dayloom.llm import collocations, divergence, quality, sieve
 from dayloom.llm.queries import QUERIES
 from tests.llm.helpers import documents
 
@@ -61,7 +61,7 @@ def test_collocations_in_small_lots_and_hand_overs(spark, monkeypatch):
     monkeypatch.setattr(collocations, "LOT", 200)
     monkeypatch.setattr(collocations, "MOST", 100)
     rows = [(i, t, "en") for i, t in enumerate(invented(80, random.Random(3)))]
-    got = collocations._lot_counts(collocations.Lot([t for _, t, _ in rows]), 3, np.zeros(80, np.uint64), np.arange(80))
+    got = collocations._lot_counts(collocations.Lot([t for _, t, _ in rows]), range(4), np.zeros(80, np.uint64), np.arange(80))
     assert got[2].sum() == sum(phrases_by_hand([(t, "en") for _, t, _ in rows])[0].values()) + phrases_by_hand([(t, "en") for _, t, _ in rows])[1]["en"]
     found = collocations.collocations(documents(spark, rows).repartition(3)).collect()
     assert sorted(map(tuple, found)) == collocations_by_hand([(t, lang) for _, t, lang in rows])
@@ -76,12 +76,21 @@ def test_equal_fingerprints_of_different_words_stay_apart(monkeypatch):
     assert all(len(x) == 1 for x in named.values()) and len(set.union(*named.values())) == len(named) == 4
     real = collocations.Lot(["aa bb aa cc, bb aa", "cc dd aa bb"])
     real.hash = real.hash & np.uint64(1)
-    key, check, n, _ = collocations._lot_counts(real, 2, np.zeros(2, np.uint64), np.arange(2))
+    key, check, n, _ = collocations._lot_counts(real, range(3), np.zeros(2, np.uint64), np.arange(2))
     # Fingerprints collide here, but with their checks they count each run of words on its own.
     assert sorted(n) == sorted([*Counter("aa bb aa cc bb aa cc dd aa bb".split()).values(), *Counter(["aa bb", "bb aa", "aa cc", "bb aa", "cc dd", "dd aa", "aa bb"]).values(), 10])
     real.check = real.check & np.uint64(0)
     with pytest.raises(ValueError, match="share a fingerprint"):
-        collocations._lot_counts(real, 2, np.zeros(2, np.uint64), np.arange(2))
+        collocations._lot_counts(real, range(3), np.zeros(2, np.uint64), np.arange(2))
+
+
+def test_a_full_sieve_loses_nothing(spark, monkeypatch):
+    rows = [(i, t, "en") for i, t in enumerate(invented(80, random.Random(9), "ab cd ef".split()))]
+    want = collocations_by_hand([(t, lang) for _, t, lang in rows])
+    for most, row in ((1 << 27, 1 << 12), (8, 1), (64, 1)):
+        monkeypatch.setattr(sieve, "MOST_BITS", most)
+        monkeypatch.setattr(sieve, "SIEVE_ROW", row)
+        assert sorted(map(tuple, collocations.collocations(documents(spark, rows)).collect())) == want and want
 
 
 def test_a_fingerprint_that_leads_nowhere_is_an_error(spark):
@@ -149,9 +158,11 @@ def test_divergence_ranks_a_cell_of_many_equal_terms(spark):
 
 def test_terms_of_long_texts_are_cut_between_terms(monkeypatch):
     text = "ab cdé " * 500 + "z" * 300
-    whole = divergence.term_counts(text)
-    monkeypatch.setattr(divergence, "PART", 17)
-    assert divergence.term_counts(text) == whole == {b"ab": 500, "cdé".encode(): 500, b"z" * 300: 1}
+    for part in (1 << 20, 17):
+        monkeypatch.setattr(divergence, "PART", part)
+        n, docs = Counter({b"ab": 1}), Counter()
+        divergence.count_terms(text, n, docs)
+        assert n == {b"ab": 501, "cdé".encode(): 500, b"z" * 300: 1} and docs == {b"ab": 1, "cdé".encode(): 1, b"z" * 300: 1}
 
 
 def statistics_by_hand(text):
