@@ -9,6 +9,7 @@ are ranked by value with their multiplicities. Only the terms of the first cells
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from dayloom.runtime import cut_lineage
 
 UNIT = 1_000_000_000
 #: Terms that a task holds counts of before it hands them on, and bytes of a text worked on at a time.
-MOST_TERMS, PART = 100_000, 1 << 20
+MOST_TERMS, PART = 300_000, 1 << 20
 
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 
@@ -35,39 +36,40 @@ def _parts(data: bytes):
     yield data[at:]
 
 
-def term_counts(text: str | None) -> Counter:
-    """How often each term occurs in a text; terms are UTF-8 with only A to Z lower-cased."""
-    found: Counter = Counter()
+def count_terms(text: str | None, n: Counter, docs: Counter) -> None:
+    """Add the terms of a text to `n`, and each of them once to `docs`; terms are UTF-8 with only A to Z lower-cased."""
+    own: set[bytes] = set()
     # Lower-casing bytes leaves everything outside ASCII as it is.
     for part in _parts((text or "").encode().lower()):
-        found.update(_TERM.findall(part))
-    return found
+        found = _TERM.findall(part)
+        n.update(found)
+        own.update(found)
+    docs.update(own)
 
 
 def _counted(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """(lang, source, term, n, docs), summed over the rows that a task sees together."""
 
-    def handed_on(sums: dict) -> pa.RecordBatch:
-        langs, sources, terms = zip(*sums, strict=True) if sums else ((), (), ())
-        n, d = zip(*sums.values(), strict=True) if sums else ((), ())
-        columns = [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array([t.decode() for t in terms], pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+    def handed_on(counts: dict) -> Iterator[pa.RecordBatch]:
+        for (where, whence), (n, docs) in counts.items():
+            if n:
+                columns = [pa.array([where] * len(n), pa.string()), pa.array([whence] * len(n), pa.string()), pa.array([t.decode() for t in n], pa.string())]
+                columns += [pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
-        sums: dict = {}
+        counts: dict = {}
+        held = 0
         for batch in batches:
             for body, where, whence in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                for term, n in term_counts(body.as_py()).items():
-                    cell = sums.get((where, whence, term))
-                    if cell:
-                        cell[0] += n
-                        cell[1] += 1
-                    else:
-                        sums[(where, whence, term)] = [n, 1]
-                if len(sums) >= MOST_TERMS:
-                    yield handed_on(sums)
-                    sums = {}
-        yield handed_on(sums)
+                n, in_docs = counts.setdefault((where, whence), (Counter(), Counter()))
+                held -= len(n)
+                count_terms(body.as_py(), n, in_docs)
+                held += len(n)
+                if held + len(counts) >= MOST_TERMS:
+                    yield from handed_on(counts)
+                    counts, held = {}, 0
+        yield from handed_on(counts)
 
     rows = docs.select(F.col(text).alias("body"), _name(lang).alias("lang"), _name(source).alias("source"))
     made = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
