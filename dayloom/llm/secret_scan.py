@@ -2,9 +2,11 @@
 
 Spark's regular expressions give the matches but not their places. The pieces between the matches
 (`split`) and the matches (`regexp_extract_all`) alternate, so running lengths give every span in
-code points. Candidates for the entropy scan are long runs of key characters. A window slides over
-each; the count of the incoming character goes up and that of the outgoing one goes down, and with
-them the sum of c*log2(c), which fixes the Shannon entropy of the window.
+code points. Candidates for the entropy scan are the longest runs of a class's characters, for every
+class on its own; allow-listed strings are blanked first, so they clear themselves and nothing
+beside them. A window slides over each run; the count of the incoming character goes up and that
+of the outgoing one goes down, and with them the sum of c*log2(c), which fixes the Shannon entropy
+of the window.
 """
 
 import math
@@ -29,26 +31,32 @@ SCALE = 1_000_000_000
 
 @dataclass(frozen=True)
 class CharClass:
-    """An alphabet and the entropy in bits per character from which a window counts as random."""
+    """Characters, as a pattern and an alphabet, and the entropy in bits per character from which a window counts as random.
+
+    With `fold` upper and lower case are one character.
+    """
 
     name: str
+    pattern: str
     alphabet: str
     bits: float
+    fold: bool = False
 
 
 @dataclass(frozen=True)
 class EntropyRules:
-    """`window` characters slide; a candidate goes to the first class whose alphabet holds all of it."""
+    """`window` characters slide over the longest runs of each class's characters."""
 
     window: int = 20
-    candidate: str = "[A-Za-z0-9+/=_-]"
     classes: tuple[CharClass, ...] = (
-        CharClass("hex", "0123456789abcdef", 3.0),
-        CharClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.8),
+        CharClass("hex", "[0-9A-Fa-f]", "0123456789abcdef", 3.0, True),
+        CharClass("base64", "[A-Za-z0-9+/=_-]", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.8),
     )
-    #: Candidates that match one of these are no secrets: no digit or no letter in them, an
-    #: alphabet written out, and the key that public manuals print.
-    allow: tuple[str, ...] = ("^[^0-9]*$", "^[^A-Za-z]*$", "(?i)0123456789abcdef|abcdefghijklmnop", "EXAMPLE")
+    #: Runs that match one of these are no secrets: no digit or no letter in them.
+    clear: tuple[str, ...] = ("^[^0-9]*$", "^[^A-Za-z]*$")
+    #: Allow-listed strings, as (pattern, length of its matches): an alphabet written out, and the
+    #: mark of the keys that public manuals print.
+    allow: tuple[tuple[str, int], ...] = (("(?i)0123456789abcdef", 16), ("(?i)abcdefghijklmnop", 16), ("EXAMPLE", 7))
 
 
 def _spans(text: Column, pattern: str, group: int, least: int, kind: str, guard: str) -> Column:
@@ -108,48 +116,55 @@ def _hot_stretch(word: Column, of: CharClass, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step, lambda acc: F.struct(acc["first"], acc["last"]))
 
 
-def _entropy_spans(text: Column, rules: EntropyRules) -> Column:
-    run = f"{rules.candidate}{{{rules.window},}}"
+def _class_spans(text: Column, of: CharClass, rules: EntropyRules) -> Column:
+    run = f"{of.pattern}{{{rules.window},}}"
     spans = _spans(text, run, 0, rules.window, "entropy", run)
 
     def stretch(span: Column) -> Column:
         word = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        hot = F.lit(None).cast("struct<first:int,last:int>")
-        for c in reversed(rules.classes):
-            hot = F.when(F.translate(word, c.alphabet, "") == "", _hot_stretch(word, c, rules.window)).otherwise(hot)
-        for allowed in rules.allow:
-            hot = F.when(~word.rlike(allowed), hot)
-        return F.when(
-            hot["first"].isNotNull(),
-            F.struct(
-                (span["start"] + hot["first"] - rules.window).alias("start"),
-                (span["start"] + hot["last"]).alias("end"),
-                span["kind"].alias("kind"),
-            ),
-        )
+        hot = _hot_stretch(F.lower(word) if of.fold else word, of, rules.window)
+        for clear in rules.clear:
+            hot = F.when(~word.rlike(clear), hot)
+        start, end = span["start"] + hot["first"] - rules.window, span["start"] + hot["last"]
+        return F.when(hot["first"].isNotNull(), F.struct(start.alias("start"), end.alias("end"), span["kind"].alias("kind")))
 
     return F.filter(F.transform(spans, stretch), lambda s: s.isNotNull())
 
 
-def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: EntropyRules = EntropyRules()) -> DataFrame:
-    """(id, base, spans): arrays of (start, end, kind) in code points, end exclusive, in order.
+def _entropy_spans(text: Column, rules: EntropyRules) -> Column:
+    """Entropy spans of all classes; a span that two classes find is one."""
+    return F.array_distinct(F.concat(*[_class_spans(text, of, rules) for of in rules.classes]))
 
-    `base` holds the spans of the three patterns, `spans` these and the entropy spans. `kind`
-    counts in KINDS. One row per row of `docs`, in one pass without a shuffle. NULL and empty
-    texts have no spans. Other columns are ignored, whatever their names.
-    """
-    body = F.col("body")
+
+def _scanned(docs: DataFrame, id: str, text: str, rules: EntropyRules) -> DataFrame:
+    """(id, body, base, spans) of every row, with spans in order."""
+    body, blanked = F.col("body"), F.col("blanked")
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    hidden = body
+    for pattern, length in rules.allow:
+        hidden = F.regexp_replace(hidden, pattern, " " * length)
+    rows = rows.withColumn("blanked", hidden)
     found = rows.select(
-        "id",
+        "id", "body",
         F.concat(*[_spans(body, p, g, n, kind, GUARDS[kind]) for kind, p, g, n in BASE]).alias("base"),
-        _entropy_spans(body, rules).alias("more"),
-    )
+        _entropy_spans(blanked, rules).alias("more"),
+    )
 
     def in_order(spans: Column) -> Column:
         return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
-    return found.select(F.col("id").alias(id), in_order(F.col("base")).alias("base"), in_order(F.concat("base", "more")).alias("spans"))
+    return found.select("id", "body", in_order(F.col("base")).alias("base"), in_order(F.concat("base", "more")).alias("spans"))
+
+
+def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: EntropyRules = EntropyRules()) -> DataFrame:
+    """(id, base, spans): arrays of (start, end, kind) in code points, end exclusive, in order.
+
+    `base` holds the spans of the three patterns, `spans` these and the entropy spans, which may
+    overlap them and each other. `kind` counts in KINDS. One row per row of `docs`, in one pass
+    without a shuffle. NULL and empty texts have no spans. Other columns are ignored, whatever
+    their names.
+    """
+    return _scanned(docs, id, text, rules).select(F.col("id").alias(id), "base", "spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -159,9 +174,10 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mask: str = "[secret]", rules: EntropyRules = EntropyRules()) -> DataFrame:
-    """(id, text) with every span replaced by `mask`; overlapping spans are replaced as one. Ids must be unique."""
-    spans = secret_spans(docs, id, text, rules).filter(F.size("spans") > 0).select(F.col(id).alias("__id"), "spans")
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    """(id, text) with every span replaced by `mask`; overlapping spans are replaced as one.
+
+    One row per row of `docs`, whether its id is missing or repeated: spans are those of the row itself.
+    """
     body = F.col("body")
 
     def cut(acc: Column, s: Column) -> Column:
@@ -169,11 +185,6 @@ def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mask: str =
         out = F.when(s["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask)))
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), out.alias("out"))
 
-    joined = rows.join(spans, F.col("id") == F.col("__id"), "left")
-    none = F.lit([]).cast("array<struct<start:int,kind:int,end:int>>")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    done = F.aggregate(
-        F.coalesce("spans", none), start, cut,
-        lambda acc: F.concat(acc["out"], F.substring(body, acc["pos"] + 1, F.length(body))),
-    )
-    return joined.select(F.col("id").alias(id), done.alias(text))
+    done = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(body, acc["pos"] + 1, F.length(body))))
+    return _scanned(docs, id, text, rules).select(F.col("id").alias(id), done.alias(text))

@@ -8,7 +8,7 @@ from t window g as (partition by body)
 """
 
 
-def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int, table: str = "t") -> str:
     """Spans of a pattern from the pieces between its matches and the matches."""
     p = pattern.replace("'", "''")
     return f"""
@@ -17,7 +17,7 @@ def _spans_sql(kind: str, number: int, pattern: str, group: int, least: int) ->
     (list_sum(list_transform(gaps[:i], lambda x: length(x))) + list_sum(list_transform(hits[:i], lambda x: length(x))))::bigint as e, hits[i] as hit
   from (select doc_id, gaps, hits, parts, unnest(range(1, len(hits) + 1)) as i from (
     select doc_id, string_split_regex(body, '{p}') as gaps, regexp_extract_all(body, '{p}') as hits,
-      regexp_extract_all(body, '{p}', {group}) as parts from t))
+      regexp_extract_all(body, '{p}', {group}) as parts from {table}))
   where length(parts[i]) >= {least}"""
 
 
@@ -28,20 +28,23 @@ with t as (select doc_id, coalesce(text, '') as body from documents),
 base as ({_spans_sql('assign', 0, ASSIGN, 2, 8)}
   union all {_spans_sql('access', 1, 'AKIA[A-Z0-9]+', 0, 16)}
   union all {_spans_sql('hex', 2, '[0-9a-f]+', 0, 32)}),
-runs as ({_spans_sql('entropy', 3, '[A-Za-z0-9+/=_-]{20,}', 0, 20)}),
-classed as (select *, case when regexp_full_match(hit, '[0-9a-f]+') then 3.0 else 3.8 end as bits from runs
-  where regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]')
-    and not regexp_matches(hit, '(?i)0123456789abcdef|abcdefghijklmnop') and not contains(hit, 'EXAMPLE')),
+blanked as (select doc_id, replace(regexp_replace(regexp_replace(body, '(?i)0123456789abcdef', repeat(' ', 16), 'g'),
+  '(?i)abcdefghijklmnop', repeat(' ', 16), 'g'), 'EXAMPLE', repeat(' ', 7)) as body from t),
+hexes as ({_spans_sql('entropy', 3, '[0-9A-Fa-f]{20,}', 0, 20, 'blanked')}),
+mixes as ({_spans_sql('entropy', 3, '[A-Za-z0-9+/=_-]{20,}', 0, 20, 'blanked')}),
+classed as (select * from (select doc_id, s, lower(hit) as hit, 3.0 as bits from hexes union all select doc_id, s, hit, 3.8 from mixes)
+  where regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Za-z]')),
 windows as (select doc_id, s, bits, unnest(range(20, length(hit) + 1)) as i, hit from classed),
 summed as (select doc_id, s, i, bits, list_sum(list_transform(list_distinct(string_split(hit[i - 19:i], '')),
     lambda ch: round(1000000000.0 * (20 - length(replace(hit[i - 19:i], ch, ''))) * log2(20 - length(replace(hit[i - 19:i], ch, ''))))::bigint)) as total
   from windows),
-hot as (select doc_id, 'entropy' as kind, 3 as k, s + min(i) - 20 as s, s + max(i) as e
-  from summed where total <= floor(1000000000.0 * 20 * (log2(20) - bits)) group by doc_id, s),
+hot as (select distinct doc_id, 'entropy' as kind, 3 as k, s + first - 20 as s, s + last as e
+  from (select doc_id, s, min(i) as first, max(i) as last from summed
+    where total <= floor(1000000000.0 * 20 * (log2(20) - bits)) group by doc_id, s, bits)),
 every as (select doc_id, kind, k, s, e from base union all select doc_id, kind, k, s, e from hot),
 counts as (select doc_id, count(*) filter (k = 0) as a, count(*) filter (k = 1) as b, count(*) filter (k = 2) as c,
-    string_agg(kind || ':' || s || ':' || e, ',' order by s, k) filter (k < 3) as base_spans,
-    string_agg(kind || ':' || s || ':' || e, ',' order by s, k) as spans
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, k, e) filter (k < 3) as base_spans,
+    string_agg(kind || ':' || s || ':' || e, ',' order by s, k, e) as spans
   from every group by doc_id)
 select t.doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex,
   sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans
