@@ -247,23 +247,29 @@ def _unpack(places: bytes, weights: bytes, heads: bytes, categories: Sequence[st
     return ChainModel(list(categories), models, [float(x) for x in h[:, n + 1]], chosen)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), id: str = "doc_id", text: str = "text", sample: int = 8000) -> ChainModel | None:
-    """The chain for 0/1 label columns, from a sample of about `sample` labelled documents.
-
-    The sample is the documents whose hashed ids and texts are lowest; one task fits the models
-    on it. Rows with a NULL among text and labels are not learned from; other columns of both
-    tables are ignored. None if no row is left.
-    """
-    marks = labels.select(F.col(id).alias("id"), *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
+def learned_rows(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), id: str = "doc_id", text: str = "text", sample: int = 8000) -> DataFrame:
+    """(id, text, y0, y1, ...): at most `sample` labelled documents, drawn by hashed ids and then by hashed ids and texts."""
+    columns = [f"y{i}" for i in range(len(categories))]
+    marks = labels.select(F.col(id).alias("id"), *[(F.col(c) > 0).cast("int").alias(y) for c, y in zip(categories, columns, strict=True)]).dropna()
+    same = " and ".join(f"{y} = other_{y}" for y in columns)
+    marks = marks.groupBy("id").agg(*[F.min(y).alias(y) for y in columns], *[F.max(y).alias(f"other_{y}") for y in columns]).filter(same).select("id", *columns)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).dropna()
     # Ids are few bytes and labels are far fewer than documents, so the sample is drawn before texts move.
     at = (F.xxhash64("id").cast("double") + 2.0**63) / 2.0**64
-    n = marks.count()
-    if not n:
-        return None
-    drawn = marks.filter(at <= min(1.0, sample / n))
+    share = min(1.0, 1.1 * sample / max(marks.count(), 1))
+    drawn = rows.filter(at <= share).join(marks.filter(at <= share), "id").withColumn("at", F.xxhash64("id", "text"))
+    return drawn.orderBy("at", "id", "text").limit(sample).drop("at")
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("quality", "toxic"), id: str = "doc_id", text: str = "text", sample: int = 8000) -> ChainModel | None:
+    """The chain for 0/1 label columns, from a sample of at most `sample` labelled documents.
+
+    One task fits the models on it. Rows with a NULL among text and labels are not learned from,
+    nor are ids that the labels mark in different ways; other columns of both tables are ignored.
+    None if no row is left.
+    """
     columns = [f"y{i}" for i in range(len(categories))]
-    learned = rows.filter(at <= min(1.0, sample / n)).join(drawn, "id").select(F.lit(0).alias("all"), "id", "text", *columns)
+    learned = learned_rows(docs, labels, categories, id, text, sample).withColumn("all", F.lit(0))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "text", *columns])
@@ -274,15 +280,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("qualit
     return _unpack(bytes(made[0]["places"]), bytes(made[0]["weights"]), bytes(made[0]["heads"]), categories) if made else None
 
 
-def predict(docs: DataFrame, model: ChainModel | None, id: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: ChainModel | None, id: str = "doc_id", text: str = "text", categories: Sequence[str] = ("quality", "toxic")) -> DataFrame:
     """(id, p_<category>, is_<category>) for every row of `docs`, in one pass without a shuffle.
 
-    NULL counts as empty. Without a model all probabilities are NULL and nothing is marked.
+    NULL counts as empty. Without a model all probabilities of `categories` are NULL and nothing is marked.
     Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id).alias(id), F.col(text).alias("__text"))
     if model is None:
-        return rows.select(id)
+        nothing = [F.lit(None).cast("double").alias(f"p_{c}") for c in categories] + [F.lit(False).alias(f"is_{c}") for c in categories]
+        return rows.select(id, *nothing)
     sent, n = docs.sparkSession.sparkContext.broadcast((_pack(model), model.categories)), len(model.categories)
 
     def run(batches):

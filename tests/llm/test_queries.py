@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
 
 import check_queries  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from dayloom.llm import toxicity  # noqa: E402
 from dayloom.llm.queries import PIECE_MODEL, QUERIES, SQL  # noqa: E402
 from tests.llm.helpers import classes  # noqa: E402
 from tests.llm.test_text import leaks_by_hand  # noqa: E402
@@ -43,10 +44,25 @@ def test_language_query_is_accurate(spark, sf_dir):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held) > 0
 
 
-def test_toxicity_query_finds_labelled_documents(spark, sf_dir):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    got = {r["doc_id"]: r["toxic"] for r in QUERIES["op9_toxicity"](spark, sf_dir).collect()}
-    assert sum(got[i] == bool(y) for i, y in labels.items()) >= 0.95 * len(labels)
+def test_toxicity_is_accurate_on_labels_it_has_not_seen(spark, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, marks.filter("crc32(cast(doc_id as string)) % 3 != 0"))
+    got = {r["doc_id"]: r["is_toxic"] for r in toxicity.predict(docs, model).collect()}
+    unseen = {r["doc_id"]: bool(r["toxic"]) for r in marks.filter("crc32(cast(doc_id as string)) % 3 = 0").collect()}
+    assert len(unseen) > 60 and sum(got[i] == y for i, y in unseen.items()) >= 0.95 * len(unseen)
+
+
+def test_toxicity_query_equals_the_chain_without_spark(spark, sf_dir):
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    marks = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    learn = sorted((i, t) for i, t in text.items() if i in marks and t is not None)
+    chain = toxicity.fit_chain([t for _, t in learn], np.array([marks[i] for i, _ in learn]) > 0, ("quality", "toxic"))
+    got = {r["doc_id"]: r for r in QUERIES["op9_toxicity"](spark, sf_dir).collect()}
+    p = chain.probabilities([t or "" for t in text.values()])
+    for i, row in zip(text, p, strict=True):
+        assert got[i]["quality_score"] == pytest.approx(row[0], abs=1e-6) and got[i]["score"] == pytest.approx(row[1], abs=1e-6)
+        assert got[i]["toxic"] == (row[1] >= chain.thresholds[1]) or abs(row[1] - chain.thresholds[1]) < 1e-6
 
 
 def pipeline_by_hand(docs, kept_first, benchmark):
