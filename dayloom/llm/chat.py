@@ -1,15 +1,18 @@
 """Chat formatting in budgeted windows, with loss masks.
 
 A conversation becomes windows of whole turns. Prefix sums of the turns' tokens choose the spans:
-a turn belongs to the window that its prefix sum falls in, so every turn is a target exactly once.
+a span reaches to the last turn whose prefix sum is within the budget from the span's start, so
+only a single turn that is longer than the budget exceeds it, and every turn is a target once.
 A window starts with the system turn and repeats a few turns before its span as history; neither
 counts for the loss again. Texts are escaped so that no control string of the template can appear
 in them, and a formatted window can be read back exactly.
 """
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ ESCAPE = "\\"
 
 @dataclass(frozen=True)
 class ChatRules:
-    """Tokens a window's span may start within, history turns repeated, and tokens history may have.
+    """Tokens a window's span may have, history turns repeated, and tokens history may have.
 
     Turns are dealt out in blocks of `block` turn numbers, so a conversation of any length is
     worked on by many tasks. A window never crosses a block.
@@ -71,7 +74,12 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-WINDOW = "conv bigint, block bigint, window int, formatted string, repeated int, loss array<struct<start:int,end:int>>"
+WINDOW = "block bigint, window int, formatted string, repeated int, loss array<struct<start:int,end:int>>"
+
+
+def _name_kind(kind: str) -> str:
+    """The type that conversations are named by."""
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "string"
 
 
 def _windows_of(turns: list[dict], system: tuple[str, str, int] | None, rules: ChatRules) -> Iterator[dict]:
@@ -82,11 +90,13 @@ def _windows_of(turns: list[dict], system: tuple[str, str, int] | None, rules: C
     """
     first = next((i for i, t in enumerate(turns) if t["own"]), len(turns))
     room = max(1, rules.budget - (system[2] if system else 0))
-    before, spans = 0, {}
-    for i, t in enumerate(turns[first:], first):
-        spans.setdefault(before // room, []).append(i)
-        before += t["tokens"]
-    for number, span in enumerate(spans.values()):
+    upto = list(accumulate((t["tokens"] for t in turns), initial=0))
+    spans, at = [], first
+    while at < len(turns):
+        end = max(at + 1, bisect_right(upto, upto[at] + room) - 1)
+        spans.append(range(at, end))
+        at = end
+    for number, span in enumerate(spans):
         history, tokens, at = [], 0, span[0]
         while at > 0 and len(history) < rules.history_turns and not turns[at - 1]["lead"]:
             tokens += turns[at - 1]["tokens"]
@@ -113,9 +123,9 @@ def chat_windows(
     the system turn, except in the window where it stands itself, and up to `history_turns` turns
     that precede the span. `loss` has the spans of assistant texts, in code points.
 
-    A span holds the turns whose prefix sum of tokens within the block starts in the same multiple
-    of the budget (less the system turn), so a window exceeds the budget by at most its last turn
-    and its history; no turn is cut or left out. Other columns are ignored, whatever their names.
+    A span holds as many turns as the budget (less the system turn) has room for, or one that is
+    longer; history comes on top. No turn is cut or left out. Conversations are named by whole
+    numbers or anything else, which becomes text. Other columns are ignored, whatever their names.
     """
 
     def counted(batches):
@@ -124,11 +134,12 @@ def chat_windows(
             n = counter.count(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], names=[*batch.schema.names, "tokens"])
 
+    kind = _name_kind(conversations.schema[conv].dataType.simpleString())
     rows = conversations.select(
-        F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"),
+        F.col(conv).cast(kind).alias("conv"), F.col(turn).cast("long").alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    rows = rows.mapInArrow(counted, "conv bigint, turn bigint, role string, text string, tokens int")
+    rows = rows.mapInArrow(counted, f"conv {kind}, turn bigint, role string, text string, tokens int")
     block = F.floor(F.col("turn") / F.lit(rules.block))
     rows = rows.withColumn("block", F.coalesce(block, F.lit(-(2**40))))
     # The first turn of each conversation, found before the shuffle; only system turns are kept.
@@ -159,20 +170,24 @@ def chat_windows(
                     made += built(key, group) if group else []
                     key, group = (t["conv"], t["block"]), []
                 group.append(t)
-            yield _window_batch(made)
+            yield _window_batch(made, kind)
         if group:
-            yield _window_batch(built(key, group))
+            yield _window_batch(built(key, group), kind)
 
     # A block has at most `block` turn numbers, so a group is small; a conversation's blocks meet its
     # system turn by a join that Spark splits where one conversation is large.
     joined = turns.join(system.withColumnRenamed("conv", "of"), F.col("conv").eqNullSafe(F.col("of")), "left").drop("of")
     ordered = joined.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "role", "text")
-    return ordered.mapInArrow(build, WINDOW)
+    return ordered.mapInArrow(build, f"conv {kind}, {WINDOW}")
+
 
+def _arrow(kind: str) -> pa.DataType:
+    return pa.int64() if kind == "bigint" else pa.string()
 
-def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
+
+def _window_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), span]
+    kinds = [_arrow(kind), pa.int64(), pa.int32(), pa.string(), pa.int32(), span]
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     columns[5] = [[{"start": a, "end": b} for a, b in loss] for loss in columns[5]]
     names = ["conv", "block", "window", "formatted", "repeated", "loss"]
@@ -187,6 +202,8 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
     order in one partition and pass through the running digests one at a time.
     """
 
+    kind = windows.schema["conv"].dataType.simpleString()
+
     def run(batches):
         state, done = None, []
 
@@ -208,18 +225,18 @@ def conversation_digests(windows: DataFrame) -> DataFrame:
                     state["chars"] += len(shown)
                     state["loss"].update(shown.encode())
             if done:
-                yield _digest_batch(done)
+                yield _digest_batch(done, kind)
                 done = []
         if state:
-            yield _digest_batch([closed(state)])
+            yield _digest_batch([closed(state)], kind)
 
     ordered = windows.repartition("conv").sortWithinPartitions("conv", "block", "window")
     return ordered.select("conv", "formatted", "repeated", "loss").mapInArrow(
-        run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+        run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 
 
-def _digest_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+def _digest_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    kinds = [_arrow(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

@@ -165,3 +165,49 @@ def test_chat_windows_read_back(spark):
         assert (digests[c]["loss_chars"], digests[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
         assert digests[c]["formatted_chars"] == sum(len(w["formatted"]) for w in listed if w["conv"] == c)
     assert chat.conversation_digests(chat.chat_windows(table.limit(0), PATH)).count() == 0
+
+
+def test_chat_windows_keep_to_the_budget(spark):
+    counter = token_counts.token_counter(PATH)
+    rows, table = conversations(spark)
+    rows += [(8, 0, "user", "word " * 999), (8, 1, "assistant", "word " * 999)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for budget in (40, 200, 1024):
+        rules = chat.ChatRules(budget=budget, history_turns=0, block=64)
+        for w in chat.chat_windows(table, PATH, rules).collect():
+            turns = chat.read_turns(w["formatted"])
+            own, lead = turns[w["repeated"] :], turns[: w["repeated"]]
+            sizes = counter.count([t for _, t in [*own, *lead]])
+            assert len(own) == 1 or sum(sizes) <= budget, (w["conv"], budget)
+            assert all(r == "system" for r, _ in lead)
+
+
+def test_conversations_are_named_by_anything(spark):
+    rows = [("a/1", 0, "user", "q"), ("a/1", 1, "assistant", "said"), ("b", 0, "assistant", "x"), (None, 0, "user", "lost")]
+    table = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    got = {r["conv_id"]: r["n_turns"] for r in chat.conversation_digests(chat.chat_windows(table, PATH)).collect()}
+    assert got == {"a/1": 2, "b": 1, None: 1}
+
+
+def test_the_registered_queries_on_the_given_tables(spark, sf_dir, library):
+    """op2, op3 and op10 against the library and plain Python, on every row."""
+    from dayloom.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    encoded = {r["doc_id"]: r for r in QUERIES["op2_sentencepiece"](spark, sf_dir).collect()}
+    counted = {r["doc_id"]: r for r in QUERIES["op3_token_counts"](spark, sf_dir).collect()}
+    assert encoded.keys() == counted.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = library.encode(t, add_bos=True, add_eos=True)
+        assert encoded[i]["n_tokens"] == len(ids) and encoded[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert encoded[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        assert tuple(counted[i])[1:4] == (len(t.encode()), len(ids) - 2, len(ids) - 2 > 4096)
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    got = {r["conv_id"]: r for r in QUERIES["op10_chat_format"](spark, sf_dir).collect()}
+    want = in_order(rows)
+    assert got.keys() == want.keys() and -1 in got
+    for c, ts in want.items():
+        said = "".join(t for r, t in ts if r == "assistant")
+        assert got[c]["n_turns"] == len(ts) and got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
