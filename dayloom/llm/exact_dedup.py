@@ -58,6 +58,10 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", salts:
 
 
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that `exact_dedup` keeps, with all their columns; ids must be unique."""
-    kept = exact_dedup(docs, id, text).filter("kept").select(F.col(id).alias("__kept_id"))
-    return docs.join(kept, docs[id].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of `docs` that `exact_dedup` keeps, with all their columns.
+
+    Rows are told by id and text, so that a dropped row goes also where another row with its id stays.
+    """
+    kept = exact_dedup(docs, id, text).filter("kept").select(F.col(id).alias("__kept_id"), F.col("digest").alias("__kept_digest")).distinct()
+    digest = sha256(F.coalesce(docs[text], F.lit("")))
+    return docs.join(kept, docs[id].eqNullSafe(F.col("__kept_id")) & (digest == F.col("__kept_digest")), "left_semi")

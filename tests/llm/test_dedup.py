@@ -48,6 +48,12 @@ def test_drop_copies_keeps_columns(spark):
     assert exact_dedup.drop_copies(docs).columns == docs.columns
 
 
+def test_drop_copies_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a", None), (2, "a", None), (1, "b", None), (None, "c", None), (None, "a", None), (1, "b", "again")]
+    got = sorted(((r["doc_id"], r["text"], r["lang"]) for r in exact_dedup.drop_copies(documents(spark, rows)).collect()), key=str)
+    assert got == sorted([(2, "a", None), (1, "b", None), (1, "b", "again"), (None, "c", None)], key=str)
+
+
 def lines_by_hand(texts, least):
     key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").lower()
     seen = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")})
