@@ -23,7 +23,7 @@ from dayloom.llm.words import lots, mix
 from dayloom.runtime import cut_lineage
 
 #: Characters worked on at a time, and fingerprints that a task holds before it hands them on.
-LOT, MOST = 1_000_000, 1_500_000
+LOT, MOST = 500_000, 1_500_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ONE = np.uint64(1)
@@ -74,7 +74,7 @@ class Lot:
         """A number for every word, the same for equal words only: those of one hash are compared byte by byte."""
         if not len(self.start):
             return np.zeros(0, np.int64)
-        order = np.lexsort((self.start, self.hash))
+        order = np.argsort(self.hash)
         new = np.concatenate([[True], self.hash[order][1:] != self.hash[order][:-1]])
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
@@ -113,7 +113,9 @@ class Lot:
 
 def _combined(key: np.ndarray, check: np.ndarray, n: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
     """Counts summed and pointers minimised by fingerprint and check."""
-    order = np.lexsort((check, key))
+    order = np.argsort(key)
+    if ((np.diff(key[order]) == 0) & (np.diff(check[order]) != 0)).any():
+        order = np.lexsort((check, key))  # Keys that collide, which is rare.
     key, check, n, where = key[order], check[order], n[order], where[order]
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])) if len(key) else np.zeros(0, np.int64)
     if not len(starts):
@@ -138,7 +140,7 @@ def _lot_counts(lot: Lot, sizes: Sequence[int], salts: np.ndarray, where: np.nda
             known[shorter] = passes(sieve, part)
             kept = known[at] & known[at + 1]
             at, key, check = at[kept], key[kept], check[kept]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at, key, check = at[order], key[order], check[order]
         if not len(at):
             continue
