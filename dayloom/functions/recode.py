@@ -266,10 +266,10 @@ def cut_right(
 
 
 def hours_label(hours: str | Column) -> Column:
-    """7.5 -> '7h 30m', after rounding to a tenth of an hour."""
+    """7.5 -> '7h 30m', after rounding to a tenth of an hour; missing hours have no label."""
     tenths = half_even(hours, 1)
     whole = F.floor(tenths)
-    return F.format_string("%dh %dm", whole, F.rint((tenths - whole) * 60).cast("int"))
+    return F.when(tenths.isNotNull(), F.format_string("%dh %dm", whole, F.rint((tenths - whole) * 60).cast("int")))
 
 
 def odds_label(odds: str | Column) -> Column:

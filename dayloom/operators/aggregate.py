@@ -540,6 +540,80 @@ def exact_quantiles(df: DataFrame, group: str | Sequence[str], x: str, probs: Se
     return matched.groupBy(*group, "prob").agg((low_v + (high_v - low_v) * frac).alias("value"))
 
 
+def weighted_quantiles(df: DataFrame, group: str | Sequence[str], x: str, probs: Sequence[float], w: str = "weight") -> DataFrame:
+    """(group, prob, value): the smallest value up to which a share `prob` of a group's weight lies.
+
+    Weights are measures here and not counts. They are summed as decimals of nine places, so that no
+    order of additions moves a quantile. As in `exact_quantiles` a group of any size is cut into
+    cells by value, and only the cells that hold a wanted share are ordered.
+    """
+    group = _names(group)
+    weight = F.col(w).cast("decimal(20, 9)")
+    values = df.filter(F.col(x).isNotNull() & (weight > 0)).select(*group, F.col(x).cast("double").alias("__v"), weight.alias("__w"))
+    sums = values.groupBy(*group, "__v").agg(F.sum("__w").alias("__w"))
+    bucketed = cut_lineage(sums.repartitionByRange(*group, "__v").withColumn("__b", F.spark_partition_id()))
+    cells = bucketed.groupBy(*group, "__b").agg(F.sum("__w").alias("__n"))
+    upto = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cells.select(*group, "__b", "__n", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*group)).alias("__total"))
+    share_of = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(str(p)).cast("decimal(10, 9)").alias("exact")) for p in probs]))
+    wanted = ranked.withColumn("__p", share_of).select(*group, "__b", "__n", "__before", "__p.prob", (F.col("__p.exact") * F.col("__total")).alias("__need"))
+    wanted = wanted.filter((F.col("__before") < F.col("__need")) & (F.col("__need") <= F.col("__before") + F.col("__n")))
+    inside = Window.partitionBy(*group, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = wanted.select(*group, "__b").distinct()
+    placed = join_null_safe(bucketed, chosen, [*group, "__b"], "left_semi").withColumn("__end", F.sum("__w").over(inside))
+    matched = join_null_safe(wanted, placed, [*group, "__b"], "inner").filter(F.col("__before") + F.col("__end") >= F.col("__need"))
+    return matched.groupBy(*group, "prob").agg(F.min("__v").alias("value"))
+
+
+def bandwidths(df: DataFrame, group: str | Sequence[str], x: str, adjust: float = 1.0, w: str = "weight") -> DataFrame:
+    """(group, n, bandwidth): a kernel width per group from its data.
+
+    0.9 times the smaller of the weighted deviation and the weighted quartile distance over 1.34,
+    by the fifth root of the number of values, times `adjust`. Where that is zero the deviation
+    stands in, and one where that is zero too.
+    """
+    group = _names(group)
+    used = df.filter(F.col(x).isNotNull() & (F.col(w).cast("decimal(20, 9)") > 0))
+    weight, value = F.col(w).cast("double"), F.col(x).cast("double")
+    sums = used.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("__t"), F.sum(weight * value).alias("__s"), F.sum(weight * value * value).alias("__q"))
+    ends = weighted_quantiles(used, group, x, [0.25, 0.75], w)
+    at = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+    quartiles = ends.groupBy(*group).agg((at(0.75) - at(0.25)).alias("__iqr"))
+    mean = F.col("__s") / F.col("__t")
+    deviation = F.sqrt(F.greatest(F.round(F.col("__q") / F.col("__t") - mean * mean, 9), F.lit(0.0)))
+    narrow = F.least(deviation, F.col("__iqr") / 1.34)
+    width = F.when(narrow > 0, narrow).when(deviation > 0, deviation).otherwise(1.0)
+    joined = join_null_safe(sums, quartiles, group, "inner")
+    return joined.select(*group, "n", (0.9 * width * F.pow(F.col("n").cast("double"), -0.2) * adjust).alias("bandwidth"))
+
+
+def adaptive_density(
+    df: DataFrame, group: str | Sequence[str], x: str, lo: float, hi: float, points: int = 512, adjust: float = 1.0, w: str = "weight", name: str = "density"
+) -> DataFrame:
+    """Gaussian kernel density per group on equally spaced points, its bandwidth taken from the group's data.
+
+    (group, point, x_at, bandwidth, density). Binned as in `weighted_density`; values farther outside
+    [lo, hi] than it is wide count in the total only.
+    """
+    group = _names(group)
+    step = (hi - lo) / (points - 1)
+    place = (F.col(x).cast("double") - F.lit(lo)) / F.lit(step)
+    below = F.greatest(F.least(F.floor(place), F.lit(2 * points)), F.lit(-points - 2)).cast("long")
+    part = F.least(F.greatest(place - below, F.lit(0.0)), F.lit(1.0))
+    weight = F.col(w).cast("double")
+    halves = F.array(F.struct(below.alias("bin"), (weight * (1 - part)).alias("w")), F.struct((below + 1).alias("bin"), (weight * part).alias("w")))
+    known = df.filter(F.col(x).isNotNull() & (F.col(w).cast("decimal(20, 9)") > 0))
+    bins = known.select(*group, F.explode(halves).alias("__h")).groupBy(*group, F.col("__h.bin").alias("__bin")).agg(F.sum("__h.w").alias("__w"))
+    bins = join_null_safe(bins, bandwidths(df, group, x, adjust, w).drop("n"), group, "inner")
+    grid = explode_grid(bins, "point", 0, points - 1)
+    z = (F.col("point") - F.col("__bin")) * F.lit(step) / F.col("bandwidth")
+    near = (F.col("__bin") >= -points) & (F.col("__bin") <= 2 * points - 1)
+    sums = grid.groupBy(*group, "point", "bandwidth").agg(sum_or_zero(F.when(near, F.col("__w") * F.exp(-z * z / 2))).alias("__k"), F.sum("__w").alias("__total"))
+    scale = F.col("bandwidth") * F.lit((2 * 3.141592653589793) ** 0.5)
+    at = F.lit(lo) + F.col("point") * F.lit(step)
+    return sums.select(*group, "point", at.alias("x_at"), "bandwidth", share(F.col("__k"), F.col("__total") * scale).alias(name))
+
+
 def sorted_output(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Ascending order on several keys, for the final output only."""
     return df.orderBy(*cols)

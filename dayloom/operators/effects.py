@@ -377,9 +377,10 @@ def parse_draw_names(
 
 
 def _columns_to_rows(wide: DataFrame, cols: Sequence[str], draw: str, name: str) -> DataFrame:
-    """Unpivot columns whose names hold dots and brackets."""
+    """Unpivot columns whose names hold dots and brackets; a group that a replicate doesn't have is no row."""
     cells = [F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias("value")) for c in cols]
-    return wide.select(draw, F.explode(F.array(*cells)).alias("__r")).select(draw, f"__r.{name}", "__r.value")
+    rows = wide.select(draw, F.explode(F.array(*cells)).alias("__r")).select(draw, f"__r.{name}", "__r.value")
+    return rows.filter(F.col("value").isNotNull())
 
 
 def draw_columns(draws: DataFrame, levels: Mapping[str, Sequence[str]], term: str, draw: str = "draw") -> DataFrame:

@@ -165,10 +165,53 @@ def with_level_order(df: DataFrame, col: str, levels: Sequence[str], drop_unused
 def reorder_levels(df: DataFrame, col: str, by: Column, reverse: bool = False) -> DataFrame:
     """Level order from an aggregate: (col, order value, `<col>_ord`), one row per level.
 
-    `by` is an aggregate such as F.avg("x"). Only the levels meet in the ranking window.
+    `by` is an aggregate such as F.avg("x"). Levels without an order value come last; a missing
+    level has no place. Only the levels meet in the ranking window.
     """
     from pyspark.sql import Window
 
     per_level = df.groupBy(col).agg(by.alias("order_value"))
-    key = F.col("order_value").desc() if reverse else F.col("order_value").asc()
-    return per_level.withColumn(f"{col}_ord", F.dense_rank().over(Window.orderBy(key)))
+    key = F.col("order_value").desc_nulls_last() if reverse else F.col("order_value").asc_nulls_last()
+    known = F.col(col).isNotNull()
+    return per_level.withColumn(f"{col}_ord", F.when(known, F.dense_rank().over(Window.partitionBy(known).orderBy(key))))
+
+
+# ---- columns by name, place and kind --------------------------------------------------------
+
+NUMERIC_KINDS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
+    """The columns from `first` to `last` as the table has them."""
+    names = df.columns
+    a, b = names.index(first), names.index(last)
+    return names[a : b + 1] if a <= b else names[b : a + 1][::-1]
+
+
+def columns_matching(df: DataFrame, pattern: str = "", kind: str | None = None, but: Sequence[str] = ()) -> list[str]:
+    """Columns whose name has a match of a regular expression, of a kind (`numeric` or a type's name), and not among `but`."""
+
+    def fits(name: str, typed: str) -> bool:
+        plain = typed.split("(")[0]
+        return bool(re.search(pattern, name)) and name not in but and (kind is None or (plain in NUMERIC_KINDS if kind == "numeric" else plain == kind))
+
+    return [name for name, typed in df.dtypes if fits(name, typed)]
+
+
+def rename_with(df: DataFrame, rule: Mapping[str, str] | tuple[str, str], cols: Sequence[str] | None = None) -> DataFrame:
+    """Rename columns by a mapping, or by (pattern, replacement) of a regular expression; others keep their names.
+
+    Two columns must not get the same name.
+    """
+    cols = list(df.columns if cols is None else cols)
+    new = {c: rule.get(c, c) for c in cols} if isinstance(rule, Mapping) else {c: re.sub(rule[0], rule[1], c) for c in cols}
+    names = [new.get(c, c) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError("two columns would have the same name")
+    return df.toDF(*names)
+
+
+def add_affix(df: DataFrame, prefix: str = "", suffix: str = "", cols: Sequence[str] | None = None) -> DataFrame:
+    """Put text before and after the names of columns."""
+    cols = list(df.columns if cols is None else cols)
+    return rename_with(df, {c: f"{prefix}{c}{suffix}" for c in cols}, cols)

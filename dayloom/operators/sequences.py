@@ -351,7 +351,8 @@ def k_medoids(seqs: DataFrame, seeds: DataFrame, costs: np.ndarray, id: str = "d
     current = cut_lineage(seeds.select(id, "states"))
     seen: list[frozenset] = [frozenset(r[0] for r in current.select(id).collect())]
     while True:
-        assigned = assign_to_medoids(days, current, costs, id)
+        # Kept, as the profiles and the totals both need it: distances are worked out once a round.
+        assigned = cut_lineage(assign_to_medoids(days, current, costs, id))
         current = cut_lineage(group_medoids(assigned, "medoid", costs, id, "n_copies").select(id, "states"))
         now = frozenset(r[0] for r in current.select(id).collect())
         if now in seen:

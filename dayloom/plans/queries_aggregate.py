@@ -822,3 +822,49 @@ _COMPANY = " union all ".join(
 @query("company_hours", _COMPANY, "value")
 def company_hours(s):
     return P.company_hours(s)
+
+
+def measure_sql(table: str, group: str, x: str, probs: tuple[float, ...]) -> str:
+    """Quantiles of weight: the smallest value up to which a share of the group's weight lies."""
+    return f"""
+select {group}, prob, min(v) as value from (
+  select {group}, v, sum(sum(w)) over (partition by {group} order by v) as upto, sum(sum(w)) over (partition by {group}) as total
+  from (select {group}, cast({x} as double) as v, cast(weight as decimal(20, 9)) as w from ({table}) d where {x} is not null and weight > 0) a
+  group by {group}, v) b
+cross join (values {', '.join(f"({p}::double, {p}::decimal(10, 9))" for p in probs)}) q(prob, exact)
+where upto >= exact * total group by {group}, prob"""
+
+
+@query("weighted_quantiles", measure_sql(T.SLEEP_MODEL, "day_type", "sleep_time", (0.05, 0.25, 0.5, 0.75, 0.95)), "value")
+def weighted_quantiles(s):
+    return A.weighted_quantiles(P.sleep_model_data(s), "day_type", "sleep_time", [0.05, 0.25, 0.5, 0.75, 0.95])
+
+
+def adaptive_sql(table: str, group: str, x: str, lo: float, hi: float, points: int, adjust: float) -> str:
+    """The bandwidths, the bins on the grid, and the kernel between bins and points."""
+    step = (hi - lo) / (points - 1)
+    return f"""
+with known as (select {group}, cast({x} as double) as v, weight from ({table}) d where {x} is not null and weight > 0),
+q as ({measure_sql(table, group, x, (0.25, 0.75))}),
+iqr as (select {group}, max(case when prob = 0.75 then value end) - max(case when prob = 0.25 then value end) as iqr from q group by {group}),
+m as (select {group}, count(*) as n, sqrt(greatest(round(sum(weight * v * v) / sum(weight) - pow(sum(weight * v) / sum(weight), 2), 9), 0)) as sd from known group by {group}),
+bw as (
+  select m.{group}, 0.9::double * case when least(sd, iqr / 1.34::double) > 0 then least(sd, iqr / 1.34::double) when sd > 0 then sd else 1 end * pow(n, -0.2::double) * {adjust}::double as bandwidth
+  from m join iqr on iqr.{group} is not distinct from m.{group}),
+bins as (
+  select {group}, below + h as bin, sum(weight * case when h = 0 then 1 - part else part end) as w
+  from (select {group}, weight, below, least(greatest(place - below, 0.0), 1.0) as part
+    from (select {group}, weight, place, greatest(least(floor(place), {2 * points}), {-points - 2}) as below
+      from (select {group}, weight, (v - {lo}) / {step!r}::double as place from known) a) b) c
+  cross join (values (0), (1)) k(h) group by all)
+select bins.{group}, p as point, {lo} + p * {step!r}::double as x_at, bandwidth,
+  coalesce(sum(case when bin between {-points} and {2 * points - 1} then w * exp(-0.5 * pow((p - bin) * {step!r}::double / bandwidth, 2)) end), 0)
+    / (sum(w) * bandwidth * {(2 * 3.141592653589793) ** 0.5!r}::double) as density
+from bins join bw on bw.{group} is not distinct from bins.{group} cross join (select cast(unnest(range(0, {points})) as int) as p) g
+group by bins.{group}, p, bandwidth"""
+
+
+@query("adaptive_density", adaptive_sql(T.SLEEP_MODEL, "day_type", "sleep_time", 0.0, 144.0, 145, 1.2), "x_at bandwidth density")
+def adaptive_density(s):
+    """Hours slept by day type, a density whose bandwidth follows the group's data."""
+    return A.adaptive_density(P.sleep_model_data(s), "day_type", "sleep_time", 0.0, 144.0, 145, 1.2)

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from dayloom.functions import recode as R
 from dayloom.operators import aggregate as A
 from dayloom.operators import effects as E
+from dayloom.operators import mixed as X
+from dayloom.operators import mixtures as Z
+from dayloom.operators import predictive as V
 from dayloom.plans import models as M
 from dayloom.plans import reports as P
 from dayloom.plans import sql_tables as T
@@ -258,3 +261,109 @@ def adjusted_two_covariates(s):
     draws = E.adjusted_draws(P.company_to_model(s), ["sex", "has_kids"], "at_least_two", "gaussian", M.N_DRAWS)
     one = lambda term: F.max(F.when(F.col("term") == term, F.col("value")))
     return draws.groupBy("draw").agg(one("sex").alias("sex_effect"), one("has_kids").alias("kids_effect"))
+
+
+# ---- models with more than a mean, and with numbers beside categories ---------------------------
+
+# Of several covariates: tests hold them to likelihoods written out on their own.
+@query("zero_inflated_5_2_1")
+def zero_inflated(s):
+    """Multitasking slots: negative binomial counts with extra zeros, both parts by the same covariates."""
+    terms = ["dagegrp", "sex", "dclasuk", "has_kids", "survey"]
+    return Z.count_fit(M.data_of(s, "5_2_1"), "n_multi", terms, (), terms)
+
+
+@query("negbinomial_shape_5_1_2")
+def negbinomial_shape(s):
+    """Spells: negative binomial, its shape by wave."""
+    return Z.count_fit(M.data_of(s, "5_1_2"), "n_spells", ["survey", "dagegrp", "sex", "dclasuk", "has_kids"], ["survey"])
+
+
+@query("student_7_2_1")
+def student(s):
+    """Falling asleep: Student-t, mean and scale by wave and day type."""
+    return Z.student_fit(M.data_of(s, "7_2_1"), "sleeping_time", ["survey", "day_type", "dagegrp", "sex", "dclasuk", "has_kids"], ["survey", "day_type"])
+
+
+@query("pooled_8_1_1")
+def pooled(s):
+    """Time with others: groups of wave, class and children are pooled beside age and sex."""
+    data = M.data_of(s, "8_1_1").withColumn("group", F.concat_ws(" / ", "survey", "dclasuk", "has_kids"))
+    return X.pooled_effects(data, "at_least_two", ["dagegrp", "sex"], pooled=["group"])
+
+
+# Fitted by likelihood, a negative binomial with one factor in its mean and its shape has the weighted means.
+@query(
+    "one_factor_negbinomial",
+    f"""
+select survey as level, round_even(ln(sum(weight * n_spells) / sum(weight)), 4) as fitted from ({T.SPELLS_DATA}) x
+where n_spells is not null and weight > 0 and survey is not null group by survey""",
+    "fitted",
+)
+def one_factor_negbinomial(s):
+    fit = Z.count_fit(P.spells_data(s), "n_spells", ["survey"], ["survey"])
+    mean = fit.filter("part = 'mu'")
+    start = mean.filter("level is null").select(F.col("coefficient").alias("start"))
+    levels = P.spells_data(s).filter("n_spells is not null and weight > 0").select(F.col("survey").alias("level")).dropna().distinct()
+    steps = levels.join(mean.filter("level is not null").select("level", "coefficient"), "level", "left")
+    return steps.select("level", F.bround(start.scalar() + F.coalesce("coefficient", F.lit(0.0)), 4).alias("fitted"))
+
+
+_SLOPE_SQL = f"""
+with e as (
+  select d.draw, cast(sex = 'Male' as int) as x1, leisure_time as x2, voracity0 as y, weight * -ln({M.uniform_sql('mainid', 'd.draw')}) as w
+  from ({T.VORACITY}) r cross join (select unnest(range(1, {M.N_DRAWS + 1})) as draw) d
+  where weight > 0 and sex is not null and leisure_time is not null and voracity0 is not null),
+s as (
+  select draw, sum(w) as a, sum(w * x1) as b, sum(w * x2) as c, sum(w * x1 * x1) as d11, sum(w * x1 * x2) as d12, sum(w * x2 * x2) as d22,
+         sum(w * y) as t, sum(w * x1 * y) as t1, sum(w * x2 * y) as t2 from e group by draw),
+k as (select *, d11 - b * b / a as v11, d12 - b * c / a as v12, d22 - c * c / a as v22, t1 - b * t / a as u1, t2 - c * t / a as u2 from s)
+select draw, round_even((u1 * v22 - u2 * v12) / (v11 * v22 - v12 * v12), 6) as sex_effect,
+       round_even((v11 * u2 - v12 * u1) / (v11 * v22 - v12 * v12), 6) as leisure_slope
+from k"""
+
+
+@query("adjusted_slopes", _SLOPE_SQL, "sex_effect leisure_slope")
+def adjusted_slopes(s):
+    """Variety of leisure by sex and by time, each adjusted for the other, per draw."""
+    draws = X.adjusted_slopes(P.voracity_data(s), "voracity0", ["sex"], ["leisure_time"], M.N_DRAWS)
+    one = lambda term: F.max(F.when(F.col("term") == term, F.col("value")))
+    return draws.groupBy("draw").agg(one("sex").alias("sex_effect"), one("leisure_time").alias("leisure_slope"))
+
+
+def _digest_sql(unit: str, tag: str, i: int) -> str:
+    return f"((cast('0x' || substr(md5(cast({unit} as varchar) || ':' || {tag}), {1 + 8 * i}, 8) as bigint) + 0.5) / 4294967296.0::double)"
+
+
+_TRY = "'g' || draw || '.' || i"
+_HURDLE_SQL = f"""
+with h as (select diaryid, cluster_group, mh, weight from ({T.CLUSTER_HEALTH}) x),
+sums as (
+  select cluster_group, sum(weight) as t, sum(case when mh > 0 then weight end) as w, sum(case when mh > 0 then weight * mh end) as wy,
+         sum(case when mh > 0 then weight * mh * mh end) as wyy
+  from h where weight > 0 and mh >= 0 group by cluster_group),
+facts as (select cluster_group, 1 - coalesce(w, 0) / t as hu, wy / w as mu, round(wyy / w - (wy / w) * (wy / w), 9) as v from sums),
+model as (select cluster_group, hu, mu, case when v > 0 then mu * mu / v end as shape from facts),
+drawn as (
+  select h.*, hu, mu, shape, case when shape < 1 then shape + 1 else shape end - 1.0::double / 3 as d, d.draw
+  from h left join model m on m.cluster_group is not distinct from h.cluster_group cross join (select unnest(range(1, 31)) as draw) d),
+tried as (
+  select *, sqrt(-2 * ln({_digest_sql('diaryid', _TRY, 0)})) * cos(2 * 3.141592653589793::double * {_digest_sql('diaryid', _TRY, 1)}) as x,
+         ln({_digest_sql('diaryid', _TRY, 2)}) as lu
+  from drawn cross join (select unnest(range(1, {V.TRIES + 1})) as i) i),
+cubed as (select *, 1 + x / sqrt(9 * d) as t from tried),
+kept as (
+  select diaryid, draw, arg_min(d * t * t * t, i) as g from cubed
+  where t > 0 and lu < 0.5 * x * x + d - d * t * t * t + d * ln(t * t * t) group by diaryid, draw)
+select diaryid, cluster_group, mh, cast(draw as int) as draw,
+  case when {M.uniform_sql('diaryid', "'z' || draw")} < hu then 0.0
+       when shape is null then mu
+       else coalesce(g, d) * case when shape < 1 then pow({M.uniform_sql('diaryid', "'b' || draw")}, 1 / shape) else 1 end * mu / shape end as predicted
+from drawn left join kept using (diaryid, draw)"""
+
+
+@query("hurdle_draws", _HURDLE_SQL, "mh predicted")
+def hurdle_draws(s):
+    """Replicates of the health score from the hurdle gamma model of its routine group."""
+    data = P.cluster_health_data(s).select("diaryid", "cluster_group", "mh", "weight")
+    return V.hurdle_draws(data, ["cluster_group"], "mh").drop("weight")

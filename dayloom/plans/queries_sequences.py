@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dayloom.functions import recode as R
+from dayloom.operators import routines as Rt
 from dayloom.operators import sequences as Q
 from dayloom.operators.aggregate import filter_matches
 from dayloom.plans import sql_tables as T
@@ -10,9 +11,11 @@ from dayloom.plans.registry import query
 from dayloom.sources import keys, standin
 
 N_SLOTS = 144
-N_MEDOIDS = 12
-# Routines of the published typology, as many as the naming key has rows.
-N_ROUTINES = 60
+# Routines of the published typology, as many as the naming key has rows, and a smaller number that
+# leaves several days to a routine also in small tables.
+N_ROUTINES, N_FEW = 60, 12
+# Groups that the routine tree starts from.
+N_GROUPS = 120
 
 STATE_CODE = "case coded5_activity " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(R.STATES)) + " end"
 STATE_ROWS = ", ".join(f"('{s}', {i})" for i, s in enumerate(R.STATES))
@@ -47,7 +50,7 @@ costs as (
 texts as (
   select diaryid, string_agg(cast(code as varchar), '' order by slot) as day, max(weight) as weight from cells2 group by diaryid),
 days as (select day, min(diaryid) as diaryid, count(*) as n_copies from texts group by day),
-meds as (select * from days order by md5(day) limit {N_MEDOIDS})
+meds as (select * from days order by md5(day) limit {N_FEW})
 """
 
 
@@ -152,7 +155,7 @@ group by a.diaryid, m.diaryid""",
 def distances_to(s):
     """Every complete diary against the seeds of the typology."""
     seqs, costs = prepared(s)
-    return Q.distances_to(seqs, Q.seed_medoids(seqs, N_MEDOIDS), costs)
+    return Q.distances_to(seqs, Q.seed_medoids(seqs, N_FEW), costs)
 
 
 @query(
@@ -169,7 +172,7 @@ select diaryid, medoid, dist from (
 )
 def assign_medoids(s):
     seqs, costs = prepared(s)
-    medoids = Q.seed_medoids(seqs, N_MEDOIDS)
+    medoids = Q.seed_medoids(seqs, N_FEW)
     return Q.assign_to_medoids(seqs, medoids, costs).select("diaryid", "medoid", "dist")
 
 
@@ -177,8 +180,8 @@ def assign_medoids(s):
 SQL_ROUNDS = 12
 
 
-def _rounds_sql() -> str:
-    """Medoids after SQL_ROUNDS rounds (`final`), from distances between distinct days."""
+def _rounds_sql(k: int) -> str:
+    """Medoids after SQL_ROUNDS rounds (`final`) from k seeds, from distances between distinct days."""
     ctes = [
         SEQ_SQL
         + """,
@@ -186,7 +189,8 @@ dist as materialized (
   select x.diaryid as a, y.diaryid as b, y.n_copies as n, round_even(sum(c.cost), 9) as d
   from days x cross join days y join cells2 p on p.diaryid = x.diaryid join cells2 q on q.diaryid = y.diaryid and q.slot = p.slot
   join costs c on c.slot = p.slot and c.ca = p.code and c.cb = q.code group by x.diaryid, y.diaryid, y.n_copies),
-m0 as materialized (select diaryid as m from meds)"""
+m0 as materialized (select diaryid as m from days order by md5(day) limit """
+        + f"{k})"
     ]
     for r in range(SQL_ROUNDS):
         ctes.append(f"""
@@ -202,29 +206,16 @@ final as materialized (select diaryid, medoid, dist from (
     return ",".join(ctes)
 
 
-MEDOIDS_SQL = _rounds_sql()
-
-
-def typology_of(s, k=N_MEDOIDS):
+def typology_of(s, k=N_ROUTINES):
     """k-medoids over all complete diaries."""
     seqs, costs = prepared(s)
     return Q.k_medoids(seqs, Q.seed_medoids(seqs, k), costs)
 
 
-@query("k_medoids", MEDOIDS_SQL + "select diaryid, medoid, dist from final", "dist")
-def k_medoids(s):
-    return typology_of(s).assigned.select("diaryid", "medoid", "dist")
-
-
 NUMBERED_SQL = """,
 numbers as (select medoid, row_number() over (order by medoid) as cluster60 from (select distinct medoid from final) x)"""
 
-
-@query(
-    "medoid_profile",
-    MEDOIDS_SQL
-    + NUMBERED_SQL
-    + f""",
+MEDOID_PROFILE_SQL = NUMBERED_SQL + f""",
 w as (select n.cluster60, d.slot, d.coded5_activity, d.weight from diaries d join final f on f.diaryid = d.diaryid join numbers n on n.medoid = f.medoid),
 c as (select cluster60, slot, coded5_activity, coalesce(sum(weight), 0) as n from w group by all),
 p as (select cluster60, slot, coded5_activity, n / nullif(sum(n) over (partition by cluster60, slot), 0) as percent from c),
@@ -233,19 +224,35 @@ select cast(f2.cluster60 as int) as cluster60, t.slot, v.state as coded5_activit
        timestamp '2020-01-01 04:00:00' + to_minutes(10 * (t.slot - 1)) as slot_time, f2.group_size
 from f2 cross join (select cast(unnest(range(1, {N_SLOTS + 1})) as int) as slot) t
 cross join (values {', '.join(f"('{s}')" for s in R.STATES)}) v(state)
-left join p on p.cluster60 = f2.cluster60 and p.slot = t.slot and p.coded5_activity = v.state""",
-    "percent",
-)
-def medoid_profile(s, k=N_MEDOIDS):
+left join p on p.cluster60 = f2.cluster60 and p.slot = t.slot and p.coded5_activity = v.state"""
+
+ROUTINES_SQL = NUMBERED_SQL + """
+select f.diaryid as label, cast(n.cluster60 as int) as cluster60, k.description, k.cluster
+from final f join numbers n on n.medoid = f.medoid
+left join routines k on k.original_cluster = n.cluster60"""
+
+
+def medoid_profile(s, k):
     """The day profile of every computed routine."""
     raw = Q.routine_typology(typology_of(s, k)).withColumnRenamed("label", "diaryid")
     slots = s.diaries.select("diaryid", "slot", "coded5_activity", "weight").join(raw, "diaryid")
     return Q.tempogram(slots, "cluster60", label=None)
 
 
-@query("medoid_profile_60")
-def medoid_profile_60(s):
-    return medoid_profile(s, N_ROUTINES)
+def routine_typology(s, k):
+    """Computed routines, named like the published ones."""
+    return Q.recluster(Q.routine_typology(typology_of(s, k)), keys.recluster_key(s.spark))
+
+
+# The 60 routines of the naming key, and the same with 12, where routines are shared in small tables too.
+for _suffix, _k in {"": N_ROUTINES, "_60": N_ROUTINES, "_12": N_FEW}.items():
+    _sql = _rounds_sql(_k)
+    if _suffix != "_60":
+        query(f"k_medoids{_suffix}", _sql + "select diaryid, medoid, dist from final", "dist")(
+            lambda s, k=_k: typology_of(s, k).assigned.select("diaryid", "medoid", "dist")
+        )
+    query(f"medoid_profile{_suffix}", _sql + MEDOID_PROFILE_SQL, "percent")(lambda s, k=_k: medoid_profile(s, k))
+    query(f"routine_typology{_suffix}", _sql + ROUTINES_SQL)(lambda s, k=_k: routine_typology(s, k))
 
 
 @query(
@@ -274,20 +281,121 @@ def recluster(s):
     return Q.recluster(standin.raw_clusters(s.spark, s.folder), keys.recluster_key(s.spark))
 
 
+# ---- the routine tree --------------------------------------------------------------------------
+
+
+def tree_groups(s):
+    """Complete diaries in the groups of the published typology: (diaryid, node, states), and the costs."""
+    seqs, costs = prepared(s)
+    groups = s.clusters.select(F.col("label").alias("diaryid"), F.col("cluster").alias("node"))
+    return seqs.join(groups, "diaryid").select("diaryid", "node", "states"), costs
+
+
+def _tree_sql(groups: int) -> str:
+    """Average linkage step by step: `m<step>` is the join of a step, `g<step>` the pairs and `l<step>` the groups' places after it.
+
+    A step without a pair left has no row and leaves all as it is.
+    """
+    ctes = [
+        SEQ_SQL
+        + """,
+gs as materialized (select x.cluster as node, c.diaryid, c.slot, c.code from cells2 c join clusters x on x.label = c.diaryid),
+ns as materialized (select node, count(distinct diaryid) as n from gs group by node),
+cnt as materialized (select node, slot, code, count(*) as n from gs group by all),
+g0 as materialized (
+  select a.node as a, b.node as b, sum(c.cost * a.n * b.n) as total, any_value(p.n) as a_n, any_value(q.n) as b_n
+  from cnt a join cnt b on b.slot = a.slot and a.node < b.node join costs c on c.slot = a.slot and c.ca = a.code and c.cb = b.code
+  join ns p on p.node = a.node join ns q on q.node = b.node group by a.node, b.node),
+l0 as materialized (select node, node as root, 0::bigint as place, n from ns)"""
+    ]
+    for i in range(1, groups):
+        ctes.append(f"""
+m{i} as materialized (select a as kept, b as gone, round_even(total / (a_n * b_n), 9) as height, a_n + b_n as n
+  from g{i - 1} order by 3, 1, 2 limit 1),
+h{i} as materialized (select m.*, (select count(*) from l{i - 1} l where l.root = m.kept) as kept_groups, (select count(*) from l{i - 1} l where l.root in (m.kept, m.gone)) as groups from m{i} m),
+g{i} as materialized (select least(a, b) as a, greatest(a, b) as b, sum(total) as total,
+    any_value(case when least(a, b) = a then x_n else y_n end) as a_n, any_value(case when least(a, b) = a then y_n else x_n end) as b_n
+  from (select case when g.a = m.gone then m.kept else g.a end as a, case when g.b = m.gone then m.kept else g.b end as b, total,
+      case when g.a in (m.kept, m.gone) then m.n else g.a_n end as x_n, case when g.b in (m.kept, m.gone) then m.n else g.b_n end as y_n
+    from g{i - 1} g cross join m{i} m) x where a <> b group by least(a, b), greatest(a, b)),
+l{i} as materialized (select l.node, case when l.root = h.gone then h.kept else l.root end as root,
+    case when l.root = h.gone then l.place + h.kept_groups else l.place end as place, l.n from l{i - 1} l left join h{i} h on true)""")
+    steps = "\nunion all ".join(f"select {i} as step, kept, gone, height, kept_groups, groups, n from h{i}" for i in range(1, groups))
+    return ",".join(ctes) + f""",
+tree as materialized ({steps})
+"""
+
+
+# The published typology has this many named routines.
+N_NAMED = len({description for _, description in keys.RECLUSTER_KEY})
+TREE_SQL = _tree_sql(N_NAMED)
+N_CUT = 6
+
+
+def tree_of(s):
+    """The merge history of the published routines."""
+    days, costs = tree_groups(s)
+    return Rt.agglomerate(days, "node", costs)
+
+
 @query(
-    "routine_typology",
-    MEDOIDS_SQL
-    + NUMBERED_SQL
-    + """
-select f.diaryid as label, cast(n.cluster60 as int) as cluster60, k.description, k.cluster
-from final f join numbers n on n.medoid = f.medoid
-left join routines k on k.original_cluster = n.cluster60""",
+    "agglomerate",
+    TREE_SQL
+    + "select step, kept, gone, height, cast(kept_groups as int) as kept_groups, cast(groups as int) as groups, cast(n as bigint) as n from tree",
+    "height",
 )
-def routine_typology(s, k=N_MEDOIDS):
-    """Computed routines, named like the published ones."""
-    return Q.recluster(Q.routine_typology(typology_of(s, k)), keys.recluster_key(s.spark))
+def agglomerate(s):
+    return tree_of(s)
 
 
-@query("routine_typology_60")
-def routine_typology_60(s):
-    return routine_typology(s, N_ROUTINES)
+@query(
+    "cut_tree",
+    TREE_SQL
+    + f"""
+select node, cast(dense_rank() over (order by start) as int) as cluster from (
+  select last.node, min(last.place) over (partition by cut.root) as start from l{N_NAMED - 1} last
+  join ({' union all '.join(f"select *, {i} as step from l{i}" for i in range(N_NAMED))}) cut on cut.node = last.node
+  where cut.step = greatest(0, (select count(*) from ns) - {N_CUT})) x""",
+)
+def cut_tree(s):
+    return Rt.cut_tree(tree_of(s), N_CUT)
+
+
+@query(
+    "merge_heights",
+    TREE_SQL + "select cast(rank as int) as rank, height from (select row_number() over (order by step desc) as rank, height from tree) x where rank between 2 and 51",
+    "height",
+)
+def merge_heights(s):
+    return Rt.merge_heights(tree_of(s))
+
+
+@query("routine_tree")
+def routine_tree(s):
+    """Days in groups by k-medoids, the groups in a tree, the tree cut into 60 routines, and these named."""
+    seqs, costs = prepared(s)
+    typology = Q.k_medoids(seqs, Q.seed_medoids(seqs, N_GROUPS), costs)
+    days = Q.cut_lineage(typology.assigned.select("diaryid", F.col("medoid").alias("node"), "states"))
+    cut = Rt.cut_tree(Rt.agglomerate(days, "node", costs), N_ROUTINES)
+    named = days.join(cut, "node").select(F.col("diaryid").alias("label"), F.col("cluster").alias("cluster60"))
+    return Q.recluster(named, keys.recluster_key(s.spark))
+
+
+# Diaries of the test tables are far apart: only a wide radius has pairs in it.
+RADIUS = 345.0
+
+
+@query(
+    "pairs_within",
+    SEQ_SQL
+    + f"""
+select * from (
+  select a.diaryid as a, b.diaryid as b, round_even(sum(c.cost), 9) as dist
+  from days x join cells2 a on a.diaryid = x.diaryid join cells2 b on b.slot = a.slot join days y on y.diaryid = b.diaryid
+  join costs c on c.slot = a.slot and c.ca = a.code and c.cb = b.code
+  where a.diaryid < b.diaryid group by a.diaryid, b.diaryid) d where dist <= {RADIUS}""",
+    "dist",
+)
+def pairs_within(s):
+    seqs, costs = prepared(s)
+    return Rt.pairs_within(seqs, costs, RADIUS)

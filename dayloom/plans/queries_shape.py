@@ -160,10 +160,16 @@ def complete_grid(s):
 
 @query(
     "drop_null_columns",
-    "select diaryid, mainid, survey, dday, ddomonth, dmonth, dyear, sex, dagegrp, dclasuk, n5to11, nq5_1 from raw",
+    """
+select name, count(*) as n_rows, count(distinct value) as n_values
+from (select columns(*)::varchar from raw) r unpivot include nulls (value for name in (columns(*)))
+group by name having count(*) = count(value)""",
 )
 def drop_null_columns(s):
-    return S.drop_null_columns(s.raw)
+    """The columns that are complete, with their numbers of rows and values: which ones they are depends on the data."""
+    kept = S.drop_null_columns(s.raw)
+    counts = kept.agg(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n_rows"), F.count_distinct(c).alias("n_values")).alias(c) for c in kept.columns])
+    return counts.select(F.inline(F.array(*[F.col(c) for c in kept.columns])))
 
 
 @query(
@@ -307,15 +313,14 @@ def hours_label(s):
 
 
 _MEAN_RANK = f"""
-select cl_desc, order_value, dense_rank() over (order by order_value) as cl_desc_ord
+select cl_desc, order_value,
+  case when cl_desc is not null then dense_rank() over (partition by cl_desc is null order by order_value nulls last) end as cl_desc_ord
 from (select cl_desc, round_even(avg(mh), 9) as order_value from respondents group by cl_desc) x"""
 
 
 @query("level_order", _MEAN_RANK, "order_value")
 def level_order(s):
-    return S.reorder_levels(s.sample, "cl_desc", F.bround(F.avg("mh"), 9)).withColumn(
-        "cl_desc_ord", F.when(F.col("order_value").isNotNull() | F.lit(True), F.col("cl_desc_ord"))
-    )
+    return S.reorder_levels(s.sample, "cl_desc", F.bround(F.avg("mh"), 9))
 
 
 @query(
@@ -476,3 +481,22 @@ def company_long(s):
     totals = A.company_slots(s.company)
     long = S.unpivot(totals, [c for c in totals.columns if c.startswith("with_")], "measure", "value")
     return S.split_name(long, "measure", ("household", "measure"))
+
+
+@query(
+    "column_helpers",
+    """
+select diaryid, nq1 as "% health_1", nq2 as "% health_2", nq3 as "% health_3", nq4 as "% health_4",
+       n5to11 as children_5to11_raw, n12to16 as children_12to16_raw, sex as answer_sex, dagegrp as answer_dagegrp
+from raw""",
+)
+def column_helpers(s):
+    """Columns chosen by range, pattern and kind, and renamed by pattern, prefix and suffix."""
+    health = S.columns_matching(s.raw, r"^nq[0-9]$", "numeric")
+    children = S.columns_matching(s.raw, r"^n[0-9]+to", but=["nunder5"])
+    picked = s.raw.select("diaryid", *S.columns_between(s.raw.select(*health), "nq1", "nq4"), *children, *S.columns_matching(s.raw, "^(sex|dagegrp)$", "string"))
+    named = S.rename_with(picked, ("^nq", "health_"), health)
+    named = S.add_affix(named, prefix="% ", cols=S.columns_matching(named, "^health_", "numeric"))
+    named = S.rename_with(named, (r"^n(\d+to)", r"children_\1"))
+    named = S.add_affix(named, suffix="_raw", cols=S.columns_matching(named, "^children_"))
+    return S.add_affix(named, prefix="answer_", cols=["sex", "dagegrp"])

@@ -1,5 +1,9 @@
 import os
 
+# Threads of the linear algebra library and of Spark get in each other's way on a busy machine.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
