@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
 
 import check_queries  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from dayloom.llm import toxicity  # noqa: E402
+from dayloom.llm import language, toxicity  # noqa: E402
 from dayloom.llm.queries import PIECE_MODEL, QUERIES, SQL  # noqa: E402
 from tests.llm.helpers import classes  # noqa: E402
 from tests.llm.test_text import leaks_by_hand  # noqa: E402
@@ -44,6 +44,58 @@ def test_language_query_is_accurate(spark, sf_dir):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.97 * len(held) > 0
 
 
+def gram_buckets(text):
+    """n-gram counts of one to three letters by hand: runs of anything else are one space behind a letter."""
+    from collections import Counter
+
+    low, chars = text.lower(), []
+    for i, c in enumerate(low + "\n"):
+        if c.isalpha():
+            chars.append(ord(c))
+        elif i and low[i - 1].isalpha():
+            chars.append(32)
+    out = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(chars) - n + 1):
+            if n == 1 and chars[i] == 32:
+                continue
+            h = 0
+            for c in chars[i : i + n]:
+                h = (h * 0x100000001B3 + c) % 2**64
+            h = (h + n) % 2**64
+            h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+            out[(h ^ (h >> 31)) % language.DIMENSIONS] += 1
+    return out
+
+
+def test_language_query_equals_plain_python(spark, sf_dir):
+    import zlib
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "", r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in docs.collect()]
+    grams = {i: gram_buckets(t) for i, t, _, _ in rows}
+    model = language.fit(docs.filter("crc32(cast(doc_id as string)) % 5 != 0"))
+    learned = [i for i, t, lang, held in rows if not held and lang and any(c.isalpha() for c in t)]
+    seen = Counter(b for i in learned for b in grams[i])
+    idf = np.log((1 + len(learned)) / (1 + np.array([seen[b] for b in range(language.DIMENSIONS)]))) + 1
+    assert np.allclose(model.idf, idf)
+    got = {r["doc_id"]: r for r in QUERIES["op5_language_id"](spark, sf_dir).collect()}
+    assert got.keys() == grams.keys()
+    for i, t, _, held in rows:
+        v = np.zeros(language.DIMENSIONS)
+        for b, n in grams[i].items():
+            v[b] = np.log1p(n) * idf[b]
+        assert got[i]["held_out"] == held
+        if not any(c.isalpha() for c in t):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        cosine = model.centroids @ (v / np.linalg.norm(v))
+        best = int(np.argmax(cosine))
+        assert got[i]["score"] == pytest.approx(min(max(cosine[best], 0), 1), abs=1e-5)
+        assert got[i]["lang_pred"] == model.languages[best] or np.sort(cosine)[-1] - np.sort(cosine)[-2] < 1e-5
+
+
 def test_toxicity_is_accurate_on_labels_it_has_not_seen(spark, sf_dir):
     folder = sf_dir.replace("sf0.001", "sf0.01")
     docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
