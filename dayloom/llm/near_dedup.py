@@ -230,12 +230,14 @@ def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int,
     # Equal bags are one node from here on; `bag` is its name.
     row = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("row")
     bags = sketched.filter("bag is not null").groupBy("bag").agg(row, F.min("signature").alias("signature"))
-    bags = bags.select("bag", "row.id", "row.key", "signature")
-    bands = F.transform("signature", lambda band, i: F.xxhash64(i, band))
-    banded = bags.select("key", "bag", F.explode(bands).alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("bag").alias("first")).filter("n > 1").drop("n")
-    members = cut_lineage(salted_lookup(banded, buckets, "bucket", "bag", BUCKET_SALTS).filter("first is not null"))
-    involved = cut_lineage(members.select("key", "bag").distinct())
+    bags = cut_lineage(bags.select("bag", "row.id", "row.key", "signature"))
+    banded = bags.select("bag", F.transform("signature", lambda band, i: F.xxhash64(i, band)).alias("buckets"))
+    in_bucket = banded.select("bag", F.explode("buckets").alias("bucket")).groupBy("bucket")
+    buckets = cut_lineage(in_bucket.agg(F.count(F.lit(1)).alias("n"), F.min("bag").alias("first")).filter("n > 1").drop("n"))
+    # Most buckets hold one bag, and those are sieved out before the others meet.
+    shared = _in_shared(banded, sieve_of(buckets.select(F.col("bucket").alias("key"))))
+    members = cut_lineage(salted_lookup(shared, buckets, "bucket", "bag", BUCKET_SALTS).filter("first is not null"))
+    involved = cut_lineage(members.select("bag").distinct().join(bags.select("bag", "key"), "bag"))
     cells = cut_lineage(_bag_cells(docs, involved, id, text, width))
 
     stars = members.filter(F.col("bag") != F.col("first")).select(F.col("bag").alias("a"), F.col("first").alias("b")).distinct()
@@ -250,6 +252,21 @@ def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int,
     return _sized(sketched, led, id)
 
 
+def _in_shared(banded: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """(bag, bucket) of the buckets that a sieve lets through, from (bag, buckets)."""
+    sent = banded.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            kept = passes(sent.value, flat.to_numpy(zero_copy_only=False).view(np.uint64))
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[kept])), flat.filter(pa.array(kept))], names=["bag", "bucket"])
+
+    return banded.mapInArrow(run, "bag binary, bucket bigint")
+
+
 def _across(members: DataFrame, labels: DataFrame, bags: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of one bucket but different classes that seem similar, for buckets that hold more than one class.
 
@@ -340,6 +357,15 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     """
     sketched = cut_lineage(sketches(docs, id, text, width, True))
     gone = _classed(docs, id, text, threshold, width, sketched).filter("not kept")
-    gone = gone.select(F.col(id).alias("__gone"), F.col("mark").alias("__mark")).distinct()
-    same = docs[id].eqNullSafe(F.col("__gone")) & _mark(docs[text]).eqNullSafe(F.col("__mark"))
-    return docs.join(gone, same, "left_anti")
+    gone = cut_lineage(gone.select(F.col(id).alias("__gone"), F.col("mark").alias("__mark")).distinct())
+    sent = docs.sparkSession.sparkContext.broadcast(sieve_of(gone.select(F.xxhash64("__gone", "__mark").alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def asked(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    # Rows that no dropped one can equal stay where they are; only the others meet the dropped ones.
+    flagged = docs.withColumn("__asked", asked(F.xxhash64(F.col(id), _mark(F.col(text)))))
+    rest = flagged.filter("__asked").drop("__asked")
+    same = rest[id].eqNullSafe(F.col("__gone")) & _mark(rest[text]).eqNullSafe(F.col("__mark"))
+    return flagged.filter("not __asked").drop("__asked").unionByName(rest.join(gone, same, "left_anti"))
