@@ -27,6 +27,8 @@ from dayloom.llm.words import lots, mix, occurrences, shingles
 from dayloom.runtime import cut_lineage
 
 COORDINATES = 128
+#: Characters sketched at a time, which take about 300 bytes each.
+LOT = 200_000
 #: 32 bands of 4 coordinates find a pair of similarity 0.8 with probability 1 - 5e-8.
 ROWS, BANDS = 4, 32
 #: Bits of a coordinate's mark. Four marks in lanes of 16 bits make a band, a 64-bit number.
@@ -105,7 +107,7 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     def run(batches):
         for batch in batches:
             bags, signatures = [], []
-            for lot in lots(batch.column(1).to_pylist()):
+            for lot in lots(batch.column(1).to_pylist(), LOT):
                 doc, cells = occurrences(*shingles(lot, width))
                 bags += _bags(doc, cells, len(lot))
                 signatures += list(dart_signatures(doc, cells, len(lot)).view(np.int64)[:, :BANDS])
@@ -149,7 +151,7 @@ def _bag_cells(docs: DataFrame, wanted: DataFrame, id: str, text: str, width: in
     def run(batches):
         for batch in batches:
             bags, cells, short = batch.column(1).to_pylist(), [], []
-            for lot in lots(batch.column(0).to_pylist()):
+            for lot in lots(batch.column(0).to_pylist(), LOT):
                 doc, all_cells = occurrences(*shingles(lot, width))
                 cuts = np.searchsorted(doc, np.arange(len(lot) + 1))
                 made = _bags(doc, all_cells, len(lot))
