@@ -85,6 +85,22 @@ def test_tree_of_one_group_or_none(spark):
     assert Rt.agglomerate(frame(spark, days).limit(0), "node", costs).count() == 0
 
 
+def test_tree_of_a_chain_has_a_round_per_join(spark):
+    """Gaps that triple: only one pair at a time is mutually nearest, and the planner's guesses must not grow by rounds."""
+    n = 16
+    days = np.tril(np.ones((n, N_SLOTS), int), -1)
+    costs = np.zeros((N_SLOTS, K, K))
+    costs[:] = 3.0 ** np.minimum(np.arange(N_SLOTS), 15)[:, None, None] * (1 - np.eye(K))
+    history = Rt.agglomerate(frame(spark, days), "node", costs)
+    steps, _ = linkage_by_hand(days, costs, np.arange(n))
+    got = history.orderBy("step").collect()
+    assert [(r["kept"], r["gone"]) for r in got] == [s[:2] for s in steps] == [(0, i) for i in range(1, n)]
+    assert np.allclose([r["height"] for r in got], [s[2] for s in steps])
+    clusters = {r["node"]: r["cluster"] for r in Rt.cut_tree(history, 5).collect()}
+    assert clusters == {i: max(1, i - n + 6) for i in range(n)}
+    assert [r["rank"] for r in Rt.merge_heights(history).orderBy("rank").collect()] == list(range(2, n))
+
+
 @pytest.mark.parametrize("radius", [4.0, 12.0, 30.0])
 def test_pairs_within_a_radius_match_all_pairs(spark, radius):
     days, costs = random_days(150, 6, spells=3)
