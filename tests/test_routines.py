@@ -112,6 +112,29 @@ def test_pairs_within_a_radius_match_all_pairs(spark, radius):
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in got) and len(got) > 3
 
 
+@pytest.mark.parametrize("block", [16, 64, 2048])
+def test_pairs_within_any_radius_in_blocks(spark, monkeypatch, block):
+    """Radii where most pairs share a segment, and one beyond all distances, where no segment must be shared."""
+    days, costs = random_days(90, 11, spells=3)
+    days[50:60] = days[:10]
+    d = distances(days, costs)
+    first = {days[i].tobytes(): i for i in reversed(range(len(days)))}
+    monkeypatch.setattr(Rt, "PAIR_BLOCK", block)
+    monkeypatch.setattr(Rt, "PAIR_LOT", 7)
+    for radius in (30.0, float(np.round(np.median(d), 9)), 1000.0):
+        want = {(a, b): d[a, b] for a in first.values() for b in first.values() if a < b and round(d[a, b], 9) <= radius}
+        got = [(r["a"], r["b"], r["dist"]) for r in Rt.pairs_within(frame(spark, days), costs, radius).collect()]
+        assert len(got) == len(want) and {(a, b) for a, b, _ in got} == want.keys()
+        assert all(x == pytest.approx(want[a, b]) for a, b, x in got)
+    assert Rt.pairs_within(frame(spark, days).limit(0), costs, 30.0).count() == 0
+
+
+def test_pairs_within_joins_no_rows_where_most_pairs_meet(spark, monkeypatch):
+    days, costs = random_days(60, 12, spells=3)
+    monkeypatch.setattr(Rt, "_compared_where_shared", None)
+    assert Rt.pairs_within(frame(spark, days), costs, 30.0).count() > 3
+
+
 def test_segments_hold_for_every_pair_within_the_radius():
     days, costs = random_days(120, 9, spells=3)
     d = distances(days, costs)
