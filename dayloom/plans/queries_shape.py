@@ -161,15 +161,16 @@ def complete_grid(s):
 @query(
     "drop_null_columns",
     """
-select name, count(*) as n_rows, count(distinct value) as n_values
-from (select columns(*)::varchar from raw) r unpivot include nulls (value for name in (columns(*)))
-group by name having count(*) = count(value)""",
+with answered as (
+  select id as diaryid, name, value from (select diaryid as id, columns(*)::varchar from raw) r
+  unpivot include nulls (value for name in (columns(* exclude id))))
+select diaryid, name, value from answered where name in (select name from answered group by name having count(*) = count(value))""",
 )
 def drop_null_columns(s):
-    """The columns that are complete, with their numbers of rows and values: which ones they are depends on the data."""
+    """Every row of the columns that are complete, one value a row: which columns they are depends on the data."""
     kept = S.drop_null_columns(s.raw)
-    counts = kept.agg(*[F.struct(F.lit(c).alias("name"), F.count(c).alias("n_rows"), F.count_distinct(c).alias("n_values")).alias(c) for c in kept.columns])
-    return counts.select(F.inline(F.array(*[F.col(c) for c in kept.columns])))
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in kept.columns]
+    return kept.select("diaryid", F.inline(F.array(*cells)))
 
 
 @query(

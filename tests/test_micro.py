@@ -219,6 +219,16 @@ def test_columns_without_nulls_stay(spark):
     assert S.drop_null_columns(df).columns == ["a", "c"]
 
 
+def test_query_of_complete_columns_has_every_row(spark):
+    from types import SimpleNamespace
+
+    from dayloom.plans.catalog import QUERIES
+
+    raw = spark.createDataFrame([(1, None, "x"), (2, 3, "x"), (2, 3, "x")], "diaryid bigint, a int, b string")
+    got = rows(QUERIES["drop_null_columns"].run(SimpleNamespace(raw=raw)), "diaryid", "name", "value")
+    assert got == [(1, "b", "x"), (1, "diaryid", "1"), (2, "b", "x"), (2, "b", "x"), (2, "diaryid", "2"), (2, "diaryid", "2")]
+
+
 def test_parse_draw_names_levels(spark):
     wide = spark.createDataFrame([(1, 0.5, 0.7)], ["draw", "r_dclasuk:survey__zi[unemployed_June.2020,Intercept]", "r_dclasuk:survey__zi[Higher.managerial_2016,Intercept]"])
     got = rows(E.parse_draw_names(wide), "dclasuk", "survey", "coef", "value")
