@@ -1,21 +1,25 @@
 """Predictive draws from fitted distributions, made by hashes so that every run gives the same."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions.semantics import join_group_facts
-from dayloom.operators.effects import uniform
+from dayloom.operators.effects import spread_out, uniform
 
 #: Tries of the rejection sampler: one is refused less than once in twenty, all of them once in 10^8.
 TRIES = 6
 
 
-def _uniforms(unit: Column, tag: Column, n: int) -> list[Column]:
-    """n reproducible numbers in (0, 1) from one digest of unit and tag."""
-    digest = F.md5(F.concat_ws(":", unit.cast("string"), tag))
-    return [(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") + 0.5) / 4294967296.0 for i in range(n)]
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _uniform_of(digest: Column, i: int) -> Column:
+    """The i-th reproducible number in (0, 1) of a digest."""
+    return (F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") + 0.5) / 4294967296.0
 
 
 def gamma_draw(shape: Column, unit: str, draw: str | Column) -> Column:
@@ -23,7 +27,7 @@ def gamma_draw(shape: Column, unit: str, draw: str | Column) -> Column:
 
     A cubed normal number is kept or refused by its density, the first kept of TRIES counts; should
     all be refused, the distribution's middle stands in. Shapes below one are drawn one higher and
-    scaled down by a power of another number.
+    scaled down by a power of another number. A try is made only where those before it are refused.
     """
     unit_, draw_ = F.col(unit), F.col(draw) if isinstance(draw, str) else draw
     high = F.when(shape < 1, shape + 1).otherwise(shape)
@@ -31,16 +35,22 @@ def gamma_draw(shape: Column, unit: str, draw: str | Column) -> Column:
     c = 1.0 / F.sqrt(9.0 * d)
 
     def attempt(i: Column) -> Column:
-        u1, u2, u3 = _uniforms(unit_, F.concat(F.lit("g"), draw_.cast("string"), F.lit("."), i.cast("string")), 3)
-        x = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * 3.141592653589793 * u2)
-        t = 1 + c * x
+        tag = F.concat(F.lit("g"), draw_.cast("string"), F.lit("."), i.cast("string"))
+        return _let(F.md5(F.concat_ws(":", unit_.cast("string"), tag)), of_digest)
+
+    def of_digest(digest: Column) -> Column:
+        x = F.sqrt(-2 * F.ln(_uniform_of(digest, 0))) * F.cos(2 * 3.141592653589793 * _uniform_of(digest, 1))
+        return _let(x, lambda x: _let(1 + c * x, lambda t: cubed(digest, x, t)))
+
+    def cubed(digest: Column, x: Column, t: Column) -> Column:
         v = t * t * t
-        kept = (t > 0) & (F.ln(u3) < 0.5 * x * x + d - d * v + d * F.ln(F.when(t > 0, v).otherwise(1.0)))
+        kept = (t > 0) & (F.ln(_uniform_of(digest, 2)) < 0.5 * x * x + d - d * v + d * F.ln(F.when(t > 0, v).otherwise(1.0)))
         return F.when(kept, d * v)
 
-    tries = F.filter(F.transform(F.sequence(F.lit(1), F.lit(TRIES)), attempt), lambda v: v.isNotNull())
-    drawn = F.coalesce(F.get(tries, F.lit(0)), d)
-    return F.when(shape < 1, drawn * F.pow(uniform(unit, F.concat(F.lit("b"), draw_.cast("string"))), 1.0 / shape)).otherwise(drawn)
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), lambda kept, i: F.when(kept.isNotNull(), kept).otherwise(attempt(i)))
+    drawn = F.coalesce(first, d)
+    less = F.when(shape < 1, F.pow(uniform(unit, F.concat(F.lit("b"), draw_.cast("string"))), 1.0 / shape)).otherwise(1.0)
+    return drawn * less
 
 
 def hurdle_gamma(df: DataFrame, groups: Sequence[str], y: str, w: str = "weight") -> DataFrame:
@@ -67,7 +77,7 @@ def hurdle_draws(df: DataFrame, groups: Sequence[str], y: str, n_draws: int = 30
     (the mean itself where the shape is unknown). Rows of groups without a model predict nothing.
     """
     rows = join_group_facts(df, hurdle_gamma(df, groups, y, w), list(groups), unit)
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    drawn = spread_out(rows).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
     zero = uniform(unit, F.concat(F.lit("z"), F.col("draw").cast("string"))) < F.col("hu")
     positive = F.when(F.col("shape").isNull(), F.col("mu")).otherwise(gamma_draw(F.col("shape"), unit, "draw") * F.col("mu") / F.col("shape"))
     return drawn.withColumn("predicted", F.when(zero, 0.0).otherwise(positive)).drop("hu", "mu", "shape")

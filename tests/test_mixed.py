@@ -128,6 +128,15 @@ def test_hurdle_draws_follow_their_group(spark):
     assert set(by["same"]) == {2.0} and set(by["none"]) == {None} and len(by[None]) == 80
 
 
+def test_hurdle_draws_hash_a_try_once_and_are_dealt_out(spark, capsys):
+    df = spark.createDataFrame([(i, "g", float(1 + i % 3), 1.0) for i in range(40)], "diaryid bigint, g string, y double, weight double").coalesce(1)
+    drawn = V.hurdle_draws(df, ["g"], "y", 5)
+    capsys.readouterr()
+    drawn.explain()
+    assert 3 <= capsys.readouterr().out.count("md5(") <= 4
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_weighted_quantiles_of_groups(spark):
     rows = [(str(RNG.choice(["a", "b"])), float(np.round(RNG.normal(), 2)), float(RNG.choice([0.1, 0.25, 3.0]))) for _ in range(500)]
     rows += [("one", 5.0, 1.0), ("zero", 1.0, 0.0), ("zero", None, 1.0), (None, 1.0, 1.0), (None, 2.0, 3.0)]
