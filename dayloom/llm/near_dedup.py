@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from dayloom.llm.sieve import passes, sieve_of
 from dayloom.llm.skew import salted_lookup
 from dayloom.llm.words import lots, mix, occurrences, shingles
-from dayloom.runtime import cut_lineage
+from dayloom.runtime import cut_lineage, rest
 
 COORDINATES = 128
 #: Characters sketched at a time, which take about 300 bytes each.
@@ -199,15 +199,15 @@ def components(edges: DataFrame) -> DataFrame:
     chains shorten by half; it ends when no label changes.
     """
     ways = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
-    links = cut_lineage(edges.select(ways.alias("way")).select("way.*"))
-    labels = cut_lineage(links.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")))
+    links = rest(edges.select(ways.alias("way")).select("way.*"))
+    labels = rest(links.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")))
     while True:
         # Labels of neighbours are brought by joins on the nodes; minima are taken before the shuffle.
         near = links.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
         moved = lower.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("beyond", "next")).alias("label"))
-        moved = cut_lineage(moved)
+        moved = rest(moved)
         labels = moved.select("node", "label")
         if moved.filter(F.col("was") != F.col("label")).isEmpty():
             return labels
@@ -235,17 +235,17 @@ def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int,
     bags = cut_lineage(bags.select("bag", "row.id", "row.key", "signature"))
     banded = bags.select("bag", F.transform("signature", lambda band, i: F.xxhash64(i, band)).alias("buckets"))
     in_bucket = banded.select("bag", F.explode("buckets").alias("bucket")).groupBy("bucket")
-    buckets = cut_lineage(in_bucket.agg(F.count(F.lit(1)).alias("n"), F.min("bag").alias("first")).filter("n > 1").drop("n"))
+    buckets = rest(in_bucket.agg(F.count(F.lit(1)).alias("n"), F.min("bag").alias("first")).filter("n > 1").drop("n"))
     # Most buckets hold one bag, and those are sieved out before the others meet.
     shared = _in_shared(banded, sieve_of(buckets.select(F.col("bucket").alias("key"))))
-    members = cut_lineage(salted_lookup(shared, buckets, "bucket", "bag", BUCKET_SALTS).filter("first is not null"))
-    involved = cut_lineage(members.select("bag").distinct().join(bags.select("bag", "key"), "bag"))
+    members = rest(salted_lookup(shared, buckets, "bucket", "bag", BUCKET_SALTS).filter("first is not null"))
+    involved = rest(members.select("bag").distinct().join(bags.select("bag", "key"), "bag"))
     cells = cut_lineage(_bag_cells(docs, involved, id, text, width))
 
     stars = members.filter(F.col("bag") != F.col("first")).select(F.col("bag").alias("a"), F.col("first").alias("b")).distinct()
-    edges = cut_lineage(_similar(stars, cells, threshold))
+    edges = rest(_similar(stars, cells, threshold))
     labels = components(edges)
-    across = cut_lineage(_across(members, labels, bags, cells, threshold))
+    across = rest(_across(members, labels, bags, cells, threshold))
     labels = components(edges.union(_similar(across, cells, threshold)))
 
     found = bags.select("bag", "id").join(labels.withColumnRenamed("node", "bag"), "bag", "left")
@@ -279,11 +279,11 @@ def _across(members: DataFrame, labels: DataFrame, bags: DataFrame, cells: DataF
     is never paired with itself.
     """
     classed = members.select("bucket", "first", "bag").join(labels.withColumnRenamed("node", "bag"), "bag", "left")
-    classed = cut_lineage(classed.select("bucket", "first", "bag", F.coalesce("label", "bag").alias("label")))
+    classed = rest(classed.select("bucket", "first", "bag", F.coalesce("label", "bag").alias("label")))
     mixed = classed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     mixed = mixed.select("bucket", F.lit(True).alias("mixed"))
     met = salted_lookup(classed, mixed, "bucket", "bag", BUCKET_SALTS).filter("mixed").select("first", "bag", "label").distinct()
-    met = cut_lineage(met.join(cells.select("bag", F.size("short").cast("long").alias("weight")), "bag"))
+    met = rest(met.join(cells.select("bag", F.size("short").cast("long").alias("weight")), "bag"))
 
     classes = met.groupBy("first", "label").agg(F.sum("weight").alias("weight"))
     facts = classes.groupBy("first").agg(F.sum("weight").alias("all"), F.max(F.struct("weight", "label")).alias("largest"))
@@ -359,7 +359,7 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", th
     """
     sketched = cut_lineage(sketches(docs, id, text, width, True))
     gone = _classed(docs, id, text, threshold, width, sketched).filter("not kept")
-    gone = cut_lineage(gone.select(F.col(id).alias("__gone"), F.col("mark").alias("__mark")).distinct())
+    gone = rest(gone.select(F.col(id).alias("__gone"), F.col("mark").alias("__mark")).distinct())
     sent = docs.sparkSession.sparkContext.broadcast(sieve_of(gone.select(F.xxhash64("__gone", "__mark").alias("key"))))
 
     @F.pandas_udf("boolean")
