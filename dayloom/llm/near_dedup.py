@@ -368,6 +368,6 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", th
 
     # Rows that no dropped one can equal stay where they are; only the others meet the dropped ones.
     flagged = docs.withColumn("__asked", asked(F.xxhash64(F.col(id), _mark(F.col(text)))))
-    rest = flagged.filter("__asked").drop("__asked")
-    same = rest[id].eqNullSafe(F.col("__gone")) & _mark(rest[text]).eqNullSafe(F.col("__mark"))
-    return flagged.filter("not __asked").drop("__asked").unionByName(rest.join(gone, same, "left_anti"))
+    met = flagged.filter("__asked").drop("__asked")
+    same = met[id].eqNullSafe(F.col("__gone")) & _mark(met[text]).eqNullSafe(F.col("__mark"))
+    return flagged.filter("not __asked").drop("__asked").unionByName(met.join(gone, same, "left_anti"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -231,3 +232,14 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in near_dedup.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_components_leave_the_planner_a_known_size(spark, capsys):
+    """A guess that is multiplied by every round's joins ends in more digits than a driver holds."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    found = near_dedup.components(edges)
+    capsys.readouterr()
+    found.explain("cost")
+    sizes = re.findall(r"sizeInBytes=([0-9.E+]+) (\w+)", capsys.readouterr().out)
+    assert sizes and all(unit in ("B", "KiB", "MiB") for _, unit in sizes)
+
