@@ -7,7 +7,7 @@ nearest centroid, and is rejected when it is farther from it than nearly all lab
 language that are nearest to the same centroid.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.words import lots, mix
+from dayloom.llm.words import gives_back, lots, mix, values
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
@@ -65,7 +65,7 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (raw / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
-def _small_lots(texts: list[str | None], rows: int = 256):
+def _small_lots(texts: Iterable[str | None], rows: int = 256):
     for lot in lots(texts, 1_000_000):
         for i in range(0, len(lot), rows):
             yield lot[i : i + rows]
@@ -134,12 +134,13 @@ def _radii(rows: DataFrame, languages: list[str], centroids: np.ndarray, idf: np
     sent = rows.sparkSession.sparkContext.broadcast((languages, centroids, idf))
     shape = (len(languages), 2, STEPS + 1)
 
+    @gives_back
     def count(batches):
         names, centers, weights = sent.value
         names, total = np.array(names, dtype=object), np.zeros(np.prod(shape), np.int64)
         for batch in batches:
             langs, at = np.array(batch.column(1).to_pylist(), dtype=object), 0
-            for lot in _small_lots(batch.column(0).to_pylist()):
+            for lot in _small_lots(values(batch.column(0))):
                 grams = gram_counts(lot)
                 cosine = _vectors(grams, weights) @ centers.T
                 best = np.argmax(cosine, axis=1)
@@ -175,10 +176,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.col(text)).alias("at"))
     rows = rows.filter(F.col("lang").isNotNull() & has_letter(F.col("text")))
 
+    @gives_back
     def frequencies(batches):
         total, n = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
-            for lot in _small_lots(batch.column(0).to_pylist()):
+            for lot in _small_lots(values(batch.column(0))):
                 total += (gram_counts(lot) > 0).sum(axis=0)
                 n += len(lot)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMENSIONS), pa.int32()), pa.array([n, *total], pa.int64())], names=["bucket", "n"])
@@ -218,12 +220,12 @@ def predict(docs: DataFrame, model: LanguageModel, id: str = "doc_id", text: str
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @gives_back
     def run(batches):
         known = _letters()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             langs, scores, rejected = [], [], []
-            for lot in _small_lots(texts):
+            for lot in _small_lots(values(batch.column(1))):
                 good = [bool(known[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any()) for t in lot]
                 a, b, c = sent.value.predict(lot)
                 langs += [x if g else UNKNOWN for x, g in zip(a, good, strict=True)]

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm.skew import salted_lookup
+from dayloom.llm.words import gives_back
 from dayloom.runtime import cut_lineage
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -146,6 +147,7 @@ def _shard_of(key: Column, shards: int) -> Column:
 def _key_counts(docs: DataFrame, text: str, min_chars: int, shards: int) -> DataFrame:
     """(shard, key, n_docs): in how many rows of `docs` each key occurs."""
 
+    @gives_back
     def run(batches):
         for batch in batches:
             out = []
@@ -221,6 +223,7 @@ def _candidates(docs: DataFrame, index: LineIndex, id: str, text: str) -> DataFr
     if held <= BROADCAST_BYTES:
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["data"]) for r in index.filters.collect()})
 
+    @gives_back
     def keys(batches) -> Iterator[pa.RecordBatch]:
         filters = {k: CuckooFilter.from_bytes(v) for k, v in sent.value.items()} if sent else None
         for batch in batches:
@@ -265,6 +268,7 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex, id: str = "doc_id", t
     rows = docs.select(F.col(id).alias("__id"), F.col(text).alias("__body"), *[F.col(c).alias(n) for c, n in zip(keep, carried, strict=True)])
     rows = rows.join(drops, F.col("__id").eqNullSafe(F.col("id")), "left").select("__id", "__body", "keys", *carried)
 
+    @gives_back
     def run(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []

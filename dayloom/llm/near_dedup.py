@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from dayloom.llm.sieve import passes, sieve_of
 from dayloom.llm.skew import salted_lookup
-from dayloom.llm.words import lots, mix, occurrences, shingles
+from dayloom.llm.words import gives_back, lots, mix, occurrences, shingles, values
 from dayloom.runtime import cut_lineage, rest
 
 COORDINATES = 128
@@ -104,10 +104,11 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     """
     extra = ["mark"] if marked else []
 
+    @gives_back
     def run(batches):
         for batch in batches:
             bags, signatures = [], []
-            for lot in lots(batch.column(1).to_pylist(), LOT):
+            for lot in lots(values(batch.column(1)), LOT):
                 doc, cells = occurrences(*shingles(lot, width))
                 bags += _bags(doc, cells, len(lot))
                 signatures += list(dart_signatures(doc, cells, len(lot)).view(np.int64)[:, :BANDS])
@@ -138,6 +139,7 @@ def _bag_cells(docs: DataFrame, wanted: DataFrame, id: str, text: str, width: in
     """
     sent = docs.sparkSession.sparkContext.broadcast(sieve_of(wanted))
 
+    @gives_back
     def asked(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -148,20 +150,22 @@ def _bag_cells(docs: DataFrame, wanted: DataFrame, id: str, text: str, width: in
                 seen.add(k)
             yield batch.filter(pa.array(kept))
 
+    @gives_back
     def run(batches):
         for batch in batches:
-            bags, cells, short = batch.column(1).to_pylist(), [], []
-            for lot in lots(batch.column(0).to_pylist(), LOT):
+            at = 0
+            # Cells take four times as much as texts, so each lot's leave as a batch of their own.
+            for lot in lots(values(batch.column(0)), LOT):
+                asked_for = batch.column(1).slice(at, len(lot))
+                at += len(lot)
                 doc, all_cells = occurrences(*shingles(lot, width))
                 cuts = np.searchsorted(doc, np.arange(len(lot) + 1))
-                made = _bags(doc, all_cells, len(lot))
-                at = len(cells)
+                good = [a == b for a, b in zip(_bags(doc, all_cells, len(lot)), asked_for.to_pylist(), strict=True)]
                 halves = (all_cells >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                short += [np.sort(halves[cuts[i] : cuts[i + 1]]) for i in range(len(lot))]
-                cells += [np.sort(all_cells[cuts[i] : cuts[i + 1]]).tobytes() if made[i] == bags[at + i] else None for i in range(len(lot))]
-            kept = pa.array([c is not None for c in cells])
-            made = [batch.column(1), pa.array(cells, pa.binary()), pa.array(short, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(made, names=["bag", "cells", "short"]).filter(kept)
+                short = [np.sort(halves[cuts[i] : cuts[i + 1]]) for i in range(len(lot))]
+                cells = [np.sort(all_cells[cuts[i] : cuts[i + 1]]).tobytes() for i in range(len(lot))]
+                made = [asked_for, pa.array(cells, pa.binary()), pa.array(short, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(made, names=["bag", "cells", "short"]).filter(pa.array(good, pa.bool_()))
 
     rows = docs.select(_key(F.col(id), F.col(text)).alias("key"), F.col(text).alias("body")).mapInArrow(asked, "key bigint, body string")
     return rows.join(wanted, "key").select("body", "bag").mapInArrow(run, "bag binary, cells binary, short array<int>")
@@ -173,6 +177,7 @@ def _similar(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     right = cells.select(F.col("bag").alias("b"), F.col("cells").alias("b_cells"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "a_cells", "b_cells")
 
+    @gives_back
     def run(batches):
         for batch in batches:
             good = []
@@ -258,6 +263,7 @@ def _in_shared(banded: DataFrame, sieve: np.ndarray) -> DataFrame:
     """(bag, bucket) of the buckets that a sieve lets through, from (bag, buckets)."""
     sent = banded.sparkSession.sparkContext.broadcast(sieve)
 
+    @gives_back
     def run(batches):
         for batch in batches:
             lists = batch.column(1)

@@ -11,7 +11,7 @@ its own normaliser switched off. Equal segments are merged once.
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from types import MappingProxyType
@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayloom.llm.words import gives_back, values
+
 SPACE = "▁"
 #: A worker that remembers more segments than this empties its memory. Results don't depend on it.
 REMEMBERED = 300_000
@@ -235,7 +237,7 @@ class PieceModel:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-def chunks(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str], size: int = 1_000_000) -> Iterator[list[str]]:
     """The texts in order, in lists of about `size` characters; a longer text is alone in its list."""
     cut, n = [], 0
     for t in texts:
@@ -317,16 +319,17 @@ def encoding_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str =
     The same encoding, spans and decoding as `encode` and `decode`, digested where they are made.
     """
 
+    @gives_back
     def run(batches):
         model = piece_model(path)
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for t, raw in zip(texts, model.encode(texts), strict=True):
-                spans = hashlib.sha256(model.spans(t, raw)).hexdigest()
-                raw = _with_ends(model, raw)
-                back = hashlib.sha256(model.decode(raw).encode()).hexdigest()
-                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), back, spans))
+            for texts in chunks(t or "" for t in values(batch.column(1))):
+                for t, raw in zip(texts, model.encode(texts), strict=True):
+                    spans = hashlib.sha256(model.spans(t, raw)).hexdigest()
+                    raw = _with_ends(model, raw)
+                    back = hashlib.sha256(model.decode(raw).encode()).hexdigest()
+                    rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), back, spans))
             n, a, b, c = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c))],

@@ -5,10 +5,11 @@ from the bytes of the joined texts by prefix sums: with an odd base, the sum ove
 inverse power of its start doesn't depend on where the word stands.
 """
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
+import pyarrow as pa
 
 #: Texts are worked on in lots of about this many characters; a longer one is a lot of its own.
 LOT = 500_000
@@ -48,7 +49,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def lots(texts: list[str | None], size: int = LOT) -> Iterator[list[str]]:
+def gives_back(run: Callable) -> Callable:
+    """A function for `mapInArrow` whose batches' memory goes back to the system when its task ends.
+
+    A Python worker lives on after its task, beside those of other tasks, and Arrow's pool would keep
+    what the largest batches took.
+    """
+
+    @wraps(run)
+    def returning(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return returning
+
+
+def values(column: pa.Array, rows: int = 64) -> Iterator:
+    """The values of a column in order, of which a few rows at a time are Python objects."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
+def lots(texts: Iterable[str | None], size: int = LOT) -> Iterator[list[str]]:
     """The texts in order, NULL as empty, in lots of about `size` characters."""
     lot, n = [], 0
     for t in texts:

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.testing import assertDataFrameEqual
@@ -243,3 +245,32 @@ def test_components_leave_the_planner_a_known_size(spark, capsys):
     sizes = re.findall(r"sizeInBytes=([0-9.E+]+) (\w+)", capsys.readouterr().out)
     assert sizes and all(unit in ("B", "KiB", "MiB") for _, unit in sizes)
 
+
+
+@pytest.mark.parametrize("step", ["sketches", "bag_cells"])
+def test_a_worker_holds_lots_and_not_whole_batches(spark, monkeypatch, step):
+    docs = documents(spark, [(1, "a b c", None)])
+    steps = []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kinds: (steps.append(run), plain(self, run, kinds))[1])
+    monkeypatch.setattr(near_dedup, "LOT", 20_000)
+    # Two shingles each, of very long words: what a batch's texts take shows, and not what NumPy does.
+    texts = [" ".join(f"{c}{i:0>1500}" for c in "abcdef") for i in range(2_000)]
+    doc, cells = occurrences(*shingles(texts))
+    bags = pa.array(near_dedup._bags(doc, cells, len(texts)), pa.binary())
+    if step == "sketches":
+        near_dedup.sketches(docs)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(texts), pa.array(range(2_000))], names=["id", "body", "key"])
+    else:
+        near_dedup._bag_cells(docs, spark.createDataFrame([(1, b"x")], "key long, bag binary"), "doc_id", "text", 5)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), bags], names=["body", "bag"])
+    size = sum(map(len, texts))
+    del texts, doc, cells
+    tracemalloc.start()
+    try:
+        made = [out.column("bag") for out in steps[-1](iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pa.chunked_array(made).to_pylist() == bags.to_pylist()
+    assert peak < size / 2
