@@ -205,14 +205,15 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ways = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
     links = rest(edges.select(ways.alias("way")).select("way.*"))
-    labels = rest(links.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")))
+    n = links.count()
+    labels = rest(links.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")), n)
     while True:
         # Labels of neighbours are brought by joins on the nodes; minima are taken before the shuffle.
         near = links.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("low"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
         moved = lower.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("beyond", "next")).alias("label"))
-        moved = rest(moved)
+        moved = rest(moved, n)
         labels = moved.select("node", "label")
         if moved.filter(F.col("was") != F.col("label")).isEmpty():
             return labels
@@ -244,7 +245,7 @@ def _classed(docs: DataFrame, id: str, text: str, threshold: float, width: int,
     # Most buckets hold one bag, and those are sieved out before the others meet.
     shared = _in_shared(banded, sieve_of(buckets.select(F.col("bucket").alias("key"))))
     members = rest(salted_lookup(shared, buckets, "bucket", "bag", BUCKET_SALTS).filter("first is not null"))
-    involved = rest(members.select("bag").distinct().join(bags.select("bag", "key"), "bag"))
+    involved = rest(members.select("bag").distinct().join(bags.select("bag", "key"), "bag"), members.count())
     cells = cut_lineage(_bag_cells(docs, involved, id, text, width))
 
     stars = members.filter(F.col("bag") != F.col("first")).select(F.col("bag").alias("a"), F.col("first").alias("b")).distinct()
@@ -285,7 +286,7 @@ def _across(members: DataFrame, labels: DataFrame, bags: DataFrame, cells: DataF
     is never paired with itself.
     """
     classed = members.select("bucket", "first", "bag").join(labels.withColumnRenamed("node", "bag"), "bag", "left")
-    classed = rest(classed.select("bucket", "first", "bag", F.coalesce("label", "bag").alias("label")))
+    classed = rest(classed.select("bucket", "first", "bag", F.coalesce("label", "bag").alias("label")), members.count())
     mixed = classed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     mixed = mixed.select("bucket", F.lit(True).alias("mixed"))
     met = salted_lookup(classed, mixed, "bucket", "bag", BUCKET_SALTS).filter("mixed").select("first", "bag", "label").distinct()

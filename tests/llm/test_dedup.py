@@ -247,30 +247,40 @@ def test_components_leave_the_planner_a_known_size(spark, capsys):
 
 
 
-@pytest.mark.parametrize("step", ["sketches", "bag_cells"])
-def test_a_worker_holds_lots_and_not_whole_batches(spark, monkeypatch, step):
+def test_a_worker_holds_lots_and_not_whole_batches(spark, monkeypatch):
     docs = documents(spark, [(1, "a b c", None)])
     steps = []
     plain = type(docs).mapInArrow
     monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kinds: (steps.append(run), plain(self, run, kinds))[1])
     monkeypatch.setattr(near_dedup, "LOT", 20_000)
+    near_dedup._bag_cells(docs, spark.createDataFrame([(1, b"x")], "key long, bag binary"), "doc_id", "text", 5)
     # Two shingles each, of very long words: what a batch's texts take shows, and not what NumPy does.
-    texts = [" ".join(f"{c}{i:0>1500}" for c in "abcdef") for i in range(2_000)]
-    doc, cells = occurrences(*shingles(texts))
-    bags = pa.array(near_dedup._bags(doc, cells, len(texts)), pa.binary())
-    if step == "sketches":
-        near_dedup.sketches(docs)
-        batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(texts), pa.array(range(2_000))], names=["id", "body", "key"])
-    else:
-        near_dedup._bag_cells(docs, spark.createDataFrame([(1, b"x")], "key long, bag binary"), "doc_id", "text", 5)
-        batch = pa.RecordBatch.from_arrays([pa.array(texts), bags], names=["body", "bag"])
+    texts = [" ".join(f"{c}{i:0>1500}" for c in "abcdef") for i in range(1_000)]
     size = sum(map(len, texts))
-    del texts, doc, cells
+    bags = near_dedup._bags(*occurrences(*shingles(texts)), len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(bags, pa.binary())], names=["body", "bag"])
+    del texts
     tracemalloc.start()
     try:
         made = [out.column("bag") for out in steps[-1](iter([batch]))]
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
-    assert pa.chunked_array(made).to_pylist() == bags.to_pylist()
+    assert pa.chunked_array(made).to_pylist() == bags
     assert peak < size / 2
+
+
+def test_tables_of_few_rows_rest_in_few_files(spark, monkeypatch):
+    kept = []
+    plain = near_dedup.rest
+    monkeypatch.setattr(near_dedup, "rest", lambda *args: (kept.append(plain(*args)), kept[-1])[1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(300).selectExpr("id % 20 as a", "id as b")
+        assert {r["label"] for r in near_dedup.components(edges).collect()} == set(range(20))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [len(t.inputFiles()) for t in kept[1:]] == [1] * (len(kept) - 1)
