@@ -335,6 +335,8 @@ def encoding_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str =
                 [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (a, b, c))],
                 names=[id, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
+        # The worker lives on, for tasks that may have no use for what this one remembers.
+        model.remembered.clear()
 
     rows = docs.select(F.col(id).alias(id), F.col(text).alias("__text"))
     kind = docs.schema[id].dataType.simpleString()

@@ -6,6 +6,7 @@ import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -15,6 +16,7 @@ import check_queries  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from dayloom.llm import language, toxicity  # noqa: E402
 from dayloom.llm.queries import PIECE_MODEL, QUERIES, SQL  # noqa: E402
+from dayloom.runtime import BATCH_BYTES  # noqa: E402
 from tests.llm.helpers import classes  # noqa: E402
 from tests.llm.test_text import leaks_by_hand  # noqa: E402
 
@@ -143,6 +145,32 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
+def test_pipeline_sends_small_batches_to_python(spark, sf_dir, monkeypatch):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id as doc_id", "repeat('word ', 400) as text", "'en' as lang", "'x' as source", "2000L as n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        corpus_pipeline.encode_pieces(spark, docs, sf_dir)
+        seen = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        # A batch ends with the row that passes the limit.
+        assert sum(r["n"] for r in seen) == 4000 and max(r["bytes"] for r in seen) < BATCH_BYTES + 10_000
+        spark.conf.set(limit, "100000b")
+        corpus_pipeline.encode_pieces(spark, docs, sf_dir)
+        assert spark.conf.get(limit) == "100000b"
+    finally:
+        spark.conf.unset(limit)
+    # The other stages do so too, before anything else.
+    stopped = InterruptedError()
+    monkeypatch.setattr(corpus_pipeline, "small_batches", lambda spark: (_ for _ in ()).throw(stopped))
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, docs, sf_dir)
+
+
 def test_pipeline_stages_bear_odd_documents(spark, sf_dir):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "12 !", None, "s", 4), (None, "words without an id", "en", None, 19), (4, "x " * 30_000, "de", "s", 60_000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")

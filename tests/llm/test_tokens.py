@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -80,6 +81,17 @@ def test_normaliser_follows_a_compiled_character_map():
     assert (made.begin[at], made.end[at]) == (2, 5) and made.begin[made.data.index(b"!")] == 5
 
 
+def test_a_worker_remembers_no_segments_of_a_task_that_ended(spark, monkeypatch):
+    docs = documents(spark, [(1, "a b", None)])
+    steps = []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kinds: (steps.append(run), plain(self, run, kinds))[1])
+    pieces.encoding_digests(docs, PATH)
+    made = list(steps[-1](iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], names=["doc_id", "__text"])] * 2)))
+    assert [b.column(1).to_pylist() for b in made] == [[4, 2]] * 2
+    assert not pieces.piece_model(PATH).remembered
+
+
 def test_encode_and_decode_of_odd_rows(spark, library):
     docs = documents(spark, [(i, t, None) for i, t in enumerate(ODD)] + [(None, "a b", None), (0, None, None)])
     coded = pieces.encode(docs, PATH)
