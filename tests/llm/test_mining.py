@@ -156,6 +156,27 @@ def test_divergence_ranks_a_cell_of_many_equal_terms(spark):
     assert sorted(map(tuple, got.collect())) == divergence_by_hand([r[1:] for r in rows])
 
 
+def test_terms_are_shuffled_once_and_paired_without_a_join(spark, monkeypatch):
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(divergence, "cut_lineage", cut)
+    rows = [(f"ab cd e{'fgh'[i % 3]}", "en", f"s{i % 4}") for i in range(60)]
+    got = divergence.source_divergence(spark.createDataFrame(rows, "text string, lang string, source string"))
+    assert sorted(map(tuple, got.collect())) == divergence_by_hand(rows)
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    assert "term" not in "".join(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_shares_are_exact_where_products_pass_64_bits(spark):
+    rows = [(n, total, 7) for n in (0, 1, 8_999_999_999, 9_000_000_000, 9_000_000_001, 10**12) for total in (n, n + 5, 3 * n + 1)]
+    shares = spark.createDataFrame(rows, "n bigint, total bigint, v bigint").selectExpr(divergence._share("n", "total", "v"))
+    assert [r[0] for r in shares.collect()] == [1 + 10**9 * (n + 2) // (total + 2 * v) for n, total, v in rows]
+
+
 def test_terms_of_long_texts_are_cut_between_terms(monkeypatch):
     text = "ab cdé " * 500 + "z" * 300
     for part in (1 << 20, 17):
