@@ -35,17 +35,27 @@ _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+#: By the bytes that are left of a word: what belongs to it in the next eight.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(max(n, 1), base, np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)[:n]
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 4096), base, np.uint64)
+        steps[0] = 1
+        have = np.multiply.accumulate(steps)
+        if n <= 2 * LOT:
+            _POWERS[base] = have
+    return have[:n]
 
 
 class Lot:
     """The words of some texts: where they start and end, their text and piece, and two hashes of each.
 
-    A word's first hash is a polynomial of its bytes, the second sums hashes of byte and place, so
-    that texts made to defeat one of them don't defeat the other.
+    A word's first hash is a polynomial of its bytes, the second sums hashes of eight bytes and their
+    place, so that texts made to defeat one of them don't defeat the other.
     """
 
     def __init__(self, texts: list[str]):
@@ -64,14 +74,18 @@ class Lot:
             return
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[data] * _powers(_BASE, len(data)))])
         self.hash = mix((sums[self.end] - sums[self.start]) * _powers(_INVERSE, len(data))[self.start] + size.astype(np.uint64))
-        inside = np.flatnonzero(kind == 0)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        place = np.arange(len(inside)) - np.repeat(first, size)
-        spread = mix(_VALUES[data[inside]] + (place.astype(np.uint64) + _ONE) * np.uint64(0xA0761D6478BD642F))
-        self.check = mix(np.add.reduceat(spread, first) + size.astype(np.uint64))
+        # The bytes of every word, eight at a time, the last ones filled up with zeros.
+        self.chunks = (size + 7) >> 3
+        self.first = np.cumsum(self.chunks) - self.chunks
+        self.place = np.arange(self.chunks.sum()) - np.repeat(self.first, self.chunks)
+        eights = np.ndarray(len(data), "<u8", self.bytes + bytes(8), strides=(1,))
+        left = np.repeat(size, self.chunks) - 8 * self.place
+        self.eight = eights[np.repeat(self.start, self.chunks) + 8 * self.place] & _MASKS[np.minimum(left, 8)]
+        spread = mix(mix(self.eight) + (self.place.astype(np.uint64) + _ONE) * np.uint64(0xA0761D6478BD642F))
+        self.check = mix(np.add.reduceat(spread, self.first) + size.astype(np.uint64))
 
     def numbers(self) -> np.ndarray:
-        """A number for every word, the same for equal words only: those of one hash are compared byte by byte."""
+        """A number for every word, the same for equal words only: those of one hash are compared by their bytes."""
         if not len(self.start):
             return np.zeros(0, np.int64)
         order = np.argsort(self.hash)
@@ -79,32 +93,34 @@ class Lot:
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(new) - 1
         size, leader = self.end - self.start, order[new][number]
-        data = np.frombuffer(self.bytes, np.uint8)
         same = size == size[leader]
-        own = np.repeat(np.arange(len(size)), np.where(same, size, 0))
-        first = np.cumsum(np.where(same, size, 0)) - np.where(same, size, 0)
-        place = np.arange(len(own)) - first[own]
-        unlike = data[self.start[own] + place] != data[self.start[leader[own]] + place]
-        odd = np.unique(np.concatenate([own[unlike], np.flatnonzero(~same)]))
+        # Where the sizes differ, a word is held against itself here.
+        other = np.where(same, self.first[leader], self.first)
+        unlike = self.eight != self.eight[np.repeat(other, self.chunks) + self.place]
+        odd = np.flatnonzero(np.logical_or.reduceat(unlike, self.first) | ~same)
         named: dict[bytes, int] = {}
         for i in odd:
             word = self.bytes[self.start[i] : self.end[i]]
             number[i] = named.setdefault(word, len(order) + len(named))
         return number
 
-    def grams(self, size: int, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def grams(self, size: int, salts: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, fingerprint, check) of every run of `size` words inside a piece.
 
-        `salts` has a number per text; n-grams of texts with different ones are different.
+        `salts` has a number per text; n-grams of texts with different ones are different. `known`
+        tells where known runs, one word shorter, begin: only runs that begin and end with one are made.
         """
         words = len(self.start)
         at = np.arange(max(words - size + 1, 0))
         at = at[self.piece[at] == self.piece[at + size - 1]] if size else np.arange(words)
+        if known is not None:
+            at = at[known[at] & known[at + 1]]
         made = []
+        salted = mix(salts + np.uint64(size))[self.text[at]]
         for values, base in ((self.hash, 0xC2B2AE3D27D4EB4F), (self.check, 0xD6E8FEB86659FD93)):
             sums = np.concatenate([[np.uint64(0)], np.cumsum(values * _powers(base, words))])
             run = (sums[at + size] - sums[at]) * _powers(pow(base, -1, 1 << 64), words)[at]
-            made.append(mix(run + mix(salts[self.text[at]] + np.uint64(size))))
+            made.append(mix(run + salted))
         return at, made[0], made[1] & np.uint64(0x7FFFFFFF)
 
     def phrase(self, first: int, size: int) -> str:
@@ -133,13 +149,12 @@ def _lot_counts(lot: Lot, sizes: Sequence[int], salts: np.ndarray, where: np.nda
     number = lot.numbers()
     parts = []
     for size in sizes:
-        at, key, check = lot.grams(size, salts)
+        known = None
         if sieve is not None:
             known = np.zeros(len(lot.start), bool)
             shorter, part, _ = lot.grams(size - 1, salts)
             known[shorter] = passes(sieve, part)
-            kept = known[at] & known[at + 1]
-            at, key, check = at[kept], key[kept], check[kept]
+        at, key, check = lot.grams(size, salts, known)
         order = np.argsort(key)
         at, key, check = at[order], key[order], check[order]
         if not len(at):
@@ -151,10 +166,16 @@ def _lot_counts(lot: Lot, sizes: Sequence[int], salts: np.ndarray, where: np.nda
             differs |= number[at + j] != number[at[leader] + j]
         if (differs & (check == check[leader])).any():
             raise ValueError("two phrases share a fingerprint and its check")
-        parts.append((key, check, np.ones(len(at), np.int64), where[lot.text[at]]))
+        part = [key, check, np.ones(len(at), np.int64), where[lot.text[at]]]
+        if differs.any():
+            parts.append(_combined(*part))
+        else:
+            # Equal keys are the same run of words and stand together already.
+            starts = np.flatnonzero(new)
+            parts.append([key[starts], check[starts], np.diff(starts, append=len(at)), np.minimum.reduceat(part[3], starts)])
     if not parts:
         return [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-    return _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _salts(langs: list[str]) -> np.ndarray:

@@ -84,6 +84,26 @@ def test_equal_fingerprints_of_different_words_stay_apart(monkeypatch):
         collocations._lot_counts(real, range(3), np.zeros(2, np.uint64), np.arange(2))
 
 
+def test_a_lot_sorts_its_runs_once(monkeypatch):
+    texts = invented(80, random.Random(4))
+    counts, _ = phrases_by_hand([(t, "en") for t in texts])
+    monkeypatch.setattr(collocations, "_combined", lambda *_: pytest.fail("sorted again"))
+    for least, bits in ((1, None), (2, np.full(1 << 12, 255, np.uint8))):
+        want = {k: n for k, n in counts.items() if len(k[1]) >= least}
+        key, _, n, _ = collocations._lot_counts(collocations.Lot(texts), range(least, 4), np.zeros(80, np.uint64), np.arange(80), bits)
+        assert len(set(key)) == len(key) and sorted(n) == sorted(want.values())
+
+
+def test_words_are_told_apart_eight_bytes_at_a_time(monkeypatch):
+    long = ["a" * n for n in (1, 7, 8, 9, 16, 17, 300)]
+    own = [*long, *(w[:-1] + "b" for w in long), *(w + "\0" for w in long), "a" * 299 + "é", "b" + "a" * 16]
+    lot = collocations.Lot([" ".join(own * 3), "", ". ".join(own)])
+    assert len(set(lot.check)) == len(own)
+    lot.hash = lot.hash & np.uint64(3)
+    numbers = lot.numbers().reshape(4, len(own))
+    assert len(set(numbers[0])) == len(own) and (numbers == numbers[0]).all()
+
+
 def test_a_full_sieve_loses_nothing(spark, monkeypatch):
     rows = [(i, t, "en") for i, t in enumerate(invented(80, random.Random(9), "ab cd ef".split()))]
     want = collocations_by_hand([(t, lang) for _, t, lang in rows])
